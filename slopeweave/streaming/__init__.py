@@ -1,0 +1 @@
+"""All jobs of this engine are batch jobs; nothing is streamed."""
