@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from slopeweave.session import scratch_path
+from slopeweave.sources.geojson import documents
 from slopeweave.sources.tables import params_df
 
 # Fixed values of the fixtures.
@@ -19,7 +21,7 @@ ROOF_ROWS = [
     (0, 0.8946964372034376, 0.0021506976303888137, 3.2313377494040365, 54, 76, 0.33, 7.907927062958761),
     (1, 0.98, 0.08, 100.0, 54, 20, 2.0, 15.0),
     (2, -0.99, 0.05, 15.0, 24, 20, 2.0, 30.0),
-    (3, 0.99, 0.10, 15.0, 8, 10, 1.0, 40.0),
+    (3, 0.99, 0.02, 15.0, 8, 10, 1.0, 40.0),
 ]
 
 
@@ -79,6 +81,48 @@ def params(spark: SparkSession) -> DataFrame:
     return params_df(spark, PARAM_ROWS)
 
 
+def roof_params() -> list[dict]:
+    names = ["param_id", "smoothness", "curvature", "color", "knn", "region_limit", "slope", "azimuth"]
+    return [{n: abs(v) if n != "param_id" else v for n, v in zip(names, row)} for row in ROOF_ROWS]
+
+
+def roof_params_df(spark: SparkSession) -> DataFrame:
+    return params_df(spark, ROOF_ROWS)
+
+
+def _write_named(spark: SparkSession, lines: DataFrame, root: str, suffix: str) -> str:
+    """Write ``(tile_id, place, value)`` as one text file per tile, named by the tile.
+
+    Spark writes a folder per tile; the files are then given their names.
+    """
+    staged = scratch_path(spark, "staged")
+    (lines.repartition("tile_id").sortWithinPartitions("tile_id", "place").select("tile_id", "value")
+     .write.partitionBy("tile_id").text(staged))
+    jvm = spark.sparkContext._jvm
+    source = jvm.org.apache.hadoop.fs.Path(staged)
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(jvm.org.apache.hadoop.fs.Path(root))
+    for folder in files.listStatus(source):
+        name = folder.getPath().getName()
+        if name.startswith("tile_id="):
+            part = files.listStatus(folder.getPath())[0].getPath()
+            files.rename(part, jvm.org.apache.hadoop.fs.Path(f"{root}/{name.split('=', 1)[1]}{suffix}"))
+    return root
+
+
+def write_point_files(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
+    """The points as one ``<tile>.txt`` of ``x y z`` lines per tile; returns the folder."""
+    lines = points(spark, sf_dir).select("tile_id", F.col("seq").alias("place"), F.concat_ws(
+        " ", *[F.col(c).cast("string") for c in "xyz"]).alias("value"))
+    return _write_named(spark, lines, root or scratch_path(spark, "points"), ".txt")
+
+
+def write_face_files(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
+    """The gold faces as one ``<tile>.geojson`` per tile; returns the folder."""
+    lines = documents(faces(spark, sf_dir, "gold")).select(F.col("apn").alias("tile_id"), F.col("doc").alias("place"), "value")
+    return _write_named(spark, lines, root or scratch_path(spark, "faces"), ".geojson")
+
+
 _BOXES = {
     "gold": ("explode(array(0, 1))",
              "CASE WHEN f = 0 THEN 3 ELSE 15 END", "CASE WHEN f = 0 THEN 15 ELSE 27 END", "3", "27"),
@@ -110,12 +154,13 @@ def faces(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return to_crs(pixel, georef(spark, sf_dir)).drop("tile_id")
 
 
-# The same inputs for the SQL checks, as common table expressions by name.
+# The same inputs for the SQL checks, as common table expressions by name. Tiles are numbers
+# there and become strings in the final result.
 _PIXELS_SQL = ("supplier CROSS JOIN (SELECT CAST(range AS INT) AS px FROM range(30)) "
                "CROSS JOIN (SELECT CAST(range AS INT) AS py FROM range(30))")
 SQL = {
     "points": """
-        SELECT CAST(l_suppkey AS VARCHAR) AS tile_id,
+        SELECT l_suppkey AS tile_id,
                row_number() OVER (PARTITION BY l_suppkey
                  ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq,
                l_quantity AS x, l_extendedprice / 2000 AS y,
@@ -123,7 +168,7 @@ SQL = {
                  + CAST(0.1 AS DOUBLE) * (l_extendedprice / 2000) + l_discount AS z
         FROM lineitem""",
     "roof_points": """
-        SELECT CAST(l_suppkey AS VARCHAR) AS tile_id, seq, x, y,
+        SELECT l_suppkey AS tile_id, seq, x, y,
                30 - CAST(0.4 AS DOUBLE) * abs_off
                  - CAST(0.5 AS DOUBLE) * greatest(abs_off - 3 - y / 6, CAST(0 AS DOUBLE))
                  + CAST(0.05 AS DOUBLE) * y + CAST(0.1 AS DOUBLE) * l_discount AS z
@@ -133,27 +178,27 @@ SQL = {
                             ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq
                           FROM lineitem)))""",
     "raster": f"""
-        SELECT CAST(s_suppkey AS VARCHAR) AS tile_id, px, py,
+        SELECT s_suppkey AS tile_id, px, py,
                CAST((CASE WHEN px < 15 THEN 180 ELSE 120 END + (px * 7 + py * 3) % 4) * 65536
                     + 100 * 256 + 90 - 16777216 AS INT) AS argb
         FROM {_PIXELS_SQL}""",
     "outline": f"""
-        SELECT CAST(s_suppkey AS VARCHAR) AS tile_id, px, py,
+        SELECT s_suppkey AS tile_id, px, py,
                CAST(CASE WHEN px BETWEEN 3 AND 26 AND py BETWEEN 3 AND 26
                     THEN 16716049 - 16777216 ELSE -16777216 END AS INT) AS argb
         FROM {_PIXELS_SQL}""",
     "georef": """
-        SELECT CAST(s_suppkey AS VARCHAR) AS tile_id, CAST(0.5 AS DOUBLE) AS m00, CAST(0 AS DOUBLE) AS m01,
+        SELECT s_suppkey AS tile_id, CAST(0.5 AS DOUBLE) AS m00, CAST(0 AS DOUBLE) AS m01,
                CAST(s_suppkey AS DOUBLE) * 100 AS m02, CAST(0 AS DOUBLE) AS m10, CAST(-0.5 AS DOUBLE) AS m11,
                CAST(5000 AS DOUBLE) AS m12, 3857 AS srid
         FROM supplier""",
     "gold": """
-        SELECT CAST(s_suppkey AS VARCHAR) AS tile_id, f AS face_id,
+        SELECT s_suppkey AS tile_id, f AS face_id,
                CASE WHEN f = 0 THEN 3 ELSE 15 END AS x0, CASE WHEN f = 0 THEN 15 ELSE 27 END AS x1,
                3 AS y0, 27 AS y1
         FROM supplier CROSS JOIN (VALUES (0), (1)) v(f)""",
     "result": """
-        SELECT CAST(s_suppkey AS VARCHAR) AS tile_id, f AS face_id,
+        SELECT s_suppkey AS tile_id, f AS face_id,
                CASE WHEN f = 0 THEN 3 WHEN f = 1 THEN 13 + s_suppkey % 5 ELSE 0 END AS x0,
                CASE WHEN f = 0 THEN 13 + s_suppkey % 5 WHEN f = 1 THEN 27 ELSE 2 END AS x1,
                CASE WHEN f = 2 THEN 0 ELSE 3 END AS y0, CASE WHEN f = 2 THEN 2 ELSE 27 END AS y1

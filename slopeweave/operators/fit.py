@@ -12,53 +12,63 @@ from slopeweave.operators.joins import attach
 from slopeweave.session import cut
 
 _SUMS = MOMENTS[1:]
-_SCHEMA = "tile_id STRING, knn INT, px INT, py INT, n INT, " + ", ".join(f"{m} DOUBLE" for m in _SUMS)
-
-
-def _block_moments(key: tuple, block: pa.Table) -> pa.Table:
-    px, py, height, masked = (block[c].to_numpy() for c in ("px", "py", "height", "in_mask"))
-    w, h, side = block["w"][0].as_py(), block["h"][0].as_py(), block["side"][0].as_py()
-    tile_id, knn, bx, by = (v.as_py() for v in key)
-    rows = np.flatnonzero(masked & (px // side == bx) & (py // side == by))
-    n = np.zeros(len(rows), dtype=np.int32)
-    sums = {m: np.zeros(len(rows)) for m in _SUMS}
-    where = np.empty(len(px), dtype=np.int64)
-    where[rows] = np.arange(len(rows))
-    window = Window(px, py, reach(knn, w, h)) if len(rows) else None
-    for some, steps, used in nearest(px, py, rows, knn, w, h):
-        at = where[some]
-        weight = used.astype(np.float64)
-        dx, dy = steps[:, 0].astype(np.float64), steps[:, 1].astype(np.float64)
-        rise = (height[window.shifted(some, steps)] - height[some][:, None]) * weight
-        n[at] = used.sum(axis=1)
-        sums["sx"][at], sums["sy"][at], sums["sh"][at] = weight @ dx, weight @ dy, rise.sum(axis=1)
-        sums["sxx"][at], sums["sxy"][at], sums["syy"][at] = weight @ (dx * dx), weight @ (dx * dy), weight @ (dy * dy)
-        sums["sxh"][at], sums["syh"][at], sums["shh"][at] = rise @ dx, rise @ dy, (rise * rise).sum(axis=1)
-    return pa.table({
-        "tile_id": pa.array([tile_id] * len(rows), pa.string()),
-        "knn": pa.array(np.full(len(rows), knn, dtype=np.int32)),
-        "px": px[rows], "py": py[rows], "n": n, **sums})
+_SCHEMA = ("tile_id STRING, knn INT, px INT, py INT, height DOUBLE, intensity DOUBLE, n INT, "
+           + ", ".join(f"{m} DOUBLE" for m in _SUMS))
+
+
+def _block_moments(ks: list[int], side: int):
+    """Moments around the masked cells of one block, for every k."""
+
+    def moments(key: tuple, block: pa.Table) -> pa.Table:
+        tile_id, bx, by = (v.as_py() for v in key)
+        px, py, height, masked = (block[c].to_numpy() for c in ("px", "py", "height", "in_mask"))
+        w, h = block["w"][0].as_py(), block["h"][0].as_py()
+        rows = np.flatnonzero(masked & (px // side == bx) & (py // side == by))
+        where = np.empty(len(px), dtype=np.int64)
+        where[rows] = np.arange(len(rows))
+        window = Window(px, py, max(reach(k, w, h) for k in ks)) if len(rows) else None
+        n = np.zeros((len(ks), len(rows)), dtype=np.int32)
+        sums = {m: np.zeros((len(ks), len(rows))) for m in _SUMS}
+        for i, k in enumerate(ks):
+            for some, steps, used in nearest(px, py, rows, k, w, h):
+                at = (i, where[some])
+                weight = used.astype(np.float64)
+                dx, dy = steps[:, 0].astype(np.float64), steps[:, 1].astype(np.float64)
+                rise = (height[window.shifted(some, steps)] - height[some][:, None]) * weight
+                n[at] = used.sum(axis=1)
+                for name, value in (("sx", dx), ("sy", dy), ("sxx", dx * dx), ("sxy", dx * dy), ("syy", dy * dy)):
+                    sums[name][at] = weight @ value
+                sums["sxh"][at], sums["syh"][at] = rise @ dx, rise @ dy
+                sums["sh"][at], sums["shh"][at] = rise.sum(axis=1), np.einsum("ij,ij->i", rise, rise)
+        times = len(ks)
+        own = {c: np.tile(block[c].to_numpy()[rows], times) for c in ("px", "py", "height", "intensity")}
+        return pa.table({
+            "tile_id": pa.array([tile_id] * (len(rows) * times), pa.string()),
+            "knn": np.repeat(np.array(ks, dtype=np.int32), len(rows)), **own,
+            "n": n.ravel(), **{m: s.ravel() for m, s in sums.items()}})
+
+    return moments
 
 
 def local_moments(cells: DataFrame, tiles: DataFrame, knn: list[int], side: int = SIDE) -> DataFrame:
     """Moments of (px, py, height) over the k nearest cells of each masked cell, for every k.
 
     The k nearest include the cell itself and unmasked cells; ties go by column, then row.
-    Offsets are taken from the cell, and heights from its height. One shuffle, of little more
-    than the cells.
+    Offsets are taken from the cell, and heights from its height. One shuffle of little more
+    than the cells serves every k; the cell's own height and intensity are passed on.
     """
-    each_k = F.explode(F.array(*[F.lit(int(k)) for k in sorted(set(knn))]))
-    sizes = (tiles.select("tile_id", "w", "h", each_k.alias("knn"), F.lit(side).alias("side"))
-             .withColumn("halo", reach_column(F.col("knn"), F.col("w"), F.col("h"))))
-    placed = attach(cells.select("tile_id", "px", "py", "height", "in_mask"), sizes, ["tile_id"])
+    ks = sorted({int(k) for k in knn})
+    widest = F.greatest(*[reach_column(F.lit(k), F.col("w"), F.col("h")) for k in [ks[0], *ks]])
+    sizes = tiles.select("tile_id", "w", "h", widest.alias("halo"))
+    placed = attach(cells.select("tile_id", "px", "py", "height", "in_mask", "intensity"), sizes, ["tile_id"])
     return (with_blocks(placed, F.col("halo"), side).drop("halo")
-            .groupBy("tile_id", "knn", "bx", "by").applyInArrow(_block_moments, _SCHEMA))
+            .groupBy("tile_id", "bx", "by").applyInArrow(_block_moments(ks, side), _SCHEMA))
 
 
 def fit_planes(cells: DataFrame, tiles: DataFrame, knn: list[int], side: int = SIDE) -> DataFrame:
     """Curvature and unit normal of every masked cell, for every k."""
     return with_plane(local_moments(cells, tiles, knn, side)).select(
-        "tile_id", "knn", "px", "py", "curv", "nx", "ny", "nz")
+        "tile_id", "knn", "px", "py", "height", "intensity", "curv", "nx", "ny", "nz")
 
 
 def curvature_range(fits: DataFrame, tiles: DataFrame) -> DataFrame:

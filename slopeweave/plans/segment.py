@@ -34,9 +34,7 @@ def masked_cells(points: DataFrame, outline: DataFrame, raster: DataFrame, tiles
                  knn: list[int], roof_color: int = ROOF_COLOR) -> DataFrame:
     """Masked cells with height, intensity, normal and normalised curvature, for every k."""
     cells = cut(segment_cells(points, outline, raster, tiles, roof_color), "cells")
-    fits = normalize(cut(fit_planes(cells, tiles, knn), "fits"), tiles)
-    return fits.join(cells.filter("in_mask").select("tile_id", "px", "py", "height", "intensity"),
-                     ["tile_id", "px", "py"])
+    return normalize(cut(fit_planes(cells, tiles, knn), "fits"), tiles)
 
 
 def segment(points: DataFrame, outline: DataFrame, raster: DataFrame, georef: DataFrame, params: DataFrame,
@@ -54,7 +52,7 @@ def segment(points: DataFrame, outline: DataFrame, raster: DataFrame, georef: Da
     spark = points.sparkSession
     usable = spark.createDataFrame(rows, usable.schema)
     tiles = cut(input_tiles(points, outline, raster, georef), "tiles")
-    cells = cut(masked_cells(points, outline, raster, tiles, [r["knn"] for r in rows], roof_color), "masked")
+    cells = masked_cells(points, outline, raster, tiles, [r["knn"] for r in rows], roof_color)
     per_set = cells.join(F.broadcast(usable.select("param_id", "knn")), "knn").drop("knn")
 
     grown = cut(grow_regions(per_set, tiles, rows), "region_cells")
