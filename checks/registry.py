@@ -29,9 +29,14 @@ def query(select: str | None = None):
     return register
 
 
-def r6(column, name: str):
-    """Rounded to 6 places, without negative zero."""
-    return (F.round(F.col(column) if isinstance(column, str) else column, 6) + 0.0).alias(name)
+def r6(column, name: str, places: int = 6):
+    """Rounded, without negative zero. Values with few decimals take more places than they
+    have, so that no engine has to break a tie."""
+    return (F.round(F.col(column) if isinstance(column, str) else column, places) + 0.0).alias(name)
+
+
+def r9(column, name: str):
+    return r6(column, name, 9)
 
 
 # --- shared steps -----------------------------------------------------------------------
@@ -197,16 +202,16 @@ def p3_grid_size(spark, d):
     return grid.grid_size(grid.extents(fx.points(spark, d))).select("tile_id", "n", "w", "h")
 
 
-@query("SELECT tile_id, seq, px, py, round(height, 6) AS height FROM placed")
+@query("SELECT tile_id, seq, px, py, round(height, 9) AS height FROM placed")
 def p4_to_cell(spark, d):
     points = fx.points(spark, d)
-    return grid.to_cell(points, _tiles(spark, d)).select("tile_id", "seq", "px", "py", r6("height", "height"))
+    return grid.to_cell(points, _tiles(spark, d)).select("tile_id", "seq", "px", "py", r9("height", "height"))
 
 
-@query("SELECT tile_id, seq, round(height, 6) AS height FROM roof_placed")
+@query("SELECT tile_id, seq, round(height, 9) AS height FROM roof_placed")
 def p5_cell_height(spark, d):
     tiles = _tiles(spark, d, "roof_points")
-    return grid.to_cell(fx.roof_points(spark, d), tiles).select("tile_id", "seq", r6("height", "height"))
+    return grid.to_cell(fx.roof_points(spark, d), tiles).select("tile_id", "seq", r9("height", "height"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CAST(((CAST(trunc(greatest(least("
@@ -235,9 +240,9 @@ def p9_intensity(spark, d):
     return fx.raster(spark, d).select("tile_id", "px", "py", r6(fc.intensity(F.col("argb")), "intensity"))
 
 
-@query("SELECT tile_id, px, py, round(ncurv, 6) AS ncurv FROM grown8")
+@query("SELECT tile_id, px, py, ncurv FROM grown8")
 def p10_normalize(spark, d):
-    return _masked(spark, d, 8)[1].select("tile_id", "px", "py", r6("ncurv", "ncurv"))
+    return _masked(spark, d, 8)[1].select("tile_id", "px", "py", "ncurv")
 
 
 @query("""SELECT v.vec_id, v.label, round(list_sum(list_transform(list_zip(v.embedding, f.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2]))
@@ -252,12 +257,11 @@ def p11_cosine(spark, d):
         "vec_id", "label", r6(planes.cosine_arrays(F.col("embedding"), F.col("first")), "cosine"))
 
 
-@query("SELECT tile_id, px, py, round(curv, 6) AS curv, round(nx, 6) + 0.0 AS nx, round(ny, 6) + 0.0 AS ny, "
-       "round(nz, 6) + 0.0 AS nz FROM fits54")
+@query("SELECT tile_id, px, py, round(curv, 6) AS curv, nx, ny, nz FROM fits54")
 def p12_p13_plane(spark, d):
     tiles = _roof_tiles(spark, d)
     fits = fit.fit_planes(_roof_cells(spark, d, tiles), tiles, [54])
-    return fits.select("tile_id", "px", "py", r6("curv", "curv"), r6("nx", "nx"), r6("ny", "ny"), r6("nz", "nz"))
+    return fits.select("tile_id", "px", "py", r6("curv", "curv"), "nx", "ny", "nz")
 
 
 _VECTORS = """(SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, a / size AS nx, b / size AS ny, c / size AS nz
@@ -483,11 +487,11 @@ def j3_knn_cells(spark, d):
     return growth.knn_cells(_roof_cells(spark, d, tiles), tiles, 8)
 
 
-@query("SELECT tile_id, u, v, round(cosine, 6) AS cosine, round(dcurv, 6) AS dcurv, round(dcolor, 6) AS dcolor FROM edges8")
+@query("SELECT tile_id, u, v, round(cosine, 6) AS cosine, round(dcurv, 9) AS dcurv, round(dcolor, 6) AS dcolor FROM edges8")
 def j4_edge_attrs(spark, d):
     e = _edges(spark, d)
     return e.select("tile_id", fc.cell_id(F.col("px"), F.col("py")).alias("u"), fc.cell_id(F.col("qx"), F.col("qy")).alias("v"),
-                    r6(growth.edge_cosine(), "cosine"), r6(F.abs(F.col("q_ncurv") - F.col("p_ncurv")), "dcurv"),
+                    r6(growth.edge_cosine(), "cosine"), r9(F.abs(F.col("q_ncurv") - F.col("p_ncurv")), "dcurv"),
                     r6(F.abs(F.col("q_intensity") - F.col("p_intensity")), "dcolor"))
 
 
@@ -538,33 +542,33 @@ def a1_extents(spark, d):
     return grid.extents(fx.points(spark, d)).select("tile_id", "n", "min_x", "max_x", "min_y", "max_y", F.round("min_z", 9).alias("min_z"), F.round("max_z", 9).alias("max_z"))
 
 
-@query("SELECT tile_id, px, py, round(height, 6) AS height FROM cells")
+@query("SELECT tile_id, px, py, round(height, 9) AS height FROM cells")
 def a2_height_grid(spark, d):
     points = fx.points(spark, d)
-    return grid.height_grid(points, _tiles(spark, d)).select("tile_id", "px", "py", r6("height", "height"))
+    return grid.height_grid(points, _tiles(spark, d)).select("tile_id", "px", "py", r9("height", "height"))
 
 
-@query("SELECT tile_id, px, py, CAST(n AS INT) AS n, round(cxx, 6) AS cxx, round(cxy, 6) + 0.0 AS cxy, round(cyy, 6) AS cyy, "
-       "round(cxh, 6) + 0.0 AS cxh, round(cyh, 6) + 0.0 AS cyh, round(chh, 6) AS chh FROM moments54")
+@query("SELECT tile_id, px, py, CAST(n AS INT) AS n, round(cxx, 8) AS cxx, round(cxy, 8) + 0.0 AS cxy, round(cyy, 8) AS cyy, "
+       "round(cxh, 8) + 0.0 AS cxh, round(cyh, 8) + 0.0 AS cyh, round(chh, 8) AS chh FROM moments54")
 def a3_local_moments(spark, d):
     tiles = _roof_tiles(spark, d)
     moments = fit.local_moments(_roof_cells(spark, d, tiles), tiles, [54])
     names = ["cxx", "cxy", "cyy", "cxh", "cyh", "chh"]
-    return planes.with_covariance(moments).select("tile_id", "px", "py", "n", *[r6(c, c) for c in names])
+    return planes.with_covariance(moments).select("tile_id", "px", "py", "n", *[r6(c, c, 8) for c in names])
 
 
-@query("SELECT tile_id, region_id, n AS size, round(sum_curv, 6) AS sum_curv, CAST(sum_x AS BIGINT) AS sum_x, CAST(sum_y AS BIGINT) AS sum_y, "
+@query("SELECT tile_id, region_id, n AS size, round(sum_curv, 9) AS sum_curv, CAST(sum_x AS BIGINT) AS sum_x, CAST(sum_y AS BIGINT) AS sum_y, "
        "round(sum_color, 6) AS sum_color FROM regions8")
 def a4_region_stats(spark, d):
     return regions.region_stats(_grown(spark, d)[1]).select(
-        "tile_id", "region_id", "size", r6("sum_curv", "sum_curv"), "sum_x", "sum_y", r6("sum_color", "sum_color"))
+        "tile_id", "region_id", "size", r9("sum_curv", "sum_curv"), "sum_x", "sum_y", r6("sum_color", "sum_color"))
 
 
-@query("SELECT tile_id, region_id, round(sum_curv / n, 6) AS curvature, round(sum_color / n, 6) AS color, "
+@query("SELECT tile_id, region_id, round(sum_curv / n, 8) AS curvature, round(sum_color / n, 6) AS color, "
        "CAST(sum_x // n AS INT) AS cx, CAST(sum_y // n AS INT) AS cy FROM regions8")
 def a5_region_means(spark, d):
     return regions.region_means(regions.region_stats(_grown(spark, d)[1])).select(
-        "tile_id", "region_id", r6("curvature", "curvature"), r6("color", "color"), "cx", "cy")
+        "tile_id", "region_id", r6("curvature", "curvature", 8), r6("color", "color"), "cx", "cy")
 
 
 @query("SELECT tile_id, region_id, round(slope, 4) AS slope, round(azimuth, 4) AS azimuth, round(curv, 6) AS curv FROM large8")
@@ -580,7 +584,7 @@ def a7_curvature_stats(spark, d):
     return stats.select("tile_id", "max_ncurv", "min_ncurv", r6("mean_ncurv", "mean_ncurv"))
 
 
-@query("""SELECT tile_id, target AS region_id, sum(n) AS size, round(sum(sum_curv), 6) AS sum_curv, CAST(sum(sum_x) AS BIGINT) AS sum_x
+@query("""SELECT tile_id, target AS region_id, CAST(sum(n) AS BIGINT) AS size, round(sum(sum_curv), 9) AS sum_curv, CAST(sum(sum_x) AS BIGINT) AS sum_x
     FROM (SELECT r.*, CASE WHEN n > 10 THEN region_id ELSE coalesce(
             (SELECT min(q.region_id) FROM regions8 q WHERE q.tile_id = r.tile_id AND q.n > 10), region_id) END AS target FROM regions8 r)
     GROUP BY tile_id, target""")
@@ -588,7 +592,7 @@ def a8_combine(spark, d):
     stats = cut(regions.region_stats(_grown(spark, d)[1]), "stats")
     first = stats.filter("size > 10").groupBy("param_id", "tile_id").agg(F.min("region_id").alias("absorber"))
     absorbed = stats.filter("size <= 10").select(*regions.REGION).join(first, ["param_id", "tile_id"])
-    return regions.combine(stats, absorbed).select("tile_id", "region_id", "size", r6("sum_curv", "sum_curv"), "sum_x")
+    return regions.combine(stats, absorbed).select("tile_id", "region_id", "size", r9("sum_curv", "sum_curv"), "sum_x")
 
 
 @query("SELECT tile_id, gold_face, result_face, CAST(overlap AS BIGINT) AS overlap FROM best")

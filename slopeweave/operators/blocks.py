@@ -20,11 +20,11 @@ ROWS_AT_ONCE = 2048
 
 def reach(k: int, w: int, h: int) -> int:
     """Distance within which every cell of a w x h grid has its k nearest cells: a box of k
-    cells fits beside any cell, and this is the box's diagonal."""
+    cells fits around any cell, and this is the box's diagonal, rounded up."""
     short, long = min(w, h), max(w, h)
     a = max(1, min(short, math.isqrt(max(k, 1) - 1) + 1))
     b = max(1, min(long, -(-k // a)))
-    return math.isqrt((a - 1) ** 2 + (b - 1) ** 2)
+    return math.ceil(math.sqrt((a - 1) ** 2 + (b - 1) ** 2))
 
 
 def reach_column(k: Column, w: Column, h: Column) -> Column:
@@ -32,7 +32,7 @@ def reach_column(k: Column, w: Column, h: Column) -> Column:
     short, long = F.least(w, h), F.greatest(w, h)
     a = F.greatest(F.lit(1), F.least(short, F.ceil(F.sqrt(k)).cast("int")))
     b = F.greatest(F.lit(1), F.least(long, F.ceil(k / a).cast("int")))
-    return F.floor(F.sqrt((a - 1) * (a - 1) + (b - 1) * (b - 1))).cast("int")
+    return F.ceil(F.sqrt((a - 1) * (a - 1) + (b - 1) * (b - 1))).cast("int")
 
 
 @lru_cache(maxsize=64)

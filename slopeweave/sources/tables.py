@@ -72,7 +72,7 @@ def write_dem(dem: DataFrame, path: str) -> None:
 
 
 def read_dem(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PIXELS).parquet(path)
+    return read_pixels(spark, path).select("tile_id", "px", "py", "argb")
 
 
 def processed_count(df: DataFrame) -> int:
