@@ -29,33 +29,46 @@ def cosine_arrays(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def shifted_moments(dx: Column, dy: Column) -> dict[str, Column]:
-    """Moments of a point set after moving its origin by (dx, dy)."""
-    c = F.col
-    return {
-        "sx": c("sx") + c("n") * dx,
-        "sy": c("sy") + c("n") * dy,
-        "sxx": c("sxx") + 2 * dx * c("sx") + c("n") * dx * dx,
-        "sxy": c("sxy") + dx * c("sy") + dy * c("sx") + c("n") * dx * dy,
-        "syy": c("syy") + 2 * dy * c("sy") + c("n") * dy * dy,
-        "sxh": c("sxh") + dx * c("sh"),
-        "syh": c("syh") + dy * c("sh"),
+def moved_to(df: DataFrame, dx: str, dy: str) -> DataFrame:
+    """The same point sets with moments about an origin moved by (-dx, -dy), given as SQL."""
+    moved = {
+        "sx": f"sx + n * {dx}", "sy": f"sy + n * {dy}",
+        "sxx": f"sxx + 2 * {dx} * sx + n * {dx} * {dx}", "syy": f"syy + 2 * {dy} * sy + n * {dy} * {dy}",
+        "sxy": f"sxy + {dx} * sy + {dy} * sx + n * {dx} * {dy}",
+        "sxh": f"sxh + {dx} * sh", "syh": f"syh + {dy} * sh",
     }
+    return df.selectExpr(*[f"{moved[c]} AS {c}" if c in moved else f"`{c}`" for c in df.columns])
 
 
 def with_covariance(df: DataFrame) -> DataFrame:
     """Add the six entries of the sample covariance of (x, y, height)."""
-    n = F.col("n").cast("double")
-
-    def entry(name: str, a: str, b: str) -> Column:
-        centred = F.col(name) - F.col(a) * F.col(b) / n
-        return F.coalesce(F.try_divide(centred, n - 1), F.lit(0.0))
-
-    return df.withColumns({
-        "cxx": entry("sxx", "sx", "sx"), "cxy": entry("sxy", "sx", "sy"),
-        "cyy": entry("syy", "sy", "sy"), "cxh": entry("sxh", "sx", "sh"),
-        "cyh": entry("syh", "sy", "sh"), "chh": entry("shh", "sh", "sh"),
-    })
+    entries = {"cxx": ("sxx", "sx", "sx"), "cxy": ("sxy", "sx", "sy"), "cyy": ("syy", "sy", "sy"),
+               "cxh": ("sxh", "sx", "sh"), "cyh": ("syh", "sy", "sh"), "chh": ("shh", "sh", "sh")}
+    return df.selectExpr("*", *[
+        f"coalesce(try_divide({ab} - {a} * {b} / n, CAST(n - 1 AS DOUBLE)), 0.0D) AS {name}"
+        for name, (ab, a, b) in entries.items()])
+
+
+# The fit in steps: each list of expressions sees the columns of those before it.
+_TURN = repr(2.0 * math.pi / 3.0)
+_STEPS = [
+    ["(cxx + cyy + chh) / 3 AS _q"],
+    ["cxx - _q AS _a", "cyy - _q AS _b", "chh - _q AS _c"],
+    ["sqrt((_a * _a + _b * _b + _c * _c + 2 * (cxy * cxy + cxh * cxh + cyh * cyh)) / 6) AS _p",
+     "_a * (_b * _c - cyh * cyh) - cxy * (cxy * _c - cyh * cxh) + cxh * (cxy * cyh - _b * cxh) AS _det"],
+    ["acos(greatest(least(coalesce(try_divide(_det, 2 * _p * _p * _p), 0.0D), 1.0D), -1.0D)) / 3 AS _phi"],
+    [f"greatest(_q + 2 * _p * cos(_phi + {_TURN}D), 0.0D) AS _l3"],
+    ["cxx - _l3 AS _r", "cyy - _l3 AS _s", "chh - _l3 AS _t"],
+    # cross products of the rows (_r, cxy, cxh), (cxy, _s, cyh), (cxh, cyh, _t)
+    ["cxy * cyh - cxh * _s AS _x1", "cxh * cxy - _r * cyh AS _y1", "_r * _s - cxy * cxy AS _z1",
+     "cxy * _t - cxh * cyh AS _x2", "cxh * cxh - _r * _t AS _y2", "_r * cyh - cxy * cxh AS _z2",
+     "_s * _t - cyh * cyh AS _x3", "cyh * cxh - cxy * _t AS _y3", "cxy * cyh - _s * cxh AS _z3"],
+    [f"_x{i} * _x{i} + _y{i} * _y{i} + _z{i} * _z{i} AS _n{i}" for i in (1, 2, 3)],
+    ["greatest(_n1, _n2, _n3) AS _nn"],
+    [f"coalesce(round(try_divide(CASE WHEN _n1 = _nn THEN _{axis}1 WHEN _n2 = _nn THEN _{axis}2 ELSE _{axis}3 END, "
+     f"sqrt(_nn)), 9), {default}) AS _v{axis}" for axis, default in (("x", "0.0D"), ("y", "0.0D"), ("z", "1.0D"))],
+    ["CASE WHEN _vz < 0 OR (_vz = 0 AND _vx < 0) OR (_vz = 0 AND _vx = 0 AND _vy < 0) THEN -1.0D ELSE 1.0D END AS _sign"],
+]
 
 
 def with_plane(df: DataFrame) -> DataFrame:
@@ -64,58 +77,13 @@ def with_plane(df: DataFrame) -> DataFrame:
     ``curv`` is the least eigenvalue's share of the trace. The normal belongs to the least
     eigenvalue and is turned so that nz > 0 (or nz = 0 and nx > 0, or both 0 and ny > 0).
     """
-    c = F.col
-    kept = df.columns
-    df = with_covariance(df)
-    df = df.withColumn("_q", (c("cxx") + c("cyy") + c("chh")) / 3)
-    df = df.withColumns({"_a": c("cxx") - c("_q"), "_b": c("cyy") - c("_q"), "_c": c("chh") - c("_q")})
-    df = df.withColumn("_p", F.sqrt((
-        c("_a") * c("_a") + c("_b") * c("_b") + c("_c") * c("_c")
-        + 2 * (c("cxy") * c("cxy") + c("cxh") * c("cxh") + c("cyh") * c("cyh"))) / 6))
-    det = (
-        c("_a") * (c("_b") * c("_c") - c("cyh") * c("cyh"))
-        - c("cxy") * (c("cxy") * c("_c") - c("cyh") * c("cxh"))
-        + c("cxh") * (c("cxy") * c("cyh") - c("_b") * c("cxh"))
-    )
-    half_det = F.coalesce(F.try_divide(det, 2 * c("_p") * c("_p") * c("_p")), F.lit(0.0))
-    df = df.withColumn("_phi", F.acos(F.greatest(F.least(half_det, F.lit(1.0)), F.lit(-1.0))) / 3)
-    df = df.withColumn("_l3", F.greatest(
-        c("_q") + 2 * c("_p") * F.cos(c("_phi") + 2.0 * math.pi / 3.0), F.lit(0.0)))
-    df = df.withColumns({"_a": c("cxx") - c("_l3"), "_b": c("cyy") - c("_l3"), "_c": c("chh") - c("_l3")})
-    rows = {"0": ("_a", "cxy", "cxh"), "1": ("cxy", "_b", "cyh"), "2": ("cxh", "cyh", "_c")}
-    pairs = [("0", "1"), ("0", "2"), ("1", "2")]
-    products = {}
-    for i, j in pairs:
-        (a1, a2, a3), (b1, b2, b3) = rows[i], rows[j]
-        products[f"_x{i}{j}"] = c(a2) * c(b3) - c(a3) * c(b2)
-        products[f"_y{i}{j}"] = c(a3) * c(b1) - c(a1) * c(b3)
-        products[f"_z{i}{j}"] = c(a1) * c(b2) - c(a2) * c(b1)
-    df = df.withColumns(products)
-    df = df.withColumns({
-        f"_n{i}{j}": c(f"_x{i}{j}") * c(f"_x{i}{j}") + c(f"_y{i}{j}") * c(f"_y{i}{j}")
-        + c(f"_z{i}{j}") * c(f"_z{i}{j}") for i, j in pairs})
-    df = df.withColumn("_nn", F.greatest(c("_n01"), c("_n02"), c("_n12")))
-
-    def longest(axis: str) -> Column:
-        return (F.when(c("_n01") == c("_nn"), c(f"_{axis}01"))
-                .when(c("_n02") == c("_nn"), c(f"_{axis}02")).otherwise(c(f"_{axis}12")))
-
-    length = F.sqrt(c("_nn"))
-    df = df.withColumns({
-        "_vx": F.coalesce(F.round(F.try_divide(longest("x"), length), 9), F.lit(0.0)),
-        "_vy": F.coalesce(F.round(F.try_divide(longest("y"), length), 9), F.lit(0.0)),
-        "_vz": F.coalesce(F.round(F.try_divide(longest("z"), length), 9), F.lit(1.0)),
-    })
-    down = ((c("_vz") < 0) | ((c("_vz") == 0) & (c("_vx") < 0))
-            | ((c("_vz") == 0) & (c("_vx") == 0) & (c("_vy") < 0)))
-    sign = F.when(down, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return df.select(
-        *kept,
-        F.coalesce(F.try_divide(c("_l3"), 3 * c("_q")), F.lit(0.0)).alias("curv"),
-        (sign * c("_vx") + 0.0).alias("nx"),
-        (sign * c("_vy") + 0.0).alias("ny"),
-        (sign * c("_vz") + 0.0).alias("nz"),
-    )
+    fitted = with_covariance(df)
+    for step in _STEPS:
+        fitted = fitted.selectExpr("*", *step)
+    return fitted.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        "coalesce(try_divide(_l3, 3 * _q), 0.0D) AS curv",
+        "_sign * _vx + 0.0D AS nx", "_sign * _vy + 0.0D AS ny", "_sign * _vz + 0.0D AS nz")
 
 
 def slope(nz: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slopeweave.functions.cells import cell_px, cell_py
-from slopeweave.functions.planes import azimuth, shifted_moments, slope, with_plane
+from slopeweave.functions.planes import azimuth, moved_to, slope, with_plane
 from slopeweave.operators.growth import SCOPE
 
 REGION = [*SCOPE, "region_id"]
@@ -45,7 +45,7 @@ def region_means(regions: DataFrame) -> DataFrame:
 def region_attrs(regions: DataFrame, compass: bool = False) -> DataFrame:
     """Add the plane's surface variation, slope and azimuth. One cell lies flat and keeps its
     own curvature."""
-    fitted = with_plane(regions.withColumn("n", F.col("size"))).drop("n")
+    fitted = with_plane(regions.withColumn("n", F.col("size").cast("double"))).drop("n")
     alone = F.col("size") == 1
     return (fitted.withColumn("curv", F.when(alone, F.col("sum_curv")).otherwise(F.col("curv")))
             .withColumns({"slope": slope(F.col("nz")), "azimuth": azimuth(F.col("nx"), F.col("ny"), compass)}))
@@ -66,10 +66,11 @@ def combine(regions: DataFrame, absorbed: DataFrame) -> DataFrame:
     the moments are moved to the absorber's origin."""
     target = F.coalesce("absorber", "region_id")
     kept = F.col("region_id") == F.col("_target")
-    moved = regions.join(absorbed, REGION, "left").withColumn("_target", target)
-    dx = (cell_px(F.col("region_id")) - cell_px(F.col("_target"))).cast("double")
-    dy = (cell_py(F.col("region_id")) - cell_py(F.col("_target"))).cast("double")
-    moved = moved.withColumn("n", F.col("size").cast("double")).withColumns(shifted_moments(dx, dy))
+    moved = regions.join(absorbed, REGION, "left").withColumns({"_target": target, "n": F.col("size").cast("double")})
+    moved = moved.withColumns({
+        "_dx": (cell_px(F.col("region_id")) - cell_px(F.col("_target"))).cast("double"),
+        "_dy": (cell_py(F.col("region_id")) - cell_py(F.col("_target"))).cast("double")})
+    moved = moved_to(moved, "_dx", "_dy")
     return (moved.groupBy(*SCOPE, F.col("_target"))
             .agg(F.sum("size").alias("size"), *[F.sum(s).alias(s) for s in SUMS],
                  F.max(F.when(kept, F.col("seed_ncurv"))).alias("seed_ncurv"),

@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -66,7 +67,5 @@ def cut_counting(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFram
 def _write_and_read(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    import time as _t, os as _o; _s=_t.time()
     df.write.parquet(path)
-    if _o.environ.get("SW_PROF"): print("   cut", label, round(_t.time()-_s,2), flush=True)
     return spark.read.schema(df.schema).parquet(path)
