@@ -422,8 +422,8 @@ _ELIGIBLE = ("SELECT tile_id, region_id AS a, other_id AS b FROM near8 WHERE px
 
 
 def _eligible(spark, d, cmp="gt"):
-    _, _, _, large, _ = _large(spark, d)
-    return merging.eligible_pairs(cut(large, "large"), tables.clean_params(fx.roof_params_df(spark)), slope_cmp=cmp).select("tile_id", "a", "b")
+    tiles, _, _, large, _ = _large(spark, d)
+    return merging.eligible_pairs(cut(large, "large"), tiles, tables.clean_params(fx.roof_params_df(spark)), slope_cmp=cmp).select("tile_id", "a", "b")
 
 
 @query(_ELIGIBLE.format(cmp=">"))
@@ -497,8 +497,8 @@ def j4_edge_attrs(spark, d):
 
 @query("SELECT tile_id, region_id, other_id, d2 FROM near8")
 def j5_knn_regions(spark, d):
-    _, _, _, large, _ = _large(spark, d)
-    return merging.knn_regions(cut(large, "large")).select("tile_id", "region_id", "other_id", "d2")
+    tiles, _, _, large, _ = _large(spark, d)
+    return merging.knn_regions(cut(large, "large"), tiles).select("tile_id", "region_id", "other_id", "d2")
 
 
 @query(f"""SELECT s.tile_id, s.cell_id, g.region_id AS face_id
@@ -696,9 +696,9 @@ def x1_components(spark, d):
 
 @query(None)
 def x2_merge_regions(spark, d):
-    _, _, _, large, _ = _large(spark, d)
+    tiles, _, _, large, _ = _large(spark, d)
     stats = large.select(*regions.REGION, "size", *regions.SUMS, "seed_ncurv", "seed_id")
-    merged, _ = merging.merge_regions(stats, tables.clean_params(fx.roof_params_df(spark)))
+    merged, _ = merging.merge_regions(stats, tiles, tables.clean_params(fx.roof_params_df(spark)))
     return merged.select("tile_id", "region_id", "size", "slope", "azimuth")
 
 

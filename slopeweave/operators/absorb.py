@@ -14,7 +14,8 @@ from slopeweave.operators.ranking import minus
 from slopeweave.session import cut, cut_counting
 
 # Search radii; beyond the last one the search goes on by buckets of border cells.
-RADII = (8, 32, 128)
+RADII = (32, 256)
+FIRST_LOOK = 4
 PAIRS_AT_ONCE = 1 << 20
 _SCHEMA = "param_id INT, tile_id STRING, cell_id BIGINT, face_id BIGINT"
 
@@ -30,14 +31,17 @@ def _absorb_block(radius: int):
         rows = np.flatnonzero(~large)
         result = np.full(len(rows), -1, dtype=np.int64)
         window = Window(px, py, radius)
-        steps = offsets(radius)
-        run = max(1, PAIRS_AT_ONCE // len(steps))
-        for start in range(0, len(rows), run):
-            target = window.shifted(rows[start:start + run], steps)
-            hit = (target >= 0) & large[target]
-            first = hit.argmax(axis=1)
-            some = np.flatnonzero(hit.any(axis=1))
-            result[start + some] = face[target[some, first[some]]]
+        for look in sorted({min(FIRST_LOOK, radius), radius}):
+            steps = offsets(look)
+            run = max(1, PAIRS_AT_ONCE // len(steps))
+            left = np.flatnonzero(result < 0)
+            for start in range(0, len(left), run):
+                at = left[start:start + run]
+                target = window.shifted(rows[at], steps)
+                hit = (target >= 0) & large[target]
+                first = hit.argmax(axis=1)
+                some = np.flatnonzero(hit.any(axis=1))
+                result[at[some]] = face[target[some, first[some]]]
         return pa.table({"param_id": pa.array(np.full(len(rows), param_id, dtype=np.int32)),
                          "tile_id": pa.array([tile_id] * len(rows), pa.string()),
                          "cell_id": cell[rows], "face_id": result})

@@ -14,9 +14,10 @@ NEIGHBOURS = 5
 FIRST_BUCKET = 32
 
 
-def knn_regions(regions: DataFrame, k: int = NEIGHBOURS, bucket: int = FIRST_BUCKET) -> DataFrame:
+def knn_regions(regions: DataFrame, tiles: DataFrame, k: int = NEIGHBOURS, bucket: int = FIRST_BUCKET) -> DataFrame:
     """The ``k`` regions with the nearest centres, itself included, as ``(region_id, other_id,
-    px, py, qx, qy, d2)``. ``regions`` is a written table with centres and the seed columns.
+    px, py, qx, qy, d2)``. ``regions`` has centres and the seed columns, ``tiles`` the grid size;
+    both are written tables.
 
     Centres meet in buckets and their eight neighbours. A centre is done when its k-th
     neighbour is no farther than one bucket, or the buckets cover its tile; the others go on
@@ -28,10 +29,8 @@ def knn_regions(regions: DataFrame, k: int = NEIGHBOURS, bucket: int = FIRST_BUC
     candidates = first_k(at, centre, [F.col("seed_ncurv"), F.col("seed_id")], k).select(
         *SCOPE, F.struct(F.col("px").alias("qx"), F.col("py").alias("qy"), "seed_ncurv", "seed_id",
                          F.col("region_id").alias("other_id")).alias("q"))
-    span = cut(at.groupBy(*SCOPE).agg(F.greatest(
-        F.max("px") - F.min("px"), F.max("py") - F.min("py")).alias("span")), "span")
-    candidates = cut(candidates, "centres")
-    todo = attach(at.select(*centre).distinct(), span, SCOPE)
+    span = tiles.select("tile_id", F.greatest("w", "h").alias("span"))
+    todo = attach(at.select(*centre).distinct(), span, ["tile_id"])
     found = None
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
                                  for i in (-1, 0, 1) for j in (-1, 0, 1)]))
@@ -46,7 +45,7 @@ def knn_regions(regions: DataFrame, k: int = NEIGHBOURS, bucket: int = FIRST_BUC
                        [F.col("d2"), F.col("q.qx"), F.col("q.qy"), F.col("q.seed_ncurv"), F.col("q.seed_id")], k)
         met = near.groupBy(*centre, "span").agg(
             F.max("d2").alias("far"), F.count("*").alias("met"), F.collect_list(F.struct("d2", "q")).alias("near"))
-        done = ((F.col("met") == k) & (F.col("far") <= bucket * bucket)) | (F.col("span") < bucket)
+        done = ((F.col("met") == k) & (F.col("far") <= bucket * bucket)) | (F.col("span") <= bucket)
         met, seen = cut_counting(met.withColumn("done", done), "near", open=F.count_if(~F.col("done")))
         ready = met.filter("done").select(*centre, "near")
         found = ready if found is None else found.unionByName(ready)
@@ -70,7 +69,7 @@ def merge_eligible(pairs: DataFrame, slope: float | str, azimuth: float | str, s
     return pairs.filter(apart & ~F.isnan(turn) & (turn < azimuth))
 
 
-def eligible_pairs(regions: DataFrame, params: DataFrame, k: int = NEIGHBOURS, slope_cmp: str = "gt") -> DataFrame:
+def eligible_pairs(regions: DataFrame, tiles: DataFrame, params: DataFrame, k: int = NEIGHBOURS, slope_cmp: str = "gt") -> DataFrame:
     """Pairs ``(a, b)`` of one pass: ``a`` comes before ``b`` in size order, is near it and may
     absorb it. ``order`` sorts the absorbers."""
     order = F.struct((-F.col("size")).alias("size"), "seed_ncurv", "seed_id")
@@ -79,7 +78,7 @@ def eligible_pairs(regions: DataFrame, params: DataFrame, k: int = NEIGHBOURS, s
     q = side.select(*SCOPE, F.col("region_id").alias("other_id"), F.col("order").alias("q_order"),
                     F.col("slope").alias("q_slope"), F.col("azimuth").alias("q_azimuth"))
     limits = params.select("param_id", F.col("slope").alias("slope_limit"), F.col("azimuth").alias("azimuth_limit"))
-    pairs = (exclude_self(knn_regions(regions, k), "merge").join(p, REGION).join(q, [*SCOPE, "other_id"])
+    pairs = (exclude_self(knn_regions(regions, tiles, k), "merge").join(p, REGION).join(q, [*SCOPE, "other_id"])
              .filter("p_order < q_order").join(F.broadcast(limits), "param_id"))
     return merge_eligible(pairs, "slope_limit", "azimuth_limit", slope_cmp).select(
         *SCOPE, F.col("region_id").alias("a"), F.col("other_id").alias("b"), F.col("p_order").alias("order"))
@@ -107,14 +106,14 @@ def resolve_pass(eligible: DataFrame) -> DataFrame:
             return absorbed
 
 
-def merge_regions(regions: DataFrame, params: DataFrame, k: int = NEIGHBOURS, slope_cmp: str = "gt",
+def merge_regions(regions: DataFrame, tiles: DataFrame, params: DataFrame, k: int = NEIGHBOURS, slope_cmp: str = "gt",
                   compass: bool = False) -> tuple[DataFrame, DataFrame]:
     """Repeat passes while they absorb anything. Returns the merged regions with slope and
     azimuth, and ``(region_id, face_id)`` for every region absorbed on the way."""
     names = None
     regions = cut(region_attrs(region_means(regions), compass), "regions")
     while True:
-        eligible, seen = cut_counting(eligible_pairs(regions, params, k, slope_cmp), "eligible",
+        eligible, seen = cut_counting(eligible_pairs(regions, tiles, params, k, slope_cmp), "eligible",
                                       some=F.count(F.lit(1)))
         if not seen["some"]:
             return regions, names

@@ -58,7 +58,7 @@ def segment(points: DataFrame, outline: DataFrame, raster: DataFrame, georef: Da
     grown = cut(grow_regions(per_set, tiles, rows), "region_cells")
     regions = (region_stats(grown).join(F.broadcast(usable.select("param_id", "region_limit")), "param_id")
                .filter("size > region_limit").drop("region_limit"))
-    merged, names = merge_regions(regions, usable, slope_cmp=slope_cmp, compass=compass)
+    merged, names = merge_regions(regions, tiles, usable, slope_cmp=slope_cmp, compass=compass)
 
     faces = merged.select(*REGION, F.col("region_id").alias("face_id"))
     if names is not None:

@@ -52,6 +52,10 @@ def plane_region(ident, cx, cy, size, gx, gy):
             total(lambda x, y, h: y * h), total(lambda x, y, h: h * h), float(ident), ident)
 
 
+def one_tile(spark):
+    return cut(spark.createDataFrame([("t", 450, 350)], "tile_id STRING, w INT, h INT"))
+
+
 def params(spark, slope=2.0, azimuth=15.0):
     return clean_params(params_df(spark, [(0, 0.9, 0.1, 1.0, 8, 10, slope, azimuth)]))
 
@@ -66,7 +70,7 @@ def gradient(slope, azimuth):
 @pytest.mark.parametrize("cy,cmp,left", [(15, "gt", 1), (15, "lt", 2), (10, "gt", 2)])
 def test_merge_of_two(spark, cy, cmp, left):
     rows = [plane_region(1, 10, 10, 49, *gradient(30, 40)), plane_region(2, 20, cy, 25, *gradient(33, 45))]
-    merged, names = merging.merge_regions(spark.createDataFrame(rows, STATS), params(spark), slope_cmp=cmp)
+    merged, names = merging.merge_regions(spark.createDataFrame(rows, STATS), one_tile(spark), params(spark), slope_cmp=cmp)
     assert merged.count() == left
     if left == 1:
         row = merged.first()
@@ -76,7 +80,7 @@ def test_merge_of_two(spark, cy, cmp, left):
 
 def test_single_cells_never_merge(spark):
     rows = [plane_region(1, 10, 10, 1, 1, 1), plane_region(2, 20, 15, 1, 1, 1)]
-    assert merging.merge_regions(spark.createDataFrame(rows, STATS), params(spark, 0.0, 360.0))[0].count() == 2
+    assert merging.merge_regions(spark.createDataFrame(rows, STATS), one_tile(spark), params(spark, 0.0, 360.0))[0].count() == 2
 
 
 def sequential_merge(stats, attrs_of, combine_of, slope, azimuth):
@@ -135,7 +139,7 @@ def test_merging_equals_the_sequential_loop(spark):
     every = with_attrs(start)
     cache.update({r: every[r["region_id"]] for r in start})
     expected = sequential_merge(start, attrs_of, combine_of, 2.0, 15.0)
-    merged, names = merging.merge_regions(frame, params(spark))
+    merged, names = merging.merge_regions(frame, one_tile(spark), params(spark))
     assert {r["region_id"]: r["size"] for r in merged.collect()} == expected
     assert len(expected) < 45
     named = {r["region_id"]: r["face_id"] for r in names.collect()}
@@ -150,7 +154,7 @@ def test_nearest_regions_with_shared_centres(spark, bucket):
     rows = [(0, "t", i, x, y, 0.0, i) for i, (x, y) in enumerate(centres)]
     df = cut(spark.createDataFrame(rows, "param_id INT, tile_id STRING, region_id BIGINT, cx INT, cy INT, seed_ncurv DOUBLE, seed_id BIGINT"))
     got = {}
-    for r in merging.knn_regions(df, 5, bucket).collect():
+    for r in merging.knn_regions(df, one_tile(spark), 5, bucket).collect():
         got.setdefault(r["region_id"], set()).add(r["other_id"])
     for i, (x, y) in enumerate(centres):
         near = sorted(range(len(centres)), key=lambda j: ((centres[j][0] - x) ** 2 + (centres[j][1] - y) ** 2, *centres[j], j))[:5]
@@ -163,7 +167,7 @@ def test_size_split(spark):
     assert [r[0] for r in large.collect()] == [77] and [r[0] for r in small.collect()] == [76]
 
 
-@pytest.mark.parametrize("radii,side", [((8, 32, 128), 128), ((2, 4), 8), ((), 128)])
+@pytest.mark.parametrize("radii,side", [((32, 256), 128), ((2, 4), 8), ((), 128)])
 def test_absorption_against_brute_force(spark, radii, side):
     rng = random.Random(9)
     cells = {(rng.randrange(60), rng.randrange(60)): None for _ in range(400)}
