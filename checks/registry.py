@@ -134,7 +134,7 @@ def s5_read_pixels(spark, d):
         F.count("*").alias("n"), F.sum(F.col("argb").cast("bigint")).alias("total"))
 
 
-@query("SELECT * FROM georef")
+@query("SELECT tile_id, m00, m01, m02, m10, m11, m12, srid FROM georef")
 def s6_read_georef(spark, d):
     path = scratch_path(spark, "georef")
     fx.georef(spark, d).write.parquet(path)
@@ -564,11 +564,12 @@ def a4_region_stats(spark, d):
         "tile_id", "region_id", "size", r9("sum_curv", "sum_curv"), "sum_x", "sum_y", r6("sum_color", "sum_color"))
 
 
-@query("SELECT tile_id, region_id, round(sum_curv / n, 8) AS curvature, round(sum_color / n, 6) AS color, "
+@query("SELECT tile_id, region_id, round(sum_curv / n * n, 9) AS curvature_sum, round(sum_color / n * n, 6) AS color_sum, "
        "CAST(sum_x // n AS INT) AS cx, CAST(sum_y // n AS INT) AS cy FROM regions8")
 def a5_region_means(spark, d):
     return regions.region_means(regions.region_stats(_grown(spark, d)[1])).select(
-        "tile_id", "region_id", r6("curvature", "curvature", 8), r6("color", "color"), "cx", "cy")
+        "tile_id", "region_id", r9(F.col("curvature") * F.col("size"), "curvature_sum"),
+        r6(F.col("color") * F.col("size"), "color_sum"), "cx", "cy")
 
 
 @query("SELECT tile_id, region_id, round(slope, 4) AS slope, round(azimuth, 4) AS azimuth, round(curv, 6) AS curv FROM large8")
