@@ -127,22 +127,28 @@ def evaluate(gold: DataFrame, result: DataFrame, cell: float, scope: list[str] |
     match_ids = [*scope, "gold_id"]
     best = best_match(pairs, match_ids).join(gold_area, gold_ids).join(result_area, result_ids)
     leftover = ((1 - F.col("overlap") / F.col("gold_area")) + (1 - F.col("overlap") / F.col("result_area"))) / 2
-    # distinct result faces are counted per scope after one partial aggregation per face
+    # every matched result face counts once, however many gold faces it is best for
     per_face = best.groupBy(*result_ids).agg(F.count("*").alias("golds"), F.sum(leftover).alias("leftover"))
-    matched = per_face.groupBy(*scope).agg(
-        F.sum("golds").alias("matched_gold"), F.count("*").alias("matched_result"), F.sum("leftover").alias("leftover"))
-    m = gold.groupBy(*shared).agg(F.count("*").alias("m"))
-    n = result.groupBy(*scope).agg(F.count("*").alias("n"))
-    if not scope:
-        totals = m.join(n, how="cross").join(matched, how="cross")
+    nothing = {"n": F.lit(0).cast("bigint"), "matched_gold": F.lit(0).cast("bigint"),
+               "matched_result": F.lit(0).cast("bigint"), "leftover": F.lit(0.0)}
+
+    def tally(df: DataFrame, **counts: Column) -> DataFrame:
+        return df.select(*scope, *[c.alias(name) for name, c in (nothing | counts).items()])
+
+    one = F.lit(1).cast("bigint")
+    rows = tally(result, n=one).unionByName(
+        tally(per_face, matched_gold=F.col("golds"), matched_result=one, leftover=F.col("leftover")))
+    if scopes is not None:
+        rows = rows.unionByName(tally(scopes))
+    totals = rows.groupBy(*scope).agg(*[F.coalesce(F.sum(c), v).alias(c) for c, v in nothing.items()])
+    if shared:
+        totals = totals.join(gold.groupBy(*shared).agg(F.count("*").alias("m")), shared, "left")
     else:
-        every = n.select(*scope).unionByName(scopes.select(*scope) if scopes is not None else n.select(*scope)).distinct()
-        totals = every.join(m, shared, "left") if shared else every.join(F.broadcast(m), how="cross")
-        totals = totals.join(n, scope, "left").join(matched, scope, "left")
-    zero = [F.coalesce(c, F.lit(0)) for c in ("m", "n", "matched_gold", "matched_result")]
-    m_, n_, mg, mr = zero
-    cost = F.coalesce("leftover", F.lit(0.0)) + (m_ - mg) + (n_ - mr)
-    return totals.select(*scope, F.when(m_ + n_ > 0, F.try_divide(cost, (m_ + n_).cast("double")))
+        totals = totals.withColumn("m", F.lit(gold.count()))
+    m = F.coalesce("m", F.lit(0))
+    faces = m + F.col("n")
+    cost = F.col("leftover") + (m - F.col("matched_gold")) + (F.col("n") - F.col("matched_result"))
+    return totals.select(*scope, F.when(faces > 0, F.try_divide(cost, faces.cast("double")))
                          .otherwise(F.lit(float("nan"))).alias("score"))
 
 
