@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slopeweave.llm import exact, language, packing, resampling, simhash, suffixes, toxicity, urls
+from slopeweave.llm import crossentropy, exact, language, licenses, packing, resampling, simhash, suffixes, toxicity, urls
 from slopeweave.llm.shards import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,21 @@ def op2_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query()
+def op3_lm_scoring(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return crossentropy.differences(table(spark, sf_dir, "documents"), good)
+
+
+@query()
+def op4_licenses(spark, sf_dir):
+    """The documents as files: a directory of each source holds a hundred of them, every tenth of which is a license file."""
+    place = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.pmod(F.floor(F.col("doc_id") / 100), F.lit(10)))
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.select("doc_id", F.concat(place, F.lit("/"), name).alias("path"), "text"))
+
+
 @query()
 def op5_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
