@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_scratch: tempfile.TemporaryDirectory | None = None
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
     """A local session with the settings the tests and the benchmark use."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("slopeweave")
         .config("spark.sql.shuffle.partitions", "8")
@@ -26,6 +29,18 @@ def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once per application, so that they can import it
+    wherever the session was started from."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="slopeweave-")
+        context.addPyFile(shutil.make_archive(f"{folder}/slopeweave", "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the one the cluster names in
     ``spark.checkpoint.dir``. Only a local session may fall back to a temporary folder."""
