@@ -34,8 +34,16 @@ class LanguageModel:
     idf: np.ndarray
 
 
+_shown = np.full(256, 0x20, np.uint8)
+_shown[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = [*range(0x61, 0x7B), *range(0x80, 0x100)]
+
+
 def _counts(text: bytes) -> np.ndarray:
-    return np.bincount(byte_grams(text, SIZES, BITS), minlength=1 << BITS)
+    """Byte n-grams of the lower-cased words: every run of ASCII other than letters counts as one space."""
+    shown = _shown[np.frombuffer(text.decode().lower().encode(), np.uint8)]
+    space = shown == 0x20
+    tidy = shown[~(space & np.append(False, space[:-1])[:len(space)])]
+    return np.bincount(byte_grams(tidy.tobytes(), SIZES, BITS), minlength=1 << BITS)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:

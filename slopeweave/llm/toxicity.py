@@ -18,7 +18,9 @@ SIZES = range(3, 6)
 BITS = 20
 # The classifier is fitted on at most so many labelled documents, those whose ids hash lowest.
 MOST_LABELLED = 12_000
-LEAST_DOCUMENTS = 5
+LEAST_DOCUMENTS = 8
+# L1 penalty: few n-grams mark toxic texts, and a small weight on each of the many others would drown them in long texts.
+PENALTY = 5e-4
 THRESHOLD = 0.3
 
 
@@ -34,7 +36,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, smoothi
     """Fit on the documents that ``labels (doc_id, toxic)`` marks.
 
     A document is the set of its hashed n-grams of 3 to 5 bytes. An n-gram's value is its log-count ratio
-    between toxic and other documents; a logistic regression on these values (Spark ML) gives
+    between toxic and other documents; a logistic regression on these values (Spark ML, L1 penalty) gives
     the weights. Rows without id, label or text teach nothing; of several labels for a document,
     the largest holds. With one class only, or no rows, every score is the share of toxic rows (0 if none).
     """
@@ -80,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, smoothi
         return SparseVector(len(ratios), at, ratios[at])
 
     rows = seen.select(scaled("grams").alias("features"), (F.col("toxic") == 1).cast("double").alias("label"))
-    fitted = LogisticRegression(maxIter=60, regParam=2e-3, standardization=False).fit(cut(rows, "toxicity"))
+    fitted = LogisticRegression(maxIter=100, regParam=PENALTY, elasticNetParam=1.0, standardization=False).fit(cut(rows, "toxicity"))
     weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = fitted.coefficients.toArray() * ratio
     return ToxicityModel(weights, float(fitted.intercept))
