@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,14 +20,33 @@ from slopeweave.session import cut
 
 CAPACITY = 2_048
 SEPARATOR = 0
-# Ids of at most so many distinct strings are kept by a worker.
-CACHED = 400_000
+# A worker keeps the ids of at most so many distinct strings and words.
+CACHED, CACHED_WORDS = 400_000, 300_000
 # Rows of one length that are numbered in one task.
-RANKED = 100_000
+RANKED = 2_000
+
+
+class WordIds(dict):
+    """Token ids (little-endian unsigned 32-bit) of words as the tokenizer's pattern splits them."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+        spare = iter(range(0x100, 0x200))
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        # The model's letters: each byte as a visible character.
+        self.letters = {b: b if b in shown else next(spare) for b in range(256)}
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.letters)
+        out = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        if len(self) < CACHED_WORDS:
+            self[word] = out
+        return out
 
 
 class Encoder(dict):
-    """Token ids (little-endian unsigned 32-bit) of strings that start with a word's space.
+    """Token ids of strings that start with a word's space, which is left out in the key.
 
     The tokenizer's pattern never joins what stands on either side of a space that a visible character
     follows, so a text is the sequence of such strings, and each distinct one is encoded once.
@@ -35,20 +55,14 @@ class Encoder(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.words = WordIds(self.whole.model)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        spare = iter(range(0x100, 0x200))
-        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        self.letters = {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
-        self.inner = regex.compile(r" (?:\s|$)").search
-        self.cut = regex.compile(r"(?= \S)").split
+        self.inner = re.compile(r" (?:\s|$)").search
+        self.cut = re.compile(r"(?= \S)").split
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = []
-        for word in self.split(" " + piece):
-            ids += [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))]
-        out = np.array(ids, "<u4").tobytes()
+        out = b"".join([self.words[w] for w in self.split(" " + piece)])
         if len(self) < CACHED:
             self[piece] = out
         return out
