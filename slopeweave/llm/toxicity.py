@@ -19,6 +19,8 @@ BITS = 20
 # The classifier is fitted on at most so many labelled documents, those whose ids hash lowest.
 MOST_LABELLED = 12_000
 LEAST_DOCUMENTS = 8
+# Of the n-grams, so many whose shares among toxic and other documents differ most surely are features.
+MOST_FEATURES = 4_096
 # L1 penalty: few n-grams mark toxic texts, and a small weight on each of the many others would drown them in long texts.
 PENALTY = 5e-4
 THRESHOLD = 0.3
@@ -59,30 +61,31 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, smoothi
     if not n1 or not n0:
         share = float(bool(n1))
         return ToxicityModel(np.zeros(1 << BITS, np.float32), np.inf if share else -np.inf)
+    ones, every = F.col("ones"), F.col("n")
+    share = every / (n1 + n0)
+    # Two-proportion z statistic of the n-gram's shares.
+    z = F.abs(ones / n1 - (every - ones) / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + F.lit(1e-12))
     counts = (seen.select(F.explode("grams").alias("gram"), (F.col("toxic") == 1).cast("int").alias("one"))
               .groupBy("gram").agg(F.count("*").alias("n"), F.sum("one").alias("ones"))
-              .filter(F.col("n") >= LEAST_DOCUMENTS).toPandas())
+              .filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc(z), "gram").limit(MOST_FEATURES).toPandas().sort_values("gram"))
     if not len(counts):
         return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(n1 / n0)))
-    kept = np.sort(counts["gram"].to_numpy())
-    counts = counts.set_index("gram").loc[kept]
+    kept = counts["gram"].to_numpy()
     ones, zeros = counts["ones"].to_numpy(), (counts["n"] - counts["ones"]).to_numpy()
     ratio = np.log((ones + smoothing) / (n1 + 2 * smoothing)) - np.log((zeros + smoothing) / (n0 + 2 * smoothing))
 
-    session = seen.sparkSession.sparkContext
-    place = np.full(1 << BITS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    shared = session.broadcast((place, ratio))
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [np.flatnonzero(np.isin(kept, g)).astype(np.int32) for g in batch.column("grams").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), batch.column("toxic")], ["at", "toxic"])
 
     @F.udf(VectorUDT())
-    def scaled(grams):
-        places, ratios = shared.value
-        at = np.sort(places[np.asarray(grams, np.int64)]) if grams else np.zeros(0, np.int64)
-        at = at[at >= 0]
-        return SparseVector(len(ratios), at, ratios[at])
-
-    rows = seen.select(scaled("grams").alias("features"), (F.col("toxic") == 1).cast("double").alias("label"))
-    fitted = LogisticRegression(maxIter=100, regParam=PENALTY, elasticNetParam=1.0, standardization=False).fit(cut(rows, "toxicity"))
+    def scaled(at):
+        return SparseVector(len(ratio), at, ratio[at])
+
+    rows = (seen.mapInArrow(places, "at array<int>, toxic int")
+            .select(scaled("at").alias("features"), (F.col("toxic") == 1).cast("double").alias("label")))
+    fitted = LogisticRegression(maxIter=60, regParam=PENALTY, elasticNetParam=1.0, standardization=False).fit(cut(rows, "toxicity"))
     weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = fitted.coefficients.toArray() * ratio
     return ToxicityModel(weights, float(fitted.intercept))
