@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from slopeweave.llm.shards import flagged, shards, words
+from slopeweave.llm.shards import flagged, in_batches, shards, words
 from slopeweave.session import cut
 
 # The shared vocabulary: a word's class is its hash. Class 0 stands for the start of a document.
@@ -100,8 +100,8 @@ def differences(docs: DataFrame, target: DataFrame, prior: float = PRIOR) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([2] * n, pa.int32()), pa.array(rows, pa.int32()), pa.array([part] * n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3,
                                               pa.array([0] * n, pa.int64()), pa.nulls(n, ids_type), pa.array(single[:, rows].T.tolist(), longs)], names)
 
-    packed = cut(flagged(narrow, ids, "doc_id", "target").mapInArrow(
-        split, f"kind int, bucket int, shard long, grams binary, docs binary, counts binary, n long, doc_ids array<{kind_of_id}>, sums array<long>"), "pairs")
+    packed = cut(in_batches(
+        flagged(narrow, ids, "doc_id", "target"), split, f"kind int, bucket int, shard long, grams binary, docs binary, counts binary, n long, doc_ids array<{kind_of_id}>, sums array<long>"), "pairs")
 
     # One row for each class at most, whatever the input's size.
     singles = (packed.filter("kind = 2").groupBy("bucket").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4)]).toPandas())

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from slopeweave.llm.shards import byte_grams, shards
+from slopeweave.llm.shards import byte_grams, in_batches, shards
 from slopeweave.session import cut
 
 SIZES = range(1, 4)
@@ -91,7 +91,7 @@ def train(docs: DataFrame, clusters: int = CLUSTERS, most: int = MOST_PER_LANGUA
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*df[at], n], pa.int64())], ["bucket", "n"])
 
-    df = known.mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    df = in_batches(known, frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     of = dict(zip(df["bucket"], df["n"]))
     total = of.pop(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([of.get(b, 0) for b in range(1 << BITS)]))).astype(np.float32) + np.float32(1)
@@ -107,7 +107,7 @@ def train(docs: DataFrame, clusters: int = CLUSTERS, most: int = MOST_PER_LANGUA
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "v"])
 
     kind = known.schema["doc_id"].dataType.simpleString()
-    seen = cut(sample.mapInArrow(vectors, f"doc_id {kind}, lang string, v binary").dropDuplicates(["doc_id", "lang"]), "language")
+    seen = cut(in_batches(sample, vectors, f"doc_id {kind}, lang string, v binary").dropDuplicates(["doc_id", "lang"]), "language")
 
     def centroids(part: pd.DataFrame) -> pd.DataFrame:
         rows = np.frombuffer(b"".join(part.sort_values("doc_id")["v"]), np.float32).reshape(len(part), -1)
@@ -148,4 +148,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                                              ["doc_id", "lang_pred", "score", "rejected"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return in_batches(narrow, run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from slopeweave.llm.shards import shards, words
+from slopeweave.llm.shards import in_batches, shards, words
 from slopeweave.session import cut
 
 LEAST_COSINE = 0.6
@@ -66,7 +66,7 @@ def fit(files: DataFrame, templates: list[tuple[str, str]], least: float) -> Tem
             df += np.bincount(seen % len(hashes), minlength=len(hashes))
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(hashes)), -1], pa.int32()), pa.array([*df, n], pa.int64())], ["word", "n"])
 
-    got = dict(files.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n")).collect())
+    got = dict(in_batches(files.select("text"), count, "word int, n long").groupBy("word").agg(F.sum("n")).collect())
     total = got.pop(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([got.get(i, 0) for i in range(len(hashes))]))) + 1
     rows = np.zeros((len(templates), len(hashes)))
@@ -120,7 +120,7 @@ def headers(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, leas
                                              ["doc_id", "path", "license", "score"])
 
     narrow = files.select("doc_id", F.col("path").cast("string").alias("path"), "text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, path string, license string, score double")
+    return in_batches(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, path string, license string, score double")
 
 
 def inherit(found: DataFrame, license_file: str = LICENSE_FILE) -> DataFrame:

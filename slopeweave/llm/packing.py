@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import public_tokenizers
 import regex
 
-from slopeweave.llm.shards import shards
+from slopeweave.llm.shards import in_batches, shards
 from slopeweave.session import cut
 
 CAPACITY = 2_048
@@ -103,7 +103,7 @@ def tokens(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                                               pa.array(start, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "piece", "start", "ids"])
 
     narrow = docs.select("doc_id", "text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece int, start long, ids binary")
+    return in_batches(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece int, start long, ids binary")
 
 
 @dataclass

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from slopeweave.llm.shards import flagged, mix, shards, words
+from slopeweave.llm.shards import flagged, in_batches, mix, shards, words
 from slopeweave.llm.topk import mark_top
 from slopeweave.session import cut
 
@@ -44,7 +44,7 @@ def log_ratio(docs: DataFrame, target: DataFrame, smoothing: float = 1.0) -> np.
         used = np.flatnonzero(both[0])
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(both[0][used]), pa.array(both[1][used])], ["bucket", "raw", "target"])
 
-    counts = (narrow.mapInArrow(count, "bucket int, raw long, target long")
+    counts = (in_batches(narrow, count, "bucket int, raw long, target long")
               .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())
     raw, wanted = np.zeros(1 << BITS), np.zeros(1 << BITS)
     raw[counts["bucket"]], wanted[counts["bucket"]] = counts["raw"], counts["target"]
@@ -66,7 +66,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums.astype(float))], ["doc_id", "log_weight"])
 
     narrow = docs.select("doc_id", "text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, log_weight double")
+    return in_batches(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, log_weight double")
 
 
 def resample(docs: DataFrame, target: DataFrame, share: float = KEPT_SHARE, seed: int = 42) -> DataFrame:

@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+# Rows of one Arrow batch. Whole texts of a batch are in memory several times (in the JVM, in Arrow, as bytes).
+BATCH_ROWS = 1_000
 # Odd multipliers for hashing (the first is the golden ratio of 2^64, the others are those of a common 64-bit finaliser).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -35,6 +37,12 @@ def flagged(docs: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
             .select(*[docs[c] for c in docs.columns], F.col("_mark").isNotNull().alias(flag)))
 
 
+def in_batches(docs: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows, so that a task holds few whole texts at once."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs.mapInArrow(run, schema)
+
+
 def shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with some ``limit`` bytes of text each (one text at least), and
     their texts as UTF-8, null as empty."""
@@ -121,6 +129,10 @@ def words(texts: list[bytes]) -> Words:
     per_doc = np.diff(np.searchsorted(start, ends), prepend=0)
     base = int(GOLDEN)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(base, len(raw)), out=total[1:])
+    terms = raw.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _power(base, len(raw))
+    np.cumsum(terms, out=total[1:])
+    del terms
     h = (total[end] - total[start]) * _power(pow(base, -1, 1 << 64), len(raw) + 1)[start] if len(start) else np.zeros(0, np.uint64)
     return Words(data, start, end, np.repeat(np.arange(len(texts)), per_doc), mix(h), per_doc)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slopeweave.llm.linked import components
-from slopeweave.llm.shards import shards
+from slopeweave.llm.shards import in_batches, shards
 from slopeweave.session import cut
 
 SHINGLE = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(shingle_hashes(t, size)) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(fps)], ["doc_id", "mark", "fp"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, mark long, fp long")
+    return in_batches(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, mark long, fp long")
 
 
 def _syndrome(half: Column) -> Column:

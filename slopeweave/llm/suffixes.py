@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from slopeweave.llm.shards import shards, words
+from slopeweave.llm.shards import in_batches, shards, words
 from slopeweave.session import cut
 
 WINDOW = 10
@@ -180,7 +180,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: i
 
         if block:
             found = cut(found.select("row", "text", "hits"), "spans")
-        found = found.mapInArrow(run, schema)
+        found = in_batches(found, run, schema)
     # Words in any span: spans sorted by start, each adds what lies beyond the ends before it.
     covered = F.aggregate(F.array_sort(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), (h["at"] + h["words"]).alias("end")))),
                           F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),

@@ -11,7 +11,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
-from slopeweave.llm.shards import Distinct, byte_grams, shards
+from slopeweave.llm.shards import Distinct, byte_grams, in_batches, shards
 from slopeweave.session import cut
 
 SIZES = range(3, 6)
@@ -55,7 +55,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, smoothi
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())],
                                              ["grams", "toxic"])
 
-    seen = cut(marked.mapInArrow(features, "grams array<int>, toxic int"), "toxicity")
+    seen = cut(in_batches(marked, features, "grams array<int>, toxic int"), "toxicity")
     sizes = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n1 or not n0:
@@ -83,8 +83,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, smoothi
     def scaled(at):
         return SparseVector(len(ratio), at, ratio[at])
 
-    rows = (seen.mapInArrow(places, "at array<int>, toxic int")
-            .select(scaled("at").alias("features"), (F.col("toxic") == 1).cast("double").alias("label")))
+    # Written in between: two Python steps in one task would take two workers at once.
+    placed = cut(seen.mapInArrow(places, "at array<int>, toxic int"), "toxicity")
+    rows = placed.select(scaled("at").alias("features"), (F.col("toxic") == 1).cast("double").alias("label"))
     fitted = LogisticRegression(maxIter=60, regParam=PENALTY, elasticNetParam=1.0, standardization=False).fit(cut(rows, "toxicity"))
     weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = fitted.coefficients.toArray() * ratio
@@ -113,7 +114,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(texts, distinct))], ["doc_id", "score"])
 
     narrow = docs.select("doc_id", "text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
+    return in_batches(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_harmless(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,4 +126,4 @@ def keep_harmless(docs: DataFrame, model: ToxicityModel, threshold: float = THRE
         for batch, texts in shards(batches):
             yield batch.filter(pa.array(scores(texts, distinct) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
