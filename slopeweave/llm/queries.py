@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slopeweave.llm import crossentropy, exact, language, licenses, packing, resampling, simhash, suffixes, toxicity, urls
+from slopeweave.llm import alignment, crossentropy, exact, language, licenses, packing, resampling, simhash, suffixes, toxicity, urls
 from slopeweave.llm.shards import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 # The given rules and their verdicts.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
@@ -118,3 +119,10 @@ def op9_simhash(spark, sf_dir):
 def op10_resampling(spark, sf_dir):
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return resampling.resample(table(spark, sf_dir, "documents"), good)
+
+
+@query()
+def op11_alignment(spark, sf_dir):
+    aligned = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return alignment.with_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
