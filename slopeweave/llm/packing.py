@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -11,73 +10,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from tokenizers import Tokenizer
-import public_tokenizers
-import regex
 
 from slopeweave.llm.shards import in_batches, shards
+from slopeweave.llm.tokenizing import Encoder, decoded
 from slopeweave.session import cut
 
 CAPACITY = 2_048
 SEPARATOR = 0
-# A worker keeps the ids of at most so many distinct strings and words.
-CACHED, CACHED_WORDS = 400_000, 300_000
 # Rows of one length that are numbered in one task.
-RANKED = 2_000
-
-
-class WordIds(dict):
-    """Token ids (little-endian unsigned 32-bit) of words as the tokenizer's pattern splits them."""
-
-    def __init__(self, model) -> None:
-        super().__init__()
-        self.model = model
-        spare = iter(range(0x100, 0x200))
-        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        # The model's letters: each byte as a visible character.
-        self.letters = {b: b if b in shown else next(spare) for b in range(256)}
-
-    def __missing__(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        out = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        if len(self) < CACHED_WORDS:
-            self[word] = out
-        return out
-
-
-class Encoder(dict):
-    """Token ids of strings that start with a word's space, which is left out in the key.
-
-    The tokenizer's pattern never joins what stands on either side of a space that a visible character
-    follows, so a text is the sequence of such strings, and each distinct one is encoded once.
-    """
-
-    def __init__(self, path: str) -> None:
-        super().__init__()
-        self.whole = Tokenizer.from_file(path)
-        self.words = WordIds(self.whole.model)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.inner = re.compile(r" (?:\s|$)").search
-        self.cut = re.compile(r"(?= \S)").split
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-
-    def __missing__(self, piece: str) -> bytes:
-        out = b"".join([self.words[w] for w in self.split(" " + piece)])
-        if len(self) < CACHED:
-            self[piece] = out
-        return out
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.plain(text)
-        if self.inner(text):
-            parts = self.cut(text)
-            return b"".join([self.plain(parts[0]), *[self[p[1:]] if p[0] == " " else self.plain(p) for p in parts[1:] if p]])
-        head, *rest = text.split(" ")
-        return b"".join([self.plain(head) if head else b"", *[self[p] for p in rest]])
+RANKED = 200
 
 
 _encoders: dict[str, Encoder] = {}
@@ -94,7 +35,7 @@ def tokens(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch, texts in shards(batches, 1 << 20):
             row, piece, start, out = [], [], [], []
             for i, text in enumerate(texts):
-                ids = encoder.encode(text.decode()) + SEPARATOR.to_bytes(4, "little")
+                ids = encoder.encode(decoded(text)) + SEPARATOR.to_bytes(4, "little")
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
