@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slopeweave.llm import alignment, crossentropy, exact, language, licenses, packing, resampling, simhash, suffixes, toxicity, urls
+from slopeweave.llm import alignment, crossentropy, exact, language, licenses, packing, phrases, resampling, simhash, suffixes, toxicity, urls
 from slopeweave.llm.shards import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,24 @@ def op11_alignment(spark, sf_dir):
     aligned = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
     return alignment.with_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
+@query(r"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+             SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+     totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+     spans AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(k)),
+     f AS (SELECT lang, phrase, k, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM spans) GROUP BY ALL HAVING count(*) >= 10),
+     c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+     cuts AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, cut.k, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+              FROM c JOIN (VALUES (1), (2)) cut(k) ON cut.k < c.k
+              JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut.k], ' ')
+              JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut.k + 1:], ' ')),
+     scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     longer AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+     kept AS (SELECT s.* FROM scored s LEFT JOIN longer g USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""")
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
