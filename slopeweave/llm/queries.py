@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slopeweave.llm import alignment, crossentropy, exact, language, licenses, packing, phrases, resampling, simhash, suffixes, toxicity, urls
+from slopeweave.llm import alignment, crossentropy, egojoin, exact, language, licenses, packing, phrases, resampling, simhash, suffixes, toxicity, urls
 from slopeweave.llm.shards import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""")
 def op12_phrases(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_embeddings(spark, sf_dir):
+    return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SHARD_BYTES = 2 << 20
 # Rows of one Arrow batch. Whole texts of a batch are in memory several times (in the JVM, in Arrow, as bytes).
@@ -43,6 +44,18 @@ def in_batches(docs: DataFrame, run, schema) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in the jobs run inside; the session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with some ``limit`` bytes of text each (one text at least), and
     their texts as UTF-8, null as empty."""

@@ -1,4 +1,4 @@
-"""The first k rows of a table of any size, for any k."""
+"""Places of rows in an order, and the first k rows, of a table of any size."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from slopeweave.session import cut
 
 
-def mark_top(df: DataFrame, order: list[Column], k: Column, name: str) -> DataFrame:
-    """Add the boolean ``name``: whether the row is among the first ``k`` by ``order``.
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the long ``name``: the row's place by ``order``, from 0.
 
     Rows are range-partitioned and sorted by the order; the sizes of the partitions (one row
     each) give the number of rows before each, so no task sees more than its own rows.
@@ -21,5 +21,9 @@ def mark_top(df: DataFrame, order: list[Column], k: Column, name: str) -> DataFr
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (placed.groupBy("_part").agg(F.count("*").alias("_n"))
              .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_before"))
-    return (placed.join(F.broadcast(sizes), "_part")
-            .select(*df.columns, ((F.col("_before") + F.col("_in")) < k).alias(name)))
+    return placed.join(F.broadcast(sizes), "_part").select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))
+
+
+def mark_top(df: DataFrame, order: list[Column], k: Column, name: str) -> DataFrame:
+    """Add the boolean ``name``: whether the row is among the first ``k`` by ``order``."""
+    return positions(df, order, "_place").select(*df.columns, (F.col("_place") < k).alias(name))
