@@ -4,126 +4,133 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from slopeweave.functions.cells import cell_px, cell_py
-from slopeweave.operators.blocks import SIDE, Window, offsets
 from slopeweave.operators.growth import SCOPE
 from slopeweave.operators.joins import attach
-from slopeweave.operators.ranking import minus
-from slopeweave.session import cut, cut_counting
-
-# Search radii; beyond the last one the search goes on by buckets of border cells.
-RADII = (32, 256)
-FIRST_LOOK = 4
-PAIRS_AT_ONCE = 1 << 20
+from slopeweave.session import cut
+
+# Rows of cells in one task.
+BAND = 128
+# Distances (rows times columns) held at once.
+HELD = 1 << 20
+SMALL, LARGE, CARRIED = 0, 1, 2
+_ROWS = ["kind", "px", "py", "face_id", "below_py", "below_face"]
 _SCHEMA = "param_id INT, tile_id STRING, cell_id BIGINT, face_id BIGINT"
 
 
-def _absorb_block(radius: int):
-    """Nearest large cell within a radius, for the small cells of one block; -1 for none."""
-
-    def nearest_face(key: tuple, block: pa.Table) -> pa.Table:
-        param_id, tile_id = key[0].as_py(), key[1].as_py()
-        cell, face = block["cell_id"].to_numpy(), block["face_id"].to_numpy()
-        px, py = cell & 0xFFFFFFFF, cell >> 32
-        large = face >= 0
-        rows = np.flatnonzero(~large)
-        result = np.full(len(rows), -1, dtype=np.int64)
-        window = Window(px, py, radius)
-        for look in sorted({min(FIRST_LOOK, radius), radius}):
-            steps = offsets(look)
-            run = max(1, PAIRS_AT_ONCE // len(steps))
-            left = np.flatnonzero(result < 0)
-            for start in range(0, len(left), run):
-                at = left[start:start + run]
-                target = window.shifted(rows[at], steps)
-                hit = (target >= 0) & large[target]
-                first = hit.argmax(axis=1)
-                some = np.flatnonzero(hit.any(axis=1))
-                result[at[some]] = face[target[some, first[some]]]
-        return pa.table({"param_id": pa.array(np.full(len(rows), param_id, dtype=np.int32)),
-                         "tile_id": pa.array([tile_id] * len(rows), pa.string()),
-                         "cell_id": cell[rows], "face_id": result})
-
-    return nearest_face
-
-
-def absorb_small(small: DataFrame, large: DataFrame, radii: tuple[int, ...] = RADII, side: int = SIDE) -> DataFrame:
+def least_per_query(x: np.ndarray, row: np.ndarray, columns: np.ndarray, height2: np.ndarray) -> np.ndarray:
+    """For each query (x, row), in order of row and x: the first column c that minimises (x - columns[c])^2 + height2[row, c].
+
+    Along a row the answers never step back. So the middle query of a run of queries is answered from all columns that its run may have, and
+    its answer bounds those of the halves on either side; all runs of all rows are halved together.
+    """
+    best = np.zeros(len(x), np.int64)
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[:len(row)])
+    low, high = first, np.append(first[1:], len(row))
+    least, most = np.zeros(len(first), np.int64), np.full(len(first), len(columns) - 1)
+    while len(low):
+        middle, count = (low + high) // 2, most - least + 1
+        start = np.cumsum(count) - count
+        at = np.arange(count.sum()) + np.repeat(least - start, count)
+        run = np.repeat(np.arange(len(low)), count)
+        d2 = (x[middle][run] - columns[at]) ** 2 + height2[row[middle][run], at]
+        hit = np.flatnonzero(d2 == np.minimum.reduceat(d2, start)[run])
+        found = at[hit[np.searchsorted(run[hit], np.arange(len(low)))]]
+        best[middle] = found
+        low, high, least, most = (np.concatenate(pair) for pair in ((low, middle + 1), (middle, high), (least, found), (found, most)))
+        some = low < high
+        low, high, least, most = low[some], high[some], least[some], most[some]
+    return best
+
+
+def _absorb_band(key: tuple, part: pa.Table) -> pa.Table:
+    """Faces of the small cells of one band of rows, from the band's large cells and the next ones above and below it in each column."""
+    kind, px, py, face, below_py, below_face = (part[c].to_numpy() for c in _ROWS)
+    px, py = px.astype(np.int64), py.astype(np.int64)
+    carried = np.flatnonzero(kind == CARRIED)
+    carried = carried[np.argsort(px[carried])]
+    columns = px[carried]
+    # Rows are counted from the band's first one; far away stands for nothing above or below.
+    own = np.flatnonzero(kind != CARRIED)
+    base, far = py[own].min(), np.int64(1) << 30
+    span = py[own].max() - base + 2
+    above, above_face = np.where(face[carried] >= 0, py[carried] - base, -far), face[carried]
+    below, below_face = np.where(below_face[carried] >= 0, below_py[carried] - base, far), below_face[carried]
+    large = np.flatnonzero(kind == LARGE)
+    place = np.searchsorted(columns, px[large]) * span + py[large] - base
+    order = np.argsort(place)
+    place, face_at = np.append(place[order], np.iinfo(np.int64).max), np.append(face[large[order]], -1)
+
+    def next_ones(column: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row and face of the nearest large cell of the column at or above y, and of that at or below y."""
+        asked = column * span + y
+        last = np.searchsorted(place, asked, "right") - 1
+        next_ = np.searchsorted(place, asked, "left")
+        up, down = (last >= 0) & (place[last] // span == column), place[next_] // span == column
+        return (np.where(up, place[last] - column * span, above[column]), np.where(up, face_at[last], above_face[column]),
+                np.where(down, place[next_] - column * span, below[column]), np.where(down, face_at[next_], below_face[column]))
+
+    small = np.flatnonzero(kind == SMALL)
+    small = small[np.lexsort((px[small], py[small]))]
+    result = np.empty(len(small), np.int64)
+    rows, row_of = np.unique(py[small] - base, return_inverse=True)
+    step = max(1, HELD // max(len(columns), 1))
+    for first in range(0, len(rows), step):
+        some = rows[first:first + step]
+        column, y = np.tile(np.arange(len(columns)), len(some)), np.repeat(some, len(columns))
+        up, _, down, _ = next_ones(column, y)
+        height2 = (np.minimum(y - up, down - y) ** 2).reshape(len(some), -1)
+        here = slice(*np.searchsorted(row_of, [first, first + len(some)]))
+        x, row = px[small[here]], row_of[here] - first
+        best = least_per_query(x, row, columns, height2)
+        up, up_face, down, down_face = next_ones(best, some[row])
+        result[here] = np.where(some[row] - up <= down - some[row], up_face, down_face)
+    scope = [key[0].as_py(), key[1].as_py()]
+    return pa.table({"param_id": pa.array([scope[0]] * len(small), pa.int32()), "tile_id": pa.array([scope[1]] * len(small), pa.string()),
+                     "cell_id": py[small] << 32 | px[small], "face_id": result})
+
+
+def absorb_small(small: DataFrame, large: DataFrame, band: int = BAND) -> DataFrame:
     """Face of the nearest large cell for every small cell; ties by column, then row.
 
-    ``small`` is ``(param_id, tile_id, cell_id)``, ``large`` has ``face_id`` too; both are
-    written tables. Cells of tiles without any large region are left out. The nearest cell is
-    sought inside blocks, each round with a wider surrounding and only for what is left.
+    ``small`` is ``(param_id, tile_id, cell_id)``, ``large`` has ``face_id`` (0 or more) too; both are
+    written tables. Cells of tiles without any large region are left out.
+
+    An exact distance transform in two passes. Down the columns: each column of a band learns the next large cells above and below the
+    band, carried over the bands between. Along the rows: a row's small cells find the column whose next large cell is
+    nearest. Distances have no bound, and a task holds one band of a tile's rows.
     """
-    found = None
+    x, y = cell_px(F.col("cell_id")).cast("int"), cell_py(F.col("cell_id")).cast("int")
+    at_band = F.floor(F.col("py") / band).cast("int")
     tiles = cut(large.select(*SCOPE).distinct(), "tiles")
-    todo = attach(small.select(*SCOPE, "cell_id"), tiles, SCOPE, "left_semi")
-    for radius in radii:
-        home = todo.withColumns({
-            "bx": F.floor(cell_px(F.col("cell_id")) / side).cast("int"),
-            "by": F.floor(cell_py(F.col("cell_id")) / side).cast("int")})
-        asking = cut(home.select(*SCOPE, "bx", "by").distinct(), "asking")
-
-        def blocks(at):
-            low = F.floor((at - radius) / side).cast("int")
-            return F.explode(F.sequence(low, F.floor((at + radius) / side).cast("int")))
-
-        offered = (large.select(*SCOPE, "cell_id", "face_id", blocks(cell_px(F.col("cell_id"))).alias("bx"))
-                   .select("*", blocks(cell_py(F.col("cell_id"))).alias("by")))
-        offered = attach(offered, asking, [*SCOPE, "bx", "by"], "left_semi")
-        both = home.withColumn("face_id", F.lit(-1).cast("bigint")).unionByName(offered)
-        met, seen = cut_counting(
-            both.groupBy(*SCOPE, "bx", "by").applyInArrow(_absorb_block(radius), _SCHEMA), "absorbed",
-            open=F.count_if(F.col("face_id") < 0))
-        ready = met.filter("face_id >= 0")
-        found = ready if found is None else found.unionByName(ready)
-        if not seen["open"]:
-            return found
-        todo = met.filter("face_id < 0").select(*SCOPE, "cell_id")
-    far = _absorb_far(todo, large, 2 * radii[-1] if radii else 1)
-    return far if found is None else found.unionByName(far)
-
-
-def border_cells(large: DataFrame) -> DataFrame:
-    """Large cells with a side neighbour that is not large. Seen from outside, the nearest
-    large cell is one of them."""
-    x, y = cell_px(F.col("cell_id")), cell_py(F.col("cell_id"))
-    sides = F.explode(F.array(*[
-        F.struct((x + i).alias("px"), (y + j).alias("py"), F.lit(i == 0 and j == 0).alias("here"))
-        for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
-    inner = (large.select(*SCOPE, "face_id", sides.alias("s"))
-             .groupBy(*SCOPE, "s.px", "s.py")
-             .agg(F.count("*").alias("met"), F.max(F.when(F.col("s.here"), F.col("face_id"))).alias("face_id")))
-    return inner.filter("face_id IS NOT NULL AND met < 5").drop("met")
-
-
-def _absorb_far(todo: DataFrame, large: DataFrame, bucket: int) -> DataFrame:
-    """Nearest large cell by joining buckets and their neighbours. A hit no farther than one
-    bucket is final; the others go on with buckets twice as wide."""
-    border = cut(border_cells(large), "border")
-    found = None
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                                 for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    todo = cut(todo, "far")
-    while True:
-        asked = (todo.select(*SCOPE, "cell_id", cell_px(F.col("cell_id")).alias("x"),
-                             cell_py(F.col("cell_id")).alias("y"), around.alias("step"))
-                 .withColumns({"bx": F.floor(F.col("x") / bucket) + F.col("step.i"),
-                               "by": F.floor(F.col("y") / bucket) + F.col("step.j")}).drop("step"))
-        offered = border.withColumns({"bx": F.floor(F.col("px") / bucket), "by": F.floor(F.col("py") / bucket)})
-        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-        best = (asked.join(offered, [*SCOPE, "bx", "by"])
-                .withColumn("d2", dx.cast("bigint") * dx + dy.cast("bigint") * dy)
-                .groupBy(*SCOPE, "cell_id").agg(F.min(F.struct("d2", "px", "py", "face_id")).alias("m"))
-                .filter(F.col("m.d2") <= bucket * bucket)
-                .select(*SCOPE, "cell_id", F.col("m.face_id").alias("face_id")))
-        best = cut(best, "far")
-        found = best if found is None else found.unionByName(best)
-        todo, seen = cut_counting(minus(todo, best, [*SCOPE, "cell_id"]), "far", open=F.count(F.lit(1)))
-        if not seen["open"]:
-            return found
-        bucket *= 2
+    todo = attach(small.select(*SCOPE, x.alias("px"), y.alias("py")), tiles, SCOPE, "left_semi").withColumn("band", at_band)
+    big = large.select(*SCOPE, x.alias("px"), y.alias("py"), "face_id").withColumn("band", at_band)
+    asked = cut(todo.select(*SCOPE, "band").distinct(), "asked")
+
+    ends = big.groupBy(*SCOPE, "px", "band").agg(F.min(F.struct("py", "face_id")).alias("top"), F.max(F.struct("py", "face_id")).alias("bottom"))
+    ends = cut(ends, "column-ends")
+    # A tile's bands, one for each 128 rows, as one array; its columns are repeated for those with small cells.
+    bands = cut(asked.groupBy(*SCOPE).agg(F.collect_list("band").alias("bands")), "bands")
+    wanted = attach(ends.select(*SCOPE, "px").distinct(), bands, SCOPE).select(*SCOPE, "px", F.explode("bands").alias("band"))
+    both = (ends.withColumn("asked", F.lit(False)).unionByName(wanted.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+            .groupBy(*SCOPE, "px", "band").agg(F.max("top").alias("top"), F.max("bottom").alias("bottom"), F.max("asked").alias("asked")))
+    column = Window.partitionBy(*SCOPE, "px").orderBy("band")
+    carried = both.select(
+        *SCOPE, "px", "band", "asked", F.last("bottom", True).over(column.rowsBetween(Window.unboundedPreceding, -1)).alias("above"),
+        F.first("top", True).over(column.rowsBetween(1, Window.unboundedFollowing)).alias("below")).filter("asked")
+
+    none = F.lit(-1)
+    def rows(df: DataFrame, kind: int, py, face, below_py=none, below_face=none) -> DataFrame:
+        kinds = {"px": "int", "py": "int", "face_id": "bigint", "below_py": "int", "below_face": "bigint"}
+        values = dict(zip(kinds, (F.col("px"), py, face, below_py, below_face)))
+        return df.select(*SCOPE, "band", F.lit(kind).cast("tinyint").alias("kind"), *[F.coalesce(v, none).cast(kinds[n]).alias(n) for n, v in values.items()])
+
+    met = (rows(todo, SMALL, F.col("py"), none)
+           .unionByName(rows(attach(big, asked, [*SCOPE, "band"], "left_semi"), LARGE, F.col("py"), F.col("face_id")))
+           .unionByName(rows(carried, CARRIED, F.col("above.py"), F.col("above.face_id"), F.col("below.py"), F.col("below.face_id"))))
+    return cut(met.groupBy(*SCOPE, "band").applyInArrow(_absorb_band, _SCHEMA), "absorbed")
 
 
 def paint(cells: DataFrame, faces: DataFrame) -> DataFrame:
@@ -131,4 +138,3 @@ def paint(cells: DataFrame, faces: DataFrame) -> DataFrame:
     cell_id)``; ``faces`` adds ``color``."""
     return (cells.join(faces.select(*SCOPE, "cell_id", "color"), [*SCOPE, "cell_id"], "left")
             .withColumn("color", F.coalesce("color", F.lit(0))))
-

@@ -3,7 +3,9 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from slopeweave.operators import absorb, components, merging, regions
@@ -167,19 +169,65 @@ def test_size_split(spark):
     assert [r[0] for r in large.collect()] == [77] and [r[0] for r in small.collect()] == [76]
 
 
-@pytest.mark.parametrize("radii,side", [((32, 256), 128), ((2, 4), 8), ((), 128)])
-def test_absorption_against_brute_force(spark, radii, side):
+CELLS = "param_id INT, tile_id STRING, cell_id BIGINT"
+
+
+def nearest_large(small, large):
+    """Face of the nearest large cell by looking at all of them; ties by column, then row."""
+    cells = np.array(sorted(large))
+    faces = [large[tuple(c)] for c in cells.tolist()]
+    found = {}
+    for x, y in small:
+        found[(y << 32) | x] = faces[int(((cells[:, 0] - x) ** 2 + (cells[:, 1] - y) ** 2).argmin())]
+    return found
+
+
+def absorbed(spark, tiles, band=128):
+    """``tiles`` is a list of (small cells, large cells with their face)."""
+    row = lambda t, c: (0, f"t{t}", (c[1] << 32) | c[0])
+    small = [row(t, c) for t, (cells, _) in enumerate(tiles) for c in cells] + [(0, "no large region", 1)]
+    large = [(*row(t, c), f) for t, (_, cells) in enumerate(tiles) for c, f in cells.items()]
+    got = absorb.absorb_small(cut(spark.createDataFrame(small, CELLS)), cut(spark.createDataFrame(large, CELLS + ", face_id BIGINT")), band).collect()
+    found = {}
+    for r in got:
+        assert found.setdefault(r["tile_id"], {}).setdefault(r["cell_id"], r["face_id"]) == r["face_id"]
+    assert len(got) == sum(len(f) for f in found.values())
+    return found
+
+
+@pytest.mark.parametrize("band", [128, 8, 1])
+def test_absorption_against_brute_force(spark, band):
     rng = random.Random(9)
     cells = {(rng.randrange(60), rng.randrange(60)): None for _ in range(400)}
-    large = {c: i % 3 for i, c in enumerate(cells) if c[0] < 12 and c[1] < 20}
-    small = [c for c in cells if c not in large]
-    schema = "param_id INT, tile_id STRING, cell_id BIGINT"
-    rows = lambda cs: [(0, "t", (y << 32) | x) for x, y in cs]
-    small_df = cut(spark.createDataFrame(rows(small) + [(0, "no large region", 1)], schema))
-    large_df = cut(spark.createDataFrame([(*r, f) for r, f in zip(rows(large), large.values())], schema + ", face_id BIGINT"))
-    got = {r["cell_id"]: r["face_id"] for r in absorb.absorb_small(small_df, large_df, radii, side).collect()}
-    expected = {(y << 32) | x: large[min(large, key=lambda q: ((q[0] - x) ** 2 + (q[1] - y) ** 2, q))] for x, y in small}
-    assert got == expected
+    corner = {c: i % 3 for i, c in enumerate(cells) if c[0] < 12 and c[1] < 20}
+    mixed = {c: i for i, c in enumerate(cells) if rng.random() < 0.3}
+    lattice = {(x, y): x * 100 + y for x in range(0, 60, 4) for y in range(0, 60, 4)}
+    tiles = [([c for c in cells if c not in large], large) for large in (corner, mixed)]
+    tiles.append(([(x, y) for x in range(60) for y in range(60) if (x, y) not in lattice], lattice))
+    assert absorbed(spark, tiles, band) == {f"t{t}": nearest_large(*tile) for t, tile in enumerate(tiles)}
+
+
+def test_absorption_over_more_than_a_thousand_cells(spark, monkeypatch):
+    """Islands far apart in both directions, on a tile of many bands; few distances are held at once."""
+    monkeypatch.setattr(absorb, "HELD", 50)
+    rng = random.Random(2)
+    islands = [(5, 5), (1_900, 40), (700, 1_500), (1_901, 1_999)]
+    large = {(x + i, y + j): n for n, (x, y) in enumerate(islands) for i in range(4) for j in range(3)}
+    small = [c for c in {(rng.randrange(2_100), rng.randrange(2_100)) for _ in range(1_500)} if c not in large]
+    found = absorbed(spark, [(small, large)])["t0"]
+    assert found == nearest_large(small, large)
+    assert max(min(math.dist(c, q) for q in large) for c in small) > 900
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_least_per_query(data):
+    columns = np.array(sorted(data.draw(st.sets(st.integers(0, 40), min_size=1))))
+    heights = np.array(data.draw(st.lists(st.lists(st.integers(0, 900), min_size=len(columns), max_size=len(columns)), min_size=1, max_size=3)))
+    queries = sorted({(data.draw(st.integers(0, len(heights) - 1)), data.draw(st.integers(0, 40))) for _ in range(data.draw(st.integers(0, 12)))})
+    row, x = (np.array(v, np.int64).reshape(-1) for v in (zip(*queries) if queries else ([], [])))
+    got = absorb.least_per_query(x, row, columns, heights)
+    assert got.tolist() == [int(((b - columns) ** 2 + heights[a]).argmin()) for a, b in queries]
 
 
 def test_paint(spark):
