@@ -62,8 +62,7 @@ def _masked(spark, d, k):
 def _grown(spark, d):
     p = fx.roof_params()[3]
     tiles, cells = _masked(spark, d, p["knn"])
-    per_set = cells.drop("knn").withColumn("param_id", F.lit(p["param_id"]))
-    return tiles, cut(growth.grow_regions(per_set, tiles, [p]), "grown")
+    return tiles, cut(growth.grow_regions(cells, tiles, [p]), "grown")
 
 
 def _large(spark, d):

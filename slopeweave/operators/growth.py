@@ -92,13 +92,15 @@ def seed_order(cells: DataFrame, keys: list[str]) -> list[Column]:
 
 # --- the same tests inside blocks -------------------------------------------------------
 
-def _grow_block(thresholds: dict[int, tuple], side: int):
-    """Report of one block: its cells with their local region, links to cells of other blocks,
-    and the regions that smoothly reach its cells without a strong pair."""
+def _grow_block(sets: dict[int, list[tuple]], side: int):
+    """Report of one block for every parameter set with its number of neighbours: its cells with their local region, links to cells of other
+    blocks, and the regions that smoothly reach its cells without a strong pair.
+
+    The pairs of cells and what is tested of them are found once; the sets only differ in the thresholds.
+    """
 
     def report(key: tuple, block: pa.Table) -> pa.Table:
-        param_id, tile_id, bx, by = (v.as_py() for v in key)
-        smoothness, curvature, color, k = thresholds[param_id]
+        tile_id, k, bx, by = (v.as_py() for v in key)
         w, h = block["w"][0].as_py(), block["h"][0].as_py()
         px, py = block["px"].to_numpy(), block["py"].to_numpy()
         cell_id = (py.astype(np.int64) << 32) | px
@@ -107,84 +109,100 @@ def _grow_block(thresholds: dict[int, tuple], side: int):
         normal = [block[c].to_numpy()[order] for c in ("nx", "ny", "nz")]
         ncurv, light, height = (block[c].to_numpy()[order] for c in _CARRIED)
         own = (px // side == bx) & (py // side == by)
-        empty = np.empty(0, dtype=np.int64)
-        strong_pairs, smooth_pairs = [(empty, empty)], [(empty, empty)]
-        window = Window(px, py, reach(k, w, h)) if own.any() else None
-        for some, steps, used in nearest(px, py, np.arange(len(px)) if own.any() else empty, k, w, h):
-            target = window.shifted(some, steps)
-            row, col = np.nonzero(used & (target >= 0))
-            u, v = some[row], target[row, col]
-            keep = (u != v) & (own[u] | own[v])
-            u, v = u[keep], v[keep]
-            dot = sum(n[u] * n[v] for n in normal)
-            size = np.sqrt(sum(n[u] * n[u] for n in normal)) * np.sqrt(sum(n[v] * n[v] for n in normal))
-            smooth = dot / size > smoothness
-            u, v = u[smooth], v[smooth]
-            strong = (np.abs(ncurv[v] - ncurv[u]) < curvature) & (np.abs(light[v] - light[u]) < color)
-            strong_pairs.append((u[strong], v[strong]))
-            into = own[v]
-            smooth_pairs.append((u[into], v[into]))
-        u, v = (np.concatenate(side_) for side_ in zip(*strong_pairs))
-        has_strong = np.zeros(len(px), dtype=bool)
-        has_strong[u] = has_strong[v] = True
-        both = own[u] & own[v]
-        root = cell_id[local_components(u[both], v[both], len(px))]
-        near, far = np.where(own[u], u, v)[~both], np.where(own[u], v, u)[~both]
-        first = cell_id[near] < cell_id[far]
-        links = np.unique(np.stack([root[near[first]], cell_id[far[first]]]), axis=1)
-        u, v = (np.concatenate(side_) for side_ in zip(*smooth_pairs))
-        weak = ~has_strong[v]
-        u, v = u[weak], v[weak]
-        inner = own[u] & has_strong[u]
-        reached = np.unique(np.stack([cell_id[v[inner]], root[u[inner]]]), axis=1)
-        outer = ~own[u]
-        outside = np.unique(np.stack([cell_id[v[outer]], cell_id[u[outer]]]), axis=1)
         mine = np.flatnonzero(own)
-        parts = [(CELL, cell_id[mine], root[mine]), (LINK, *links), (REACHED, *reached),
-                 (REACHED_FROM_OUTSIDE, *outside)]
-        total = sum(len(a) for _, a, _ in parts)
-        rest = np.full(total - len(mine), np.nan)
+        pairs = _tested_pairs(px, py, own, k, w, h, normal, ncurv, light, min(s[1] for s in sets[k]))
+        parts = []
+        for param_id, *limits in sets[k]:
+            has_strong, found = _grow_set(cell_id, own, *pairs, *limits)
+            parts += [(param_id, CELL, *found[0], has_strong[mine], *[v[mine] for v in (ncurv, light, height)])]
+            for kind, (a, b) in zip((LINK, REACHED, REACHED_FROM_OUTSIDE), found[1:]):
+                parts.append((param_id, kind, a, b, np.zeros(len(a), bool), *[np.full(len(a), np.nan)] * 3))
+        sizes = [len(p[2]) for p in parts]
+        whole = lambda i: np.concatenate([p[i] for p in parts])
         return pa.table({
-            "param_id": pa.array(np.full(total, param_id, dtype=np.int32)),
-            "tile_id": pa.array([tile_id] * total, pa.string()),
-            "kind": np.concatenate([np.full(len(a), kind, dtype=np.int8) for kind, a, _ in parts]),
-            "a": np.concatenate([a for _, a, _ in parts]),
-            "b": np.concatenate([b for _, _, b in parts]),
-            "strong": np.concatenate([has_strong[mine], np.zeros(len(rest), dtype=bool)]),
-            **{c: np.concatenate([v[mine], rest]) for c, v in zip(_CARRIED, (ncurv, light, height))}})
+            "param_id": np.repeat(np.array([p[0] for p in parts], np.int32), sizes),
+            "tile_id": pa.array([tile_id] * sum(sizes), pa.string()),
+            "kind": np.repeat(np.array([p[1] for p in parts], np.int8), sizes),
+            "a": whole(2), "b": whole(3), "strong": whole(4), **{c: whole(i) for i, c in enumerate(_CARRIED, 5)}})
 
     return report
 
 
+def _tested_pairs(px, py, own, k, w, h, normal, ncurv, light, loosest) -> tuple[np.ndarray, ...]:
+    """Pairs of near cells, at least one of the block, whose normals agree by the loosest limit: both ends, cosine, and differences of curvature and colour."""
+    empty = np.empty(0, dtype=np.int64)
+    found = [(empty, empty, *[np.empty(0)] * 3)]
+    window = Window(px, py, reach(k, w, h)) if own.any() else None
+    for some, steps, used in nearest(px, py, np.arange(len(px)) if own.any() else empty, k, w, h):
+        target = window.shifted(some, steps)
+        row, col = np.nonzero(used & (target >= 0))
+        u, v = some[row], target[row, col]
+        keep = (u != v) & (own[u] | own[v])
+        u, v = u[keep], v[keep]
+        dot = sum(n[u] * n[v] for n in normal)
+        size = np.sqrt(sum(n[u] * n[u] for n in normal)) * np.sqrt(sum(n[v] * n[v] for n in normal))
+        cosine_ = dot / size
+        some_set = cosine_ > loosest
+        u, v = u[some_set], v[some_set]
+        found.append((u, v, cosine_[some_set], np.abs(ncurv[v] - ncurv[u]), np.abs(light[v] - light[u])))
+    return tuple(np.concatenate(columns) for columns in zip(*found))
+
+
+def _grow_set(cell_id, own, u, v, cosine_, bend, shade, smoothness, curvature, color) -> tuple[np.ndarray, list]:
+    """Which cells have a strong pair, and by kind of report its two columns, for one parameter set."""
+    smooth = cosine_ > smoothness
+    u, v = u[smooth], v[smooth]
+    strong = (bend[smooth] < curvature) & (shade[smooth] < color)
+    into = own[v]
+    su, sv, wu, wv = u[strong], v[strong], u[into], v[into]
+    has_strong = np.zeros(len(cell_id), dtype=bool)
+    has_strong[su] = has_strong[sv] = True
+    both = own[su] & own[sv]
+    root = cell_id[local_components(su[both], sv[both], len(cell_id))]
+    near, far = np.where(own[su], su, sv)[~both], np.where(own[su], sv, su)[~both]
+    first = cell_id[near] < cell_id[far]
+    links = np.unique(np.stack([root[near[first]], cell_id[far[first]]]), axis=1)
+    weak = ~has_strong[wv]
+    wu, wv = wu[weak], wv[weak]
+    inner = own[wu] & has_strong[wu]
+    reached = np.unique(np.stack([cell_id[wv[inner]], root[wu[inner]]]), axis=1)
+    outside = np.unique(np.stack([cell_id[wv[~own[wu]]], cell_id[wu[~own[wu]]]]), axis=1)
+    mine = np.flatnonzero(own)
+    return has_strong, [(cell_id[mine], root[mine]), links, reached, outside]
+
+
 def grow_regions(cells: DataFrame, tiles: DataFrame, params: list, side: int = SIDE) -> DataFrame:
     """Region of every masked cell, for every parameter set.
 
-    ``cells`` holds masked cells with ``param_id, tile_id, px, py``, normal, ``ncurv``,
+    ``cells`` holds masked cells with ``tile_id, knn, px, py``, normal, ``ncurv``,
     ``intensity`` and ``height``; ``params`` the parameter rows. Returns ``(param_id, tile_id,
     cell_id, ncurv, intensity, height, region_id, anchor)``. The region is named by its least
     strongly connected cell; cells that only joined smoothly are no anchors.
 
+    Cells are shuffled once for each number of neighbours, however many sets have it: a block goes through all of them.
     Blocks find their own regions; only pairs of regions across block borders are left to
     the component search over all of Spark.
     """
-    thresholds = {p["param_id"]: (p["smoothness"], p["curvature"], p["color"], p["knn"]) for p in params}
-    sizes = tiles.select("tile_id", "w", "h", F.explode(F.array(*[
-        F.struct(F.lit(p["param_id"]).alias("param_id"), F.lit(p["knn"]).alias("knn")) for p in params])).alias("p"))
-    sizes = sizes.select(F.col("p.param_id").alias("param_id"), "tile_id", "w", "h",
-                         reach_column(F.col("p.knn"), F.col("w"), F.col("h")).alias("halo"))
-    placed = attach(cells.select(*SCOPE, "px", "py", "nx", "ny", "nz", *_CARRIED), sizes, SCOPE)
+    sets: dict[int, list[tuple]] = {}
+    for p in params:
+        sets.setdefault(p["knn"], []).append((p["param_id"], p["smoothness"], p["curvature"], p["color"]))
+    every = F.explode(F.array(*[F.lit(k) for k in sets]))
+    halos = tiles.select("tile_id", "w", "h", every.alias("knn")).withColumn("halo", reach_column(F.col("knn"), F.col("w"), F.col("h")))
+    placed = attach(cells.select("tile_id", "knn", "px", "py", "nx", "ny", "nz", *_CARRIED), halos, ["tile_id", "knn"])
     report, seen = cut_counting(
         with_blocks(placed, F.col("halo"), side).drop("halo")
-        .groupBy(*SCOPE, "bx", "by").applyInArrow(_grow_block(thresholds, side), _REPORT),
+        .groupBy("tile_id", "knn", "bx", "by").applyInArrow(_grow_block(sets, side), _REPORT),
         "growth",
         links=F.count_if(F.col("kind") == LINK),
         reached=F.count_if(F.col("kind") == REACHED),
         outside=F.count_if(F.col("kind") == REACHED_FROM_OUTSIDE))
+    of_set = F.explode(F.array(*[F.struct(F.lit(p["param_id"]).alias("param_id"), F.lit(p["knn"]).alias("k")) for p in params]))
+    sizes = halos.select("tile_id", "knn", "halo", of_set.alias("p")).filter("knn = p.k").select(F.col("p.param_id").alias("param_id"), "tile_id", "halo")
     own = report.filter(F.col("kind") == CELL).select(
         *SCOPE, F.col("a").alias("cell_id"), *_CARRIED, F.col("b").alias("root"), F.col("strong").alias("anchor"))
 
     if seen["links"] or seen["outside"]:
-        banded = (attach(own, sizes.select(*SCOPE, "halo"), SCOPE)
+        banded = (attach(own, sizes, SCOPE)
                   .withColumns({"px": cell_px(F.col("cell_id")), "py": cell_py(F.col("cell_id"))})
                   .filter(near_edge(F.col("halo"), side))
                   .select(*SCOPE, F.col("cell_id").alias("b"), "root", "anchor"))

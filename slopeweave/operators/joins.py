@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-# A table of at most this many rows is broadcast (some 50 MB at the widths used here).
-BROADCAST_ROWS = 500_000
-SALTS = 32
 
-
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join ``big`` with ``small``, which has few rows per key and comes from a written table.
 
-    The row count of ``small`` decides: few rows are broadcast, so ``big`` is not shuffled.
-    Beyond that, ``big`` is spread over salts within each key and ``small`` repeated per salt,
-    so one hot key never lands in one task. ``how`` is inner, left, left_semi or left_anti.
+    Spark knows the size of a written table from its files: below the broadcast threshold ``big`` is not moved at all. Beyond
+    it both sides are shuffled, and where one key of ``big`` fills a partition, adaptive execution splits that partition
+    by the sizes it has just written and repeats only the small side's part for it. ``how`` is inner, left, left_semi or left_anti,
+    the joins whose left side can be split.
     """
-    if small.count() <= broadcast_rows:
-        return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return big.join(small, on, how)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, functions as F
 
 from slopeweave.functions.cells import ROOF_COLOR, cell_px, cell_py
@@ -17,8 +19,9 @@ from slopeweave.operators.regions import REGION, region_stats
 from slopeweave.session import cut
 from slopeweave.sources.tables import clean_params, valid_params
 
-# Parameter sets are few and small: they come to the driver and are sent to every task.
-MOST_PARAMS = 100_000
+FACES = "param_id INT, apn STRING, feature_id BIGINT, srid INT, rings ARRAY<ARRAY<ARRAY<DOUBLE>>>, slope DOUBLE, azimuth DOUBLE"
+# Parameter sets that go through at once; they come to the driver and are sent to every task.
+SETS_AT_ONCE = 1_000
 
 
 def input_tiles(points: DataFrame, outline: DataFrame, raster: DataFrame, georef: DataFrame) -> DataFrame:
@@ -42,20 +45,26 @@ def segment(points: DataFrame, outline: DataFrame, raster: DataFrame, georef: Da
     """Faces of every tile for every parameter set, as ``(param_id, apn, feature_id, srid,
     rings, slope, azimuth)``.
 
-    All parameter sets go through in one job. Cells are gridded once and planes fitted once per
-    number of neighbours; only growth and what follows is done per set.
+    Cells are gridded once and planes fitted once per number of neighbours; only growth and what follows is done per set, for
+    all sets in one job, or ``SETS_AT_ONCE`` of them in each.
     """
-    usable = clean_params(valid_params(params))
-    rows = usable.limit(MOST_PARAMS + 1).collect()
-    if len(rows) > MOST_PARAMS:
-        raise ValueError(f"more than {MOST_PARAMS} parameter sets")
     spark = points.sparkSession
-    usable = spark.createDataFrame(rows, usable.schema)
+    usable = cut(clean_params(valid_params(params)), "params")
+    if usable.isEmpty():
+        return spark.createDataFrame([], FACES)
     tiles = cut(input_tiles(points, outline, raster, georef), "tiles")
-    cells = masked_cells(points, outline, raster, tiles, [r["knn"] for r in rows], roof_color)
-    per_set = cells.join(F.broadcast(usable.select("param_id", "knn")), "knn").drop("knn")
+    cells = masked_cells(points, outline, raster, tiles, [r["knn"] for r in usable.select("knn").distinct().collect()], roof_color)
+    rows, found = usable.toLocalIterator(), None
+    while some := list(islice(rows, SETS_AT_ONCE)):
+        sets = spark.createDataFrame(some, usable.schema)
+        faces = _segment_sets(cells, tiles, georef, sets, some, slope_cmp, compass)
+        found = faces if found is None else found.unionByName(faces)
+    return found
+
 
-    grown = cut(grow_regions(per_set, tiles, rows), "region_cells")
+def _segment_sets(cells: DataFrame, tiles: DataFrame, georef: DataFrame, usable: DataFrame, rows: list, slope_cmp: str, compass: bool) -> DataFrame:
+    """Faces for some parameter sets, given as a table and as rows."""
+    grown = cut(grow_regions(cells, tiles, rows), "region_cells")
     regions = (region_stats(grown).join(F.broadcast(usable.select("param_id", "region_limit")), "param_id")
                .filter("size > region_limit").drop("region_limit"))
     merged, names = merge_regions(regions, tiles, usable, slope_cmp=slope_cmp, compass=compass)

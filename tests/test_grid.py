@@ -110,13 +110,29 @@ def test_inputs_are_matched_by_name(spark):
     assert [tuple(r) for r in rows] == [("a", "h/a.txt", "o/1/a.tif", "r/a.tif")]
 
 
-def test_salted_join_equals_broadcast_join(spark):
-    big = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
-    small = cut(spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v")))
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        a = attach(big, small, ["k"], how).orderBy("id").collect()
-        b = attach(big, small, ["k"], how, broadcast_rows=0).select(*attach(big, small, ["k"], how).columns).orderBy("id").collect()
-        assert a == b
+SPLIT = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "6",
+         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_hot_key_is_split_where_the_small_side_is_not_broadcast(spark, how):
+    big = cut(spark.range(60_000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 900).alias("k"), "id", F.hash("id").alias("v")).repartition(8))
+    small = cut(spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w")))
+    order = lambda df: sorted(map(tuple, df.collect()))
+    broadcast = attach(big, small, ["k"], how)
+    expected = order(broadcast)
+    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().toString()
+    before = {k: spark.conf.get(k) for k in SPLIT}
+    try:
+        for k, v in SPLIT.items():
+            spark.conf.set(k, v)
+        shuffled = attach(big, small, ["k"], how)
+        assert order(shuffled) == expected
+        assert "skew=true" in shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_positions_in_a_hot_group(spark):

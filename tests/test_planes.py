@@ -156,11 +156,14 @@ def test_growth_against_brute_force(spark, seed, k):
                 n = np.array([0.3 if x < 6 else -0.3, 0.1 * (y > 5), 1.0]) + rng.normal(size=3) * 0.08
                 cells[x, y] = {"n": (n / np.linalg.norm(n)).tolist(), "ncurv": round(float(rng.random()), 2), "light": float(rng.integers(0, 4))}
     p = {"param_id": 3, "smoothness": 0.985, "curvature": 0.12, "color": 1.5, "knn": k}
-    df = spark.createDataFrame([(3, "t", x, y, *c["n"], c["ncurv"], c["light"], 0.0) for (x, y), c in cells.items()],
-                               "param_id INT, tile_id STRING, px INT, py INT, nx DOUBLE, ny DOUBLE, nz DOUBLE, ncurv DOUBLE, intensity DOUBLE, height DOUBLE")
+    # sets with other limits and another number of neighbours go through the same blocks
+    sets = [p, p | {"param_id": 4, "smoothness": 0.99, "color": 2.5}, p | {"param_id": 5, "curvature": 0.4, "knn": 5}]
+    df = spark.createDataFrame([(n, "t", x, y, *c["n"], c["ncurv"], c["light"], 0.0) for (x, y), c in cells.items() for n in (k, 5)],
+                               "knn INT, tile_id STRING, px INT, py INT, nx DOUBLE, ny DOUBLE, nz DOUBLE, ncurv DOUBLE, intensity DOUBLE, height DOUBLE")
     tiles = cut(spark.createDataFrame([("t", w, h)], "tile_id STRING, w INT, h INT"))
-    expected = brute_growth(cells, w, h, p)
-    assert len(set(expected.values())) > 3
+    expected = {(q["param_id"], c): r for q in sets for c, r in brute_growth(cells, w, h, q).items()}
+    labels = [tuple(r for (i, _), r in sorted(expected.items()) if i == q["param_id"]) for q in sets]
+    assert len(set(labels[0])) > 3 and len(set(labels)) == 3
     for side in (128, 5):
-        got = {r["cell_id"]: r["region_id"] for r in growth.grow_regions(df.repartition(3), tiles, [p], side).collect()}
-        assert got == expected
+        got = growth.grow_regions(df.repartition(3), tiles, sets, side).collect()
+        assert {(r["param_id"], r["cell_id"]): r["region_id"] for r in got} == expected and len(got) == len(expected)
