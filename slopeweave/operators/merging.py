@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from slopeweave.operators.growth import SCOPE, exclude_self
 from slopeweave.operators.joins import attach
@@ -69,54 +69,72 @@ def merge_eligible(pairs: DataFrame, slope: float | str, azimuth: float | str, s
     return pairs.filter(apart & ~F.isnan(turn) & (turn < azimuth))
 
 
+def first_order() -> Column:
+    """Order of the first pass: largest first, ties in the order of the seeds."""
+    return F.struct(F.array(-F.col("size")).alias("sizes"), "seed_ncurv", "seed_id")
+
+
+def next_order() -> Column:
+    """Order of a further pass: a stable sort by size over the order of the pass before, which the regions carry as ``order``. Comparing the latest sizes,
+    then those before, and so on, is the same without a sort."""
+    return F.struct(F.concat(F.array(-F.col("size")), F.col("order.sizes")).alias("sizes"),
+                    F.col("order.seed_ncurv").alias("seed_ncurv"), F.col("order.seed_id").alias("seed_id"))
+
+
 def eligible_pairs(regions: DataFrame, tiles: DataFrame, params: DataFrame, k: int = NEIGHBOURS, slope_cmp: str = "gt") -> DataFrame:
-    """Pairs ``(a, b)`` of one pass: ``a`` comes before ``b`` in size order, is near it and may
-    absorb it. ``order`` sorts the absorbers."""
-    order = F.struct((-F.col("size")).alias("size"), "seed_ncurv", "seed_id")
-    side = regions.select(*REGION, order.alias("order"), "slope", "azimuth")
+    """Pairs ``(a, b)`` of one pass: ``a`` comes before ``b`` in the pass's order, is near it and may
+    absorb it. ``order`` sorts the absorbers; regions without one are in the order of a first pass."""
+    if "order" not in regions.columns:
+        regions = regions.withColumn("order", first_order())
+    side = regions.select(*REGION, "order", "slope", "azimuth")
     p = side.select(*REGION, F.col("order").alias("p_order"), F.col("slope").alias("p_slope"), F.col("azimuth").alias("p_azimuth"))
     q = side.select(*SCOPE, F.col("region_id").alias("other_id"), F.col("order").alias("q_order"),
                     F.col("slope").alias("q_slope"), F.col("azimuth").alias("q_azimuth"))
     limits = params.select("param_id", F.col("slope").alias("slope_limit"), F.col("azimuth").alias("azimuth_limit"))
     pairs = (exclude_self(knn_regions(regions, tiles, k), "merge").join(p, REGION).join(q, [*SCOPE, "other_id"])
-             .filter("p_order < q_order").join(F.broadcast(limits), "param_id"))
+             .filter("p_order < q_order").join(limits, "param_id"))
     return merge_eligible(pairs, "slope_limit", "azimuth_limit", slope_cmp).select(
         *SCOPE, F.col("region_id").alias("a"), F.col("other_id").alias("b"), F.col("p_order").alias("order"))
 
 
 def resolve_pass(eligible: DataFrame) -> DataFrame:
-    """Who absorbs whom when regions act in size order: ``(region_id, absorber)``.
+    """Who absorbs whom when regions act in order: ``(region_id, absorber)``. ``eligible`` is a written table.
 
-    A region is absorbed by its first eligible absorber that is not absorbed itself. Absorbers
-    that nobody can absorb are settled at once; they settle the regions that have them first,
-    and pairs with a settled region fall away. Rounds end when no pair is left.
+    A region is absorbed if any of its eligible absorbers is not, and then by the first such. Only the first half of this needs
+    rounds: whoever has no absorber left in question stays, whoever such a region may absorb goes, and all pairs with those fall away, so a
+    chain of absorbers is settled from its head, two links a round, and all chains at once. Then one aggregation finds the absorbers.
     """
-    absorbed = None
+    pairs = eligible.select(*SCOPE, "a", "b")
+    gone = None
     while True:
-        first = eligible.groupBy(*SCOPE, "b").agg(F.min(F.struct("order", "a")).alias("f"))
-        settled = cut(first.select(*SCOPE, F.col("f.a").alias("a"), "b")
-                      .join(eligible.select(*SCOPE, F.col("b").alias("a")).distinct(), [*SCOPE, "a"], "left_anti"), "settled")
-        mapped = settled.select(*SCOPE, F.col("b").alias("region_id"), F.col("a").alias("absorber"))
-        absorbed = mapped if absorbed is None else absorbed.unionByName(mapped)
-        gone = settled.select(*SCOPE, "b")
-        eligible, seen = cut_counting(
-            eligible.join(gone, [*SCOPE, "b"], "left_anti")
-            .join(gone.withColumnRenamed("b", "a"), [*SCOPE, "a"], "left_anti"), "eligible", left=F.count(F.lit(1)))
+        asked = pairs.select(*SCOPE, F.col("b").alias("a")).distinct()
+        news = cut(pairs.join(asked, [*SCOPE, "a"], "left_anti").select(*SCOPE, "b").distinct(), "gone")
+        gone = news if gone is None else gone.unionByName(news)
+        pairs, seen = cut_counting(
+            pairs.join(news, [*SCOPE, "b"], "left_anti").join(news.withColumnRenamed("b", "a"), [*SCOPE, "a"], "left_anti").select(*SCOPE, "a", "b"),
+            "eligible", left=F.count(F.lit(1)))
         if not seen["left"]:
-            return absorbed
+            break
+    staying = eligible.join(gone.withColumnRenamed("b", "a"), [*SCOPE, "a"], "left_anti")
+    return (staying.groupBy(*SCOPE, "b").agg(F.min(F.struct("order", "a")).alias("f"))
+            .select(*SCOPE, F.col("b").alias("region_id"), F.col("f.a").alias("absorber")))
 
 
 def merge_regions(regions: DataFrame, tiles: DataFrame, params: DataFrame, k: int = NEIGHBOURS, slope_cmp: str = "gt",
                   compass: bool = False) -> tuple[DataFrame, DataFrame]:
     """Repeat passes while they absorb anything. Returns the merged regions with slope and
-    azimuth, and ``(region_id, face_id)`` for every region absorbed on the way."""
+    azimuth, and ``(region_id, face_id)`` for every region absorbed on the way.
+
+    Regions act from the largest to the smallest; of equal ones that first which came first in the pass before, and in the first pass the one
+    with the better seed.
+    """
     names = None
-    regions = cut(region_attrs(region_means(regions), compass), "regions")
+    regions = cut(region_attrs(region_means(regions), compass).withColumn("order", first_order()), "regions")
     while True:
         eligible, seen = cut_counting(eligible_pairs(regions, tiles, params, k, slope_cmp), "eligible",
                                       some=F.count(F.lit(1)))
         if not seen["some"]:
-            return regions, names
+            return regions.drop("order"), names
         absorbed = cut(resolve_pass(eligible), "absorbed")
         step = absorbed.select(*SCOPE, F.col("region_id").alias("face_id"), F.col("absorber").alias("_next"))
         news = absorbed.select(*REGION, F.col("absorber").alias("face_id"))
@@ -125,4 +143,5 @@ def merge_regions(regions: DataFrame, tiles: DataFrame, params: DataFrame, k: in
                 *REGION, F.coalesce("_next", "face_id").alias("face_id"))
             news = old.unionByName(news)
         names = cut(news, "names")
-        regions = cut(region_attrs(region_means(combine(regions, absorbed)), compass), "regions")
+        merged = region_attrs(region_means(combine(regions, absorbed)), compass)
+        regions = cut(merged.join(regions.select(*REGION, "order"), REGION).withColumn("order", next_order()), "regions")

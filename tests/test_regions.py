@@ -86,9 +86,10 @@ def test_single_cells_never_merge(spark):
 
 
 def sequential_merge(stats, attrs_of, combine_of, slope, azimuth):
-    """One region after the other, as long as a pass absorbs anything."""
+    """One region after the other, as long as a pass absorbs anything. Each pass sorts the list that the last one left."""
+    stats = sorted(stats, key=lambda r: (r["seed_ncurv"], r["seed_id"]))
     while True:
-        order = sorted(stats, key=lambda r: (-r["size"], r["seed_ncurv"], r["seed_id"]))
+        order = sorted(stats, key=lambda r: -r["size"])
         attrs = {r["region_id"]: attrs_of(r) for r in order}
         centre = {r["region_id"]: (r["sum_x"] // r["size"], r["sum_y"] // r["size"]) for r in order}
         rank = {r["region_id"]: (r["seed_ncurv"], r["seed_id"]) for r in order}
@@ -107,14 +108,16 @@ def sequential_merge(stats, attrs_of, combine_of, slope, azimuth):
                         absorbed[b] = a
         if not absorbed:
             return {r["region_id"]: r["size"] for r in stats}
-        stats = combine_of(stats, absorbed)
+        merged = {r["region_id"]: r for r in combine_of(stats, absorbed)}
+        stats = [merged[r["region_id"]] for r in order if r["region_id"] in merged]
 
 
-def test_merging_equals_the_sequential_loop(spark):
-    rng = random.Random(11)
+@pytest.mark.parametrize("seed, sizes", [(11, [16, 25, 36, 49]), (5, [16, 16, 16, 25]), (8, [25])])
+def test_merging_equals_the_sequential_loop(spark, seed, sizes):
+    rng = random.Random(seed)
     taken, rows = set(), []
     while len(rows) < 45:
-        cx, cy, size = rng.randrange(20, 150), rng.randrange(20, 150), rng.choice([16, 25, 36, 49])
+        cx, cy, size = rng.randrange(20, 150), rng.randrange(20, 150), rng.choice(sizes)
         row = plane_region(len(rows), cx, cy, size, *gradient(rng.uniform(20, 50), rng.uniform(20, 70)))
         if row[2] not in taken:
             taken.add(row[2])
@@ -163,6 +166,30 @@ def test_nearest_regions_with_shared_centres(spark, bucket):
         assert got[i] == set(near)
 
 
+def test_equal_sizes_keep_the_order_of_the_pass_before(spark):
+    """1 (30 cells) absorbs 4 (4), and 2 (28) absorbs 5 (6): both have 34 then. By seeds 2 would come first, but 1 did in the first pass."""
+    order = spark.createDataFrame([(1, 30, 9.0), (2, 28, 1.0), (3, 28, 0.5)], "region_id INT, size INT, seed_ncurv DOUBLE").withColumn("seed_id", F.col("region_id"))
+    first = order.withColumn("order", merging.first_order())
+    assert [r.region_id for r in first.orderBy("order").collect()] == [1, 3, 2]
+    later = first.withColumn("size", F.when(F.col("region_id") < 3, 34).otherwise(F.col("size"))).withColumn("order", merging.next_order())
+    assert [r.region_id for r in later.orderBy("order").collect()] == [1, 2, 3]
+    same = later.withColumn("size", F.lit(40)).withColumn("order", merging.next_order())
+    assert [r.region_id for r in same.orderBy("order").collect()] == [1, 2, 3]
+
+
+def test_chains_of_absorbers(spark):
+    """Pairs of a random order against the loop over that order; a chain is settled two links a round."""
+    rng = random.Random(6)
+    rows = [(0, f"t{t}", a, b, a) for t in range(6) for b in range(1, 60) for a in {rng.randrange(b) for _ in range(rng.randint(0, 3))}]
+    rows += [(0, "chain", a, a + 1, a) for a in range(12)]
+    frame = cut(spark.createDataFrame(rows, "param_id INT, tile_id STRING, a BIGINT, b BIGINT, order BIGINT"))
+    expected = {}
+    for _, tile, a, b, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        if (tile, a) not in expected:
+            expected.setdefault((tile, b), a)
+    assert {(r["tile_id"], r["region_id"]): r["absorber"] for r in merging.resolve_pass(frame).collect()} == expected
+
+
 def test_size_split(spark):
     df = spark.createDataFrame([(76,), (77,)], "size INT")
     large, small = regions.split_by_size(df, 76)
