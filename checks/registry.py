@@ -694,12 +694,20 @@ def x1_components(spark, d):
     return components.components(edges, ["tile_id"])
 
 
-@query(None)
+@query("SELECT tile_id, region_id, n AS size, round(slope, 4) AS slope, round(azimuth, 4) AS azimuth FROM merge8_done")
 def x2_merge_regions(spark, d):
     tiles, _, _, large, _ = _large(spark, d)
     stats = large.select(*regions.REGION, "size", *regions.SUMS, "seed_ncurv", "seed_id")
     merged, _ = merging.merge_regions(stats, tiles, tables.clean_params(fx.roof_params_df(spark)))
-    return merged.select("tile_id", "region_id", "size", "slope", "azimuth")
+    return merged.select("tile_id", "region_id", "size", F.round("slope", 4).alias("slope"), F.round("azimuth", 4).alias("azimuth"))
+
+
+@query("SELECT tile_id, region_id, face_id FROM merge8_faces WHERE face_id <> region_id")
+def j11_region_names(spark, d):
+    tiles, _, _, large, _ = _large(spark, d)
+    stats = large.select(*regions.REGION, "size", *regions.SUMS, "seed_ncurv", "seed_id")
+    _, names = merging.merge_regions(stats, tiles, tables.clean_params(fx.roof_params_df(spark)))
+    return names.select("tile_id", "region_id", "face_id")
 
 
 @query(f"SELECT tile_id, face_id, part_id, cells, CAST(cells AS DOUBLE) AS area FROM ({_PARTS})")

@@ -93,6 +93,72 @@ def _placed(points: str, tiles: str) -> str:
         FROM {points} p JOIN {tiles} t ON t.tile_id = p.tile_id"""
 
 
+# Sums of a region; dx and dy are offsets from the cell that names it.
+_SUMS = {"sum_x": "c.px", "sum_y": "c.py", "sx": "dx", "sy": "dy", "sh": "height", "sxx": "dx * dx", "sxy": "dx * dy", "syy": "dy * dy",
+         "sxh": "dx * height", "syh": "dy * height", "shh": "height * height"}
+# The same after the origin is moved by (mx, my).
+_MOVED = {"sum_x": "sum_x", "sum_y": "sum_y", "sx": "sx + n * mx", "sy": "sy + n * my", "sh": "sh", "sxx": "sxx + 2 * mx * sx + n * mx * mx",
+          "sxy": "sxy + mx * sy + my * sx + n * mx * my", "syy": "syy + 2 * my * sy + n * my * my", "sxh": "sxh + mx * sh", "syh": "syh + my * sh", "shh": "shh"}
+# Passes of merging in the SQL; once nothing is absorbed, a further one changes nothing.
+PASSES = 5
+
+
+def _merging(name: str, slope: str, azimuth: str, cmp: str = ">") -> dict[str, str]:
+    """Merging as tables named ``<name>_...``, pass by pass, one region after the other: the regions in order (``at``), their attributes (``is``), pairs that may
+    merge (``may``), the walk over the order (``go``), who went where (``to``). Starts from ``<name>_at0 (tile_id, region_id, n, rank, sums)``."""
+    ctes = {}
+    for i in range(PASSES):
+        at, is_, may, go, to = (f"{name}_{part}{i}" for part in ("at", "is", "may", "go", "to"))
+        cov = ", ".join(f"CASE WHEN n > 1 THEN ({s} - {a} * CAST({b} AS DOUBLE) / n) / (n - 1) ELSE 0 END AS {c}" for c, s, a, b in (
+            ("cxx", "sxx", "sx", "sx"), ("cxy", "sxy", "sx", "sy"), ("cyy", "syy", "sy", "sy"), ("cxh", "sxh", "sx", "sh"), ("cyh", "syh", "sy", "sh"), ("chh", "shh", "sh", "sh")))
+        keys = "tile_id, region_id, n, rank, cx, cy"
+        ctes[is_] = _oriented(_plane(f"(SELECT {keys.replace('cx, cy', 'CAST(sum_x // n AS INT) AS cx, CAST(sum_y // n AS INT) AS cy')}, {cov} FROM {at})", keys))
+        # Regions of a tile are bits of a number, by their rank; a tile has fewer than 62.
+        ctes[may] = f"""
+            SELECT tile_id, a_rank, CAST(sum(CAST(1 AS BIGINT) << CAST(b_rank AS INT)) AS BIGINT) AS bits FROM (
+              SELECT p.tile_id, p.rank AS a_rank, q.rank AS b_rank, p.cx <> q.cx AND p.cy <> q.cy AND p.rank < q.rank
+                     AND abs(q.slope - p.slope) {cmp} {slope} AND abs(q.azimuth - p.azimuth) < {azimuth} AND NOT isnan(p.azimuth) AND NOT isnan(q.azimuth) AS fits
+              FROM {is_} p JOIN {is_} q ON q.tile_id = p.tile_id JOIN {name}_seeds s ON s.tile_id = q.tile_id AND s.region_id = q.region_id
+              QUALIFY row_number() OVER (PARTITION BY p.tile_id, p.region_id
+                ORDER BY (p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy), q.cx, q.cy, s.seed) <= 5) WHERE fits GROUP BY ALL"""
+        ctes[go] = f"""
+            SELECT tile_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS gone, CAST(0 AS BIGINT) AS news FROM (SELECT DISTINCT tile_id FROM {at})
+            UNION ALL
+            SELECT tile_id, i, gone | news, news FROM (
+              SELECT g.tile_id, r.rank AS i, g.gone, CASE WHEN (g.gone >> CAST(r.rank AS INT)) & 1 = 1 THEN 0 ELSE coalesce(m.bits, 0) & ~g.gone END AS news
+              FROM {go} g JOIN {at} r ON r.tile_id = g.tile_id AND r.rank = g.i + 1 LEFT JOIN {may} m ON m.tile_id = r.tile_id AND m.a_rank = r.rank)"""
+        ctes[to] = f"""
+            SELECT b.tile_id, b.region_id, a.region_id AS target FROM {go} g JOIN {at} a ON a.tile_id = g.tile_id AND a.rank = g.i
+            JOIN {at} b ON b.tile_id = g.tile_id AND (g.news >> CAST(b.rank AS INT)) & 1 = 1"""
+        ctes[f"{name}_at{i + 1}"] = f"""
+            SELECT tile_id, region_id, n, row_number() OVER (PARTITION BY tile_id ORDER BY n DESC, rank) AS rank, {', '.join(_SUMS)}
+            FROM (SELECT tile_id, coalesce(target, region_id) AS region_id, CAST(sum(n) AS BIGINT) AS n, min(CASE WHEN target IS NULL THEN rank END) AS rank,
+                         {', '.join(f'sum({v}) AS {c}' for c, v in _MOVED.items())}
+                  FROM (SELECT *, CAST((region_id & 4294967295) - (coalesce(target, region_id) & 4294967295) AS DOUBLE) AS mx,
+                               CAST((region_id >> 32) - (coalesce(target, region_id) >> 32) AS DOUBLE) AS my
+                        FROM {at} LEFT JOIN (SELECT tile_id, region_id, target FROM {to}) USING (tile_id, region_id)) r
+                  GROUP BY tile_id, coalesce(target, region_id))"""
+    last = f"{name}_at{PASSES}"
+    ctes[f"{name}_done"] = ctes[f"{name}_is0"].replace(f"{name}_at0", last)
+    chain = f"{name}_at0 r"
+    target = "r.region_id"
+    for i in range(PASSES):
+        chain += f" LEFT JOIN {name}_to{i} t{i} ON t{i}.tile_id = r.tile_id AND t{i}.region_id = {target}"
+        target = f"coalesce(t{i}.target, {target})"
+    ctes[f"{name}_faces"] = f"SELECT r.tile_id, r.region_id, {target} AS face_id FROM {chain}"
+    return ctes
+
+
+def _oriented(planes: str) -> str:
+    """Slope and azimuth of the normals in a table."""
+    return f"""
+        SELECT *, degrees(acos(least(abs(nz), 1.0))) AS slope,
+               CASE WHEN nx = 0 AND ny = 0 THEN CAST('NaN' AS DOUBLE)
+                    WHEN nx < 0 AND ny < 0 THEN 360 - t WHEN nx < 0 THEN 270 - t
+                    WHEN ny >= 0 THEN 180 - t ELSE t END AS azimuth
+        FROM (SELECT *, degrees(atan2(abs(nx), abs(ny))) AS t FROM ({planes}))"""
+
+
 _FIT = "tile_id, px, py, n"
 # fixed values: the last roof parameter set
 GROW = dict(smoothness=0.99, curvature=0.02, color=15.0, k=8, limit=10)
@@ -184,6 +250,13 @@ CTES: dict[str, str] = {
         FROM large8 p JOIN large8 q ON p.tile_id = q.tile_id
         QUALIFY row_number() OVER (PARTITION BY p.tile_id, p.region_id
           ORDER BY (p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy), q.cx, q.cy, q.seed) <= 5""",
+    "merge8_seeds": f"SELECT tile_id, region_id, n, seed FROM regions8 WHERE n > {GROW['limit']}",
+    "merge8_at0": f"""
+        SELECT c.tile_id, c.region_id, count(*) AS n, row_number() OVER (PARTITION BY c.tile_id ORDER BY count(*) DESC, any_value(s.seed)) AS rank,
+               {', '.join(f'sum({v}) AS {k}' for k, v in _SUMS.items())}
+        FROM (SELECT *, CAST(px - (region_id & 4294967295) AS DOUBLE) AS dx, CAST(py - (region_id >> 32) AS DOUBLE) AS dy FROM region_cells8) c
+        JOIN merge8_seeds s ON s.tile_id = c.tile_id AND s.region_id = c.region_id GROUP BY c.tile_id, c.region_id""",
+    **_merging("merge8", "1.0", "40.0"),
     "result_crs": """
         SELECT r.tile_id, r.face_id, m02 + 0.5 * x0 AS xa, m02 + 0.5 * x1 AS xb,
                m12 - 0.5 * y1 AS ya, m12 - 0.5 * y0 AS yb FROM result r JOIN georef g ON g.tile_id = r.tile_id""",
@@ -211,7 +284,8 @@ CTES: dict[str, str] = {
         WHERE l.root < r.root GROUP BY e.tile_id, e.b""",
 }
 KEYED = {"labels8": "(tile_id, cell_id, root) USING KEY (tile_id, cell_id)",
-         "part_labels": "(tile_id, cell_id, root) USING KEY (tile_id, cell_id)"}
+         "part_labels": "(tile_id, cell_id, root) USING KEY (tile_id, cell_id)",
+         **{name: "" for name in CTES if "_go" in name}}
 
 
 def _outputs(select: str) -> set[str]:
