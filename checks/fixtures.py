@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slopeweave.session import scratch_path
-from slopeweave.sources.geojson import documents
+from slopeweave.sources.geojson import lines
 from slopeweave.sources.tables import params_df
 
 # Fixed values of the fixtures.
@@ -119,8 +119,22 @@ def write_point_files(spark: SparkSession, sf_dir: str, root: str | None = None)
 
 def write_face_files(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
     """The gold faces as one ``<tile>.geojson`` per tile; returns the folder."""
-    lines = documents(faces(spark, sf_dir, "gold")).select(F.col("apn").alias("tile_id"), F.col("doc").alias("place"), "value")
-    return _write_named(spark, lines, root or scratch_path(spark, "faces"), ".geojson")
+    written = lines(faces(spark, sf_dir, "gold"))
+    place = (F.col("kind").cast("bigint") * (1 << 40) + F.coalesce("feature_id", F.lit(0))).alias("place")
+    return _write_named(spark, written.select(F.col("apn").alias("tile_id"), place, "value"), root or scratch_path(spark, "faces"), ".geojson")
+
+
+def write_mixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """One ``<tile>.geojson`` per tile with a multi-polygon (the gold boxes, the first with a hole), a feature without geometry, and a collection of
+    a point and a polygon; returns the folder."""
+    ring = lambda x0, x1, y0, y1: f"[[{x0},{y0}],[{x1},{y0}],[{x1},{y1}],[{x0},{y1}],[{x0},{y0}]]"
+    first = f"[{ring(3, 15, 3, 27)},{ring(5, 7, 5, 9)}]"
+    kinds = [f'{{"type":"MultiPolygon","coordinates":[{first},[{ring(15, 27, 3, 27)}]]}}', "null",
+             f'{{"type":"GeometryCollection","geometries":[{{"type":"Point","coordinates":[1,1]}},{{"type":"Polygon","coordinates":[{ring(0, "SIDE", 0, 2)}]}}]}}']
+    feature = ",".join(f'{{"type":"Feature","id":"{i}","properties":{{}},"geometry":{g}}}' for i, g in enumerate(kinds))
+    value = F.replace(F.lit(f'{{"type":"FeatureCollection","features":[{feature}]}}'), F.lit("SIDE"), (F.col("s_suppkey") % 5 + 1).cast("string"))
+    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("tile_id"), F.lit(0).cast("bigint").alias("place"), value.alias("value"))
+    return _write_named(spark, docs, scratch_path(spark, "mixed-faces"), ".geojson")
 
 
 _BOXES = {

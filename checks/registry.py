@@ -39,6 +39,9 @@ def r9(column, name: str):
     return r6(column, name, 9)
 
 
+_ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+
+
 # --- shared steps -----------------------------------------------------------------------
 
 def _tiles(spark, d, which="points"):
@@ -125,6 +128,13 @@ def s4_read_features(spark, d):
     return read.select("apn", "feature_id", "srid", r6(rings.polygon_area(F.col("rings")), "area"))
 
 
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS apn, CAST(f AS BIGINT) AS feature_id, part, n_rings, CAST(CASE f WHEN 0 THEN area ELSE 2 * (s_suppkey % 5 + 1) END AS DOUBLE) AS area "
+       "FROM supplier, (VALUES (0, 0, 2, 280), (0, 1, 1, 288), (2, 0, 1, 0)) v(f, part, n_rings, area)")
+def s4_multipolygon(spark, d):
+    read = geojson.read_features(spark, fx.write_mixed_files(spark, d))
+    return read.select("apn", "feature_id", "part", F.size("rings").alias("n_rings"), r6(rings.polygon_area(F.col("rings")), "area"))
+
+
 @query("SELECT tile_id, count(*) AS n, CAST(sum(argb) AS BIGINT) AS total FROM raster GROUP BY ALL")
 def s5_read_pixels(spark, d):
     path = scratch_path(spark, "pixels")
@@ -160,6 +170,33 @@ def k1_write_geojson(spark, d):
         "apn", "feature_id", "srid", "slope", F.size(F.get("rings", F.lit(0))).cast("bigint").alias("corners"))
 
 
+@query("SELECT p AS param_id, tile_id AS apn, CAST(face_id AS BIGINT) AS feature_id, 3857 AS srid, CAST(x1 - x0 + p AS DOUBLE) AS slope "
+       "FROM result, (VALUES (0), (1)) v(p) WHERE face_id <> p * 2")
+def k1_two_sets(spark, d):
+    path = scratch_path(spark, "geojson")
+    width = fx.boxes(spark, d, "result").select(F.col("tile_id").alias("apn"), F.col("face_id").cast("bigint").alias("feature_id"), (F.col("x1") - F.col("x0")).alias("width"))
+    sets = fx.faces(spark, d, "result").join(width, ["apn", "feature_id"]).withColumn("param_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    kept = sets.filter("feature_id <> param_id * 2").withColumns({"slope": (F.col("width") + F.col("param_id")).cast("double"), "azimuth": F.lit(float("nan"))})
+    geojson.write_geojson(kept.drop("width"), path)
+    back = geojson.read_features(spark, path, by_folder=True, attributes=True)
+    return back.filter("azimuth IS NULL").select("param_id", "apn", "feature_id", "srid", "slope")
+
+
+@query("SELECT l_returnflag AS apn, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS feature_id, "
+       "l_quantity AS slope, l_quantity * 2 AS area FROM lineitem")
+def k1_many_faces(spark, d):
+    """A parcel for each return flag, with a face for each of its order lines."""
+    path = scratch_path(spark, "geojson")
+    items = ranking.with_position(fx.table(spark, d, "lineitem").select(*_ITEM, "l_returnflag", "l_quantity"), ["l_returnflag"], [F.col(c) for c in _ITEM], "feature_id")
+    side = F.col("l_quantity")
+    corner = lambda x, y: F.array(x, F.lit(y).cast("double"))
+    ring = F.array(corner(F.lit(0.0), 0), corner(side, 0), corner(side, 2), corner(F.lit(0.0), 2), corner(F.lit(0.0), 0))
+    geojson.write_geojson(items.select(F.col("l_returnflag").alias("apn"), "feature_id", F.lit(0).alias("srid"), F.array(ring).alias("rings"),
+                                       side.alias("slope"), F.lit(1.0).alias("azimuth")), path)
+    return geojson.read_features(spark, path, by_folder=True, attributes=True).select(
+        "apn", "feature_id", "slope", r6(rings.polygon_area(F.col("rings")), "area"))
+
+
 _DEM = """
     SELECT g.tile_id, g.px, g.py, coalesce(p.argb, -16777216) AS argb
     FROM cells g LEFT JOIN (
@@ -277,9 +314,6 @@ def _vectors(spark, d):
                           "a / size AS nx", "b / size AS ny", "c / size AS nz")
 
 
-_ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-
-
 @query(f"SELECT {', '.join(_ITEM)}, round(degrees(acos(least(abs(nz), 1.0))), 6) AS slope FROM {_VECTORS}")
 def p14_slope(spark, d):
     return _vectors(spark, d).select(*_ITEM, r6(planes.slope(F.col("nz")), "slope"))

@@ -2,81 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from slopeweave.functions.cells import base_name
 
 RINGS = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
-COLLECTION = (
-    "type STRING, crs STRUCT<type: STRING, properties: STRUCT<name: STRING>>, "
-    "features ARRAY<STRUCT<type: STRING, "
-    f"geometry: STRUCT<type: STRING, coordinates: {RINGS}>, "
-    "properties: STRUCT<apn: STRING, slope: DOUBLE, azimuth: DOUBLE>, id: STRING>>, "
-    "apn STRING"
-)
+CRS = "STRUCT<type: STRING, properties: STRUCT<name: STRING>>"
+PROPERTIES = "STRUCT<apn: STRING, slope: DOUBLE, azimuth: DOUBLE>"
+FEATURE = f"type STRING, geometry VARIANT, properties {PROPERTIES}, id STRING"
+COLLECTION = f"type STRING, crs {CRS}, features ARRAY<STRUCT<type: STRING, geometry: VARIANT, properties: {PROPERTIES}, id: STRING>>"
 
-# A parcel with more faces than this is written as several documents.
-FEATURES_PER_DOCUMENT = 50_000
+# Lines of a document: the first, those of the features, the last.
+OPENING, FEATURES, CLOSING = 0, 1, 2
+# Collections of geometries may lie in each other; this many levels are unfolded.
+NESTED = 3
 
 
-def documents(features: DataFrame, per_document: int = FEATURES_PER_DOCUMENT) -> DataFrame:
-    """GeoJSON texts ``(apn, doc, value)``, faces in the order of ``feature_id``.
+def lines(features: DataFrame) -> DataFrame:
+    """The lines ``(param_id, apn, kind, feature_id, value)`` of one GeoJSON document per parameter set and parcel, put in order by kind and
+    ``feature_id``. A feature is one line; what stands between two features begins the later one's line.
 
-    Every parcel is one document unless it has more than ``per_document`` faces.
+    ``param_id`` is 0 where ``features`` have none. Slope and azimuth are null where they are not a number. The coordinate system
+    is named where a parcel has one (the largest, should they differ).
     """
-    feature = F.struct(
+    if "param_id" not in features.columns:
+        features = features.withColumn("param_id", F.lit(0))
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    feature = F.to_json(F.struct(
         F.lit("Feature").alias("type"),
         F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")).alias("geometry"),
-        F.struct("apn", "slope", "azimuth").alias("properties"),
-        F.col("feature_id").cast("string").alias("id"))
-    srid = F.max(F.coalesce("srid", F.lit(0)))
-    crs = F.when(F.col("srid") != 0, F.struct(
-        F.lit("name").alias("type"),
-        F.struct(F.concat(F.lit("EPSG:"), F.col("srid").cast("string")).alias("name")).alias("properties")))
-    return (
-        features.withColumn("doc", F.floor(F.col("feature_id") / per_document))
-        .groupBy("apn", "doc")
-        .agg(srid.alias("srid"),
-             F.sort_array(F.collect_list(F.struct("feature_id", feature.alias("feature")))).alias("items"))
-        .select("apn", "doc", F.to_json(F.struct(
-            F.lit("FeatureCollection").alias("type"), crs.alias("crs"),
-            F.transform("items", lambda i: i["feature"]).alias("features"))).alias("value"))
-    )
-
-
-def write_geojson(features: DataFrame, path: str, per_document: int = FEATURES_PER_DOCUMENT) -> None:
-    """One GeoJSON document per parcel under ``apn=<parcel>/``; parcels already there are replaced."""
-    (documents(features, per_document)
-     .repartition("apn", "doc").drop("doc")
+        F.struct("apn", number("slope"), number("azimuth")).alias("properties"),
+        F.col("feature_id").cast("string").alias("id")), {"ignoreNullFields": "false"})
+    parcels = features.groupBy("param_id", "apn").agg(F.max(F.coalesce("srid", F.lit(0))).alias("srid"), F.min("feature_id").alias("first"))
+    crs = F.when(F.col("srid") != 0, F.concat(F.lit('"crs":{"type":"name","properties":{"name":"EPSG:'), F.col("srid").cast("string"), F.lit('"}},'))).otherwise(F.lit(""))
+    edge = lambda kind, value: parcels.select("param_id", "apn", F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("feature_id"), value.alias("value"))
+    # The comma goes before each feature but the first; sorted lines are numbered as they pass, none is held.
+    order = Window.partitionBy("param_id", "apn").orderBy("kind", "feature_id")
+    return (features.select("param_id", "apn", F.lit(FEATURES).alias("kind"), "feature_id", feature.alias("value"))
+            .unionByName(edge(OPENING, F.concat(F.lit('{"type":"FeatureCollection",'), crs, F.lit('"features":['))))
+            .unionByName(edge(CLOSING, F.lit("]}")))
+            .withColumn("_at", F.row_number().over(order))
+            .withColumn("value", F.when((F.col("kind") == FEATURES) & (F.col("_at") > 2), F.concat(F.lit(","), "value")).otherwise(F.col("value")))
+            .drop("_at"))
+
+
+def write_geojson(features: DataFrame, path: str) -> None:
+    """One GeoJSON document per parameter set and parcel under ``param_id=<set>/apn=<parcel>/``; those already there are replaced.
+
+    A document is one file, and a file has one writer: its lines are shuffled to one task, which sorts them on disk if need be and writes them one after the other,
+    so a parcel of any size is never in memory. Without ``param_id`` the set is 0.
+    """
+    (lines(features).sortWithinPartitions("param_id", "apn", "kind", "feature_id").select("param_id", "apn", "value")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("lineSep", "\n").partitionBy("apn").text(path))
+     .option("lineSep", "\n").partitionBy("param_id", "apn").text(path))
+
+
+def polygons(geometry: Column, nested: int = NESTED) -> Column:
+    """The polygons of a variant geometry of any kind, in order, as an array of rings: a polygon, the members of a multi-polygon, and those of the
+    members of a collection. Null for null and for kinds without area."""
+    get = lambda path, kind: F.try_variant_get(geometry, path, kind)
+    kind, one = get("$.type", "string"), get("$.coordinates", RINGS)
+    found = F.when((kind == "Polygon") & one.isNotNull(), F.array(one)).when(kind == "MultiPolygon", get("$.coordinates", f"ARRAY<{RINGS}>"))
+    if nested:
+        inner = F.transform(get("$.geometries", "array<variant>"), lambda g: F.coalesce(polygons(g, nested - 1), F.array().cast(f"ARRAY<{RINGS}>")))
+        found = found.when(kind == "GeometryCollection", F.flatten(inner))
+    return found
 
 
 def read_features(spark: SparkSession, path: str, by_folder: bool = False,
                   attributes: bool = False) -> DataFrame:
-    """Faces of every GeoJSON document below ``path``.
+    """Faces of every GeoJSON document below ``path``, as ``(apn, feature_id, part, srid, rings, slope, azimuth)``.
 
     By default these are ``.geojson`` files at any depth and the base name is the parcel.
-    ``by_folder`` reads what ``write_geojson`` wrote. Slope and azimuth are null unless
-    ``attributes`` is set. The SRID is 0 when the document names none.
+    ``by_folder`` reads what ``write_geojson`` wrote, line by line, and adds ``param_id``. A feature with several polygons
+    has a row for each, numbered by ``part``; one without any has none. Slope and azimuth are null unless
+    ``attributes`` is set. The SRID is 0 when the document names none. A file that is not JSON ends the scan.
     """
+    srid = lambda crs: F.coalesce(F.expr(f"try_cast(nullif(regexp_extract({crs}.properties.name, '([0-9]+)$', 1), '') AS INT)"), F.lit(0))
+    keep = (lambda c: F.col(f"feature.properties.{c}")) if attributes else (lambda c: F.lit(None).cast("double"))
     if by_folder:
-        # one document per line, as written
-        docs = spark.read.schema(COLLECTION).option("mode", "FAILFAST").json(path)
+        text = spark.read.schema("value STRING, param_id INT, apn STRING").option("lineSep", "\n").text(path)
+        opening = text.filter(F.col("value").startswith('{"type":"FeatureCollection"'))
+        heads = opening.select("param_id", "apn", F.from_json(F.concat("value", F.lit("]}")), f"crs {CRS}", {"mode": "FAILFAST"}).alias("d"))
+        heads = heads.select("param_id", "apn", srid("d.crs").alias("srid"))
+        parsed = F.from_json(F.ltrim(F.col("value"), F.lit(",")), FEATURE, {"mode": "FAILFAST"})
+        rows = (text.filter(F.ltrim(F.col("value"), F.lit(",")).startswith('{"type":"Feature",')).select("param_id", "apn", parsed.alias("feature"))
+                .join(heads, ["param_id", "apn"]).withColumn("pos", F.lit(None).cast("int")))
+        scope = ["param_id", "apn"]
     else:
         docs = (spark.read.schema(COLLECTION).option("mode", "FAILFAST").option("multiLine", True)
                 .option("recursiveFileLookup", True).option("pathGlobFilter", "*.geojson").json(path)
                 .withColumn("apn", base_name(F.col("_metadata.file_name"))))
+        rows = docs.select("apn", srid("crs").alias("srid"), F.posexplode("features").alias("pos", "feature"))
+        scope = ["apn"]
     position = F.coalesce(F.expr("try_cast(feature.id AS BIGINT)"), F.col("pos").cast("bigint"))
-    keep = (lambda c: F.col(f"feature.properties.{c}")) if attributes else (lambda c: F.lit(None).cast("double"))
-    return (
-        docs.select("apn", F.coalesce(F.expr("try_cast(nullif(regexp_extract(crs.properties.name, "
-                                             "'([0-9]+)$', 1), '') AS INT)"), F.lit(0)).alias("srid"),
-                    F.posexplode("features").alias("pos", "feature"))
-        .select("apn", position.alias("feature_id"), "srid",
-                F.col("feature.geometry.coordinates").alias("rings"),
-                keep("slope").alias("slope"), keep("azimuth").alias("azimuth"))
-    )
+    named = rows.select(*scope, position.alias("feature_id"), "srid", F.col("feature.geometry").alias("geometry"),
+                        keep("slope").alias("slope"), keep("azimuth").alias("azimuth"))
+    parts = F.filter(polygons(F.col("geometry")), lambda rings: F.size(rings) > 0)
+    return (named.select(*scope, "feature_id", "srid", "slope", "azimuth", F.posexplode(parts).alias("part", "rings"))
+            .select(*scope, "feature_id", "part", "srid", "rings", "slope", "azimuth"))
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

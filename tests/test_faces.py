@@ -161,19 +161,51 @@ def test_geojson_round_trip(spark, tmp_path):
     rows = back.collect()
     assert [(r["apn"], r["feature_id"], r["srid"], r["slope"]) for r in rows] == [("007", 0, 0, 1.0), ("a/b 1", 0, 3857, 10.0), ("a/b 1", 1, 3857, 30.0)]
     assert rows[1]["rings"] == [[list(map(float, p)) for p in box(0, 0, 1, 1)[0]]]
-    assert math.isnan(rows[2]["azimuth"])
+    assert rows[2]["azimuth"] is None and [(r["param_id"], r["part"]) for r in rows] == [(0, 0)] * 3
     geojson.write_geojson(features(spark, [("007", 0, 0, 5.0, 2.0)]), path)
     again = geojson.read_features(spark, path, by_folder=True, attributes=True)
     assert again.count() == 3 and again.filter("apn = '007'").first()["slope"] == 5.0
     assert geojson.read_features(spark, path, by_folder=True).filter("slope IS NOT NULL").count() == 0
 
 
-def test_a_parcel_with_many_faces_is_several_documents(spark):
-    df = features(spark, [("a", i, 1, 0.0, 0.0) for i in range(7)])
-    docs = geojson.documents(df, 3).orderBy("doc").collect()
-    ids = [[f["id"] for f in json.loads(d["value"])["features"]] for d in docs]
-    assert ids == [["0", "1", "2"], ["3", "4", "5"], ["6"]]
-    assert json.loads(docs[0]["value"])["crs"]["properties"]["name"] == "EPSG:1"
+def written(path):
+    """The documents below a folder by their place, parsed."""
+    files = [f for f in path.rglob("*.txt")]
+    found = {str(f.parent.relative_to(path)): json.loads(f.read_text()) for f in files}
+    assert len(found) == len(files)
+    return found
+
+
+def test_every_set_and_parcel_is_one_valid_document(spark, tmp_path):
+    df = features(spark, [("a", i, 1, float(i), float("nan")) for i in range(300)] + [("b", 7, 0, None, 2.0)])
+    both = df.withColumn("param_id", F.lit(3)).unionByName(df.filter("feature_id % 2 = 1").withColumn("param_id", F.lit(4)))
+    geojson.write_geojson(both.repartition(5), str(tmp_path))
+    docs = written(tmp_path)
+    assert set(docs) == {f"param_id={p}/apn={a}" for p in (3, 4) for a in "ab"}
+    assert [f["id"] for f in docs["param_id=3/apn=a"]["features"]] == [str(i) for i in range(300)]
+    assert [f["id"] for f in docs["param_id=4/apn=a"]["features"]] == [str(i) for i in range(1, 300, 2)]
+    assert docs["param_id=3/apn=a"]["crs"]["properties"]["name"] == "EPSG:1" and "crs" not in docs["param_id=3/apn=b"]
+    assert docs["param_id=4/apn=a"]["features"][0]["properties"] == {"apn": "a", "slope": 1.0, "azimuth": None}
+    assert docs["param_id=4/apn=b"]["features"][0]["properties"]["slope"] is None
+
+
+def test_geometries_of_any_kind(spark, tmp_path):
+    a, b, hole = box(0, 0, 4, 4), box(5, 5, 6, 6), box(1, 1, 2, 2)
+    inner = {"type": "GeometryCollection", "geometries": [{"type": "LineString", "coordinates": [[0, 0], [1, 1]]}, {"type": "Polygon", "coordinates": b}]}
+    kinds = [{"type": "MultiPolygon", "coordinates": [a + hole, b]}, None, {"type": "Point", "coordinates": [1, 2]}, {"type": "Polygon", "coordinates": []},
+             {"type": "GeometryCollection", "geometries": [{"type": "MultiPolygon", "coordinates": [b, a]}, inner]},
+             {"type": "Polygon", "coordinates": [[[*p, 9.5] for p in a[0]]]}, {"type": "MultiPolygon", "coordinates": []}]
+    doc = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::3857"}},
+           "features": [{"type": "Feature", "properties": None, "geometry": g, "bbox": [0, 1]} for g in kinds]}
+    (tmp_path / "p.geojson").write_text(json.dumps(doc, indent=1))
+    rows = geojson.read_features(spark, str(tmp_path)).orderBy("feature_id", "part").collect()
+    flat = lambda rings: [[list(map(float, p)) for p in r] for r in rings]
+    assert [(r["feature_id"], r["part"], [[p[:2] for p in ring] for ring in r["rings"]]) for r in rows] == [
+        (0, 0, flat(a + hole)), (0, 1, flat(b)), (4, 0, flat(b)), (4, 1, flat(a)), (4, 2, flat(b)), (5, 0, flat(a))]
+    assert {r["srid"] for r in rows} == {3857}
+    (tmp_path / "bad.geojson").write_text("{]")
+    with pytest.raises(Exception):
+        geojson.read_features(spark, str(tmp_path)).collect()
 
 
 def test_reading_plain_geojson_files(spark, tmp_path):
