@@ -1,161 +1,122 @@
-"""Documents scored by the cross-entropy difference of two n-gram models with one vocabulary."""
+"""Documents scored by the cross-entropy difference of two matched n-gram models with one vocabulary."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from slopeweave.llm.shards import flagged, in_batches, shards, words
-from slopeweave.session import cut
+from slopeweave.llm.shards import in_batches, members, mix, shards, words
 
 # The shared vocabulary: a word's class is its hash. Class 0 stands for the start of a document.
-CLASSES = 1 << 16
+WORD_BITS = 16
+# Classes of word pairs, by their hash: the size of either model, whatever the input's size.
+PAIR_BITS = 22
 PRIOR = 20.0
-# Text bytes for each bucket of word pairs, and word pairs (distinct by document) that one task holds at once.
-BUCKET_BYTES = 12 << 20
-MOST_PAIRS = 3_000_000
-# An odd multiplier and its inverse modulo 2^32 scatter the pairs over the buckets and bring them back.
-SCATTER = 0x9E3779B1
-GATHER = pow(SCATTER, -1, 1 << 32)
-
-
-def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of the word before (0 at the start), class and document of each word, and words per document."""
-    w = words(texts)
-    own = (w.hash % np.uint64(CLASSES - 1) + np.uint64(1)).astype(np.int64)
-    before = np.append(0, own[:-1])[:len(own)]
-    before[np.append(True, w.doc[1:] != w.doc[:-1])[:len(own)]] = 0
-    return before, own, w.doc, w.per_doc
-
-
-def _summed(grams: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct grams and the sums of their counts."""
-    order = np.argsort(grams, kind="stable")
-    grams = grams[order]
-    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[:len(grams)])
-    return grams[first], *[np.add.reduceat(c[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for c in counts]
+ROWS_OUT = 1 << 16
+
+WORD, BEFORE, PAIR = 0, 1, 2
+# Where the classes of each kind begin in an array of all.
+_FIRST = [0, 1 << WORD_BITS, 2 << WORD_BITS, (2 << WORD_BITS) + (1 << PAIR_BITS)]
+# Losses by either model, as if the document were among those it counts and as if not.
+_LOSSES = ["target_in", "target_out", "other_in", "other_out"]
+
+
+class Grams:
+    """Classes of each word of a shard: of itself, of the word before (0 at a text's start) and of the pair; and its document."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        w = words(texts)
+        self.doc, self.per_doc = w.doc, w.per_doc
+        own = (w.hash % np.uint64((1 << WORD_BITS) - 1) + np.uint64(1)).astype(np.int64)
+        before = np.append(0, own[:-1])[:len(own)]
+        before[np.append(True, w.doc[1:] != w.doc[:-1])[:len(own)]] = 0
+        pair = mix((before << WORD_BITS | own).astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)
+        self.classes = {WORD: own, BEFORE: before, PAIR: pair.astype(np.int64)}
+
+
+def _counted(texts: DataFrame, side: str) -> DataFrame:
+    """``class, n, side`` summed over each task's texts, in arrays of fixed size."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(_FIRST[-1], np.int32)
+        for _, shard in shards(batches):
+            grams = Grams(shard)
+            for kind, classes in grams.classes.items():
+                met, n = np.unique(classes, return_counts=True)
+                sums[_FIRST[kind] + met] += n.astype(np.int32)
+        used = np.flatnonzero(sums)
+        for first in range(0, len(used), ROWS_OUT):
+            at = used[first:first + ROWS_OUT]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["class", "n"])
+
+    return in_batches(texts, count, "class int, n int").withColumn("side", F.lit(side))
+
+
+def models(docs: DataFrame, ids: DataFrame) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Counts of each class of words, words before and pairs over all rows of ``docs (doc_id, text)``: for each kind, those of the documents in ``ids`` and those
+    of the others; and the words of either.
+
+    Every task reports the classes it met, which are summed. What comes to the driver is at
+    most a row for each class.
+    """
+    both = _counted(docs.select("text"), "all").unionByName(_counted(members(docs, ids, "doc_id").select("text"), "target"))
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
+    summed = both.groupBy("class").agg(of("target").alias("target"), (of("all") - of("target")).alias("other"))
+    summed = summed.select("class", F.col("target").cast("float").alias("target"), F.col("other").cast("float").alias("other")).toArrow()
+    whole = np.zeros((2, _FIRST[-1]), np.float32)
+    at = summed["class"].to_numpy()
+    whole[:, at] = summed["target"].to_numpy(), summed["other"].to_numpy()
+    tables = {kind: whole[:, _FIRST[kind]:_FIRST[kind + 1]] for kind in (WORD, BEFORE, PAIR)}
+    return tables, tables[WORD].sum(axis=1, dtype=np.float64)
 
 
-def _joined(column: pd.Series, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind)
+def _own(doc: np.ndarray, classes: np.ndarray, size: int) -> np.ndarray:
+    """How often each word's class occurs in its own document."""
+    _, inverse, n = np.unique(doc * size + classes, return_inverse=True, return_counts=True)
+    return n[inverse]
 
 
 def differences(docs: DataFrame, target: DataFrame, prior: float = PRIOR) -> DataFrame:
     """``doc_id, n_words, loss_target, loss_background, difference`` of every row of ``docs``.
 
-    The background model counts all documents, the target model those in ``target (doc_id)``. Both are bigram models over the same
-    vocabulary with a Dirichlet prior on their own unigrams, which have one added to each count; both counts are exact and over all rows.
-    A loss is the mean negative log probability (nats) of the document's words, and the difference is target less background: the
-    lower, the more like the target. A text without words, or null, has losses and difference 0.
-    Without target documents the target model is uniform.
+    The target model counts the documents in ``target (doc_id)``, the background model all others. Both are bigram models over the same
+    classes of words and of word pairs, with a Dirichlet prior on their own unigrams, which have one added to each count. They are matched: the counts
+    of the larger one are scaled down to the number of words of the smaller, so that both are smoothed alike. Counts are over all rows; a document is scored
+    without its own words' counts, so that it does not vouch for itself.
 
-    Word pairs are dealt to buckets by their hash, packed as arrays of a shard's pairs. A bucket's task counts
-    its pairs over all documents, and, given the counts of single words (one row for each class),
-    turns each into two log probabilities; a second pass over the packed pairs sums these by document. A bucket with very
-    many pairs (a common pair is in it once for each document) is split by shard in both passes.
+    A loss is the mean negative log probability (nats) of the document's words, and the difference is target less background: the
+    lower, the more like the target. A text without words, or null, has losses and difference 0. Where either side has no words, both models are
+    uniform and differences are 0. A row without id is never a target; of repeated ids every row is. Bytes that are not UTF-8 are parts of words.
     """
-    spark = docs.sparkSession
     ids = target.select("doc_id").filter("doc_id IS NOT NULL").distinct()
     narrow = docs.select("doc_id", "text")
-    kind_of_id = narrow.schema["doc_id"].dataType.simpleString()
-    ids_type = pa.list_(to_arrow_type(narrow.schema["doc_id"].dataType))
-    size = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-size // BUCKET_BYTES))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, serial = TaskContext.get().partitionId(), 0
-        single = np.zeros((4, CLASSES), np.int64)
-        names = ["kind", "bucket", "shard", "grams", "docs", "counts", "n", "doc_ids", "sums"]
-        edges = np.array([-(-(b << 32) // buckets) for b in range(buckets + 1)], np.uint64)
-        longs = pa.list_(pa.int64())
+    counted, total = models(narrow, ids)
+    scale = total.min() / np.maximum(total, 1)
+    shared = docs.sparkSession.sparkContext.broadcast((counted, total, scale))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, total, scale = shared.value
         for batch, texts in shards(batches):
-            before, own, doc, per_doc = _pairs(texts)
-            marks = batch.column("target").to_numpy(zero_copy_only=False)
-            wanted = marks[doc]
-            for row, classes in enumerate((own, own[wanted], before, before[wanted])):
-                single[row] += np.bincount(classes, minlength=CLASSES)
-            scattered = ((before << 16 | own).astype(np.uint64) * np.uint64(SCATTER)) & np.uint64(0xFFFFFFFF)
-            keys, counts = np.unique(scattered << np.uint64(32) | (doc * 2 + wanted).astype(np.uint64), return_counts=True)
-            at = np.searchsorted(keys >> np.uint64(32), edges)
-            used = np.flatnonzero(np.diff(at))
-            gram, place, count = (keys >> np.uint64(32)).astype("<u4"), keys.astype("<u4"), counts.astype("<u4")
-            cut_up = lambda a: [a[at[b]:at[b + 1]].tobytes() for b in used] + [None]
-            n = len(used) + 1
-            shard = part << 32 | serial
-            serial += 1
-            ids = pa.array([None] * (n - 1) + [batch.column("doc_id").to_pylist()], ids_type)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([0] * (n - 1) + [1], pa.int32()), pa.array([*used, 0], pa.int32()), pa.array([shard] * n, pa.int64()),
-                pa.array(cut_up(gram), pa.binary()), pa.array(cut_up(place), pa.binary()), pa.array(cut_up(count), pa.binary()),
-                pa.array([*(at[used + 1] - at[used]), len(texts)], pa.int64()), ids, pa.array([None] * (n - 1) + [per_doc.tolist()], longs)], names)
-        used = np.flatnonzero(single.any(axis=0))
-        for rows in np.array_split(used, max(1, len(used) // 4_096)) if len(used) else []:
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([2] * n, pa.int32()), pa.array(rows, pa.int32()), pa.array([part] * n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3,
-                                              pa.array([0] * n, pa.int64()), pa.nulls(n, ids_type), pa.array(single[:, rows].T.tolist(), longs)], names)
-
-    packed = cut(in_batches(
-        flagged(narrow, ids, "doc_id", "target"), split, f"kind int, bucket int, shard long, grams binary, docs binary, counts binary, n long, doc_ids array<{kind_of_id}>, sums array<long>"), "pairs")
-
-    # One row for each class at most, whatever the input's size.
-    singles = (packed.filter("kind = 2").groupBy("bucket").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4)]).toPandas())
-    table = np.zeros((4, CLASSES), np.int64)
-    table[:, singles["bucket"]] = singles[[f"s{i}" for i in range(4)]].to_numpy().T
-    shared = spark.sparkContext.broadcast(table)
-
-    pairs = packed.filter("kind = 0").select("bucket", "shard", "grams", "docs", "counts", "n")
-    full = cut(pairs.groupBy("bucket").agg(F.sum("n").alias("pairs")).filter(F.col("pairs") > MOST_PAIRS)
-               .select("bucket", F.ceil(F.col("pairs") / MOST_PAIRS).cast("int").alias("pieces")), "full")
-    dealt = (pairs.join(full, "bucket", "left")
-             .withColumn("piece", F.pmod(F.xxhash64("shard"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces", "n"))
-
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        counts, docs_ = _joined(part["counts"], "<u4"), _joined(part["docs"], "<u4")
-        gram, all_, wanted = _summed(_joined(part["grams"], "<u4"), counts, counts * (docs_ & 1))
-        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "grams": [gram.tobytes()], "all": [all_.tobytes()], "wanted": [wanted.tobytes()]})
-
-    def model(part: pd.DataFrame) -> pd.DataFrame:
-        gram, *both = _summed(_joined(part["grams"], "<u4"), _joined(part["all"], "<i8"), _joined(part["wanted"], "<i8"))
-        plain = (gram.astype(np.uint64) * np.uint64(GATHER)) & np.uint64(0xFFFFFFFF)
-        before, own = (plain >> np.uint64(16)).astype(np.int64), (plain & np.uint64(0xFFFF)).astype(np.int64)
-        logs = []
-        for pairs_, of_own, of_before in zip(both, shared.value[:2], shared.value[2:]):
-            unigram = (of_own[own] + 1.0) / (of_own.sum() + CLASSES)
-            logs.append(np.log((pairs_ + prior * unigram) / (of_before[before] + prior)))
-        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "grams": [gram.tobytes()], "all": [logs[0].astype("<f4").tobytes()], "wanted": [logs[1].astype("<f4").tobytes()]})
-
-    counted = "bucket int, grams binary, all binary, wanted binary"
-    partial = dealt.groupBy("bucket", "piece").applyInPandas(count, counted)
-    models = cut(partial.groupBy("bucket").applyInPandas(model, counted), "model")
-    spread = (models.join(full, "bucket", "left")
-              .withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces"))
-
-    def look_up(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        gram, all_, wanted = (_joined(known[c], k) for c, k in (("grams", "<u4"), ("all", "<f4"), ("wanted", "<f4")))
-        out = []
-        for shard, g, d, c in zip(part["shard"], part["grams"], part["docs"], part["counts"]):
-            at = np.searchsorted(gram, np.frombuffer(g, "<u4"))
-            place, times = np.frombuffer(d, "<u4") >> 1, np.frombuffer(c, "<u4")
-            docs_, index = np.unique(place, return_inverse=True)
-            out.append((shard, docs_.astype("<u4").tobytes(), *[np.bincount(index, weights=v[at] * times).astype("<f8").tobytes() for v in (all_, wanted)]))
-        return pd.DataFrame(out, columns=["shard", "docs", "all", "wanted"])
-
-    sums = dealt.groupBy("bucket", "piece").cogroup(spread.groupBy("bucket", "piece")).applyInPandas(
-        look_up, "shard long, docs binary, all binary, wanted binary")
-
-    def total(part: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        n = np.array(listed["sums"].iloc[0], np.int64)
-        place = _joined(part["docs"], "<u4")
-        losses = [-np.bincount(place, weights=_joined(part[c], "<f8"), minlength=len(n)) / np.maximum(n, 1) for c in ("wanted", "all")]
-        return pd.DataFrame({"doc_id": pd.Series(list(listed["doc_ids"].iloc[0]), dtype=object), "n_words": n, "loss_target": losses[0] + 0.0, "loss_background": losses[1] + 0.0,
-                             "difference": losses[0] - losses[1]})
-
-    listed = packed.filter("kind = 1").select("shard", "doc_ids", "sums")
-    return sums.groupBy("shard").cogroup(listed.groupBy("shard")).applyInPandas(
-        total, f"doc_id {kind_of_id}, n_words long, loss_target double, loss_background double, difference double")
+            grams = Grams(texts)
+            doc, n = grams.doc, grams.per_doc
+            own = {kind: _own(doc, classes, tables[kind].shape[1]) for kind, classes in grams.classes.items()}
+            losses = []
+            for side in (0, 1):
+                for inside in (1, 0):
+                    left = {kind: scale[side] * np.maximum(tables[kind][side, classes] - own[kind] * inside, 0.0) for kind, classes in grams.classes.items()}
+                    of_all = scale[side] * np.maximum(total[side] - n * inside, 0)[doc]
+                    unigram = (left[WORD] + 1.0) / (of_all + (1 << WORD_BITS))
+                    logs = np.log((left[PAIR] + prior * unigram) / (left[BEFORE] + prior))
+                    losses.append(-np.bincount(doc, weights=logs, minlength=len(texts)) / np.maximum(n, 1) + 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(x) for x in losses]], ["doc_id", "n_words", *_LOSSES])
+
+    kind_of_id = narrow.schema["doc_id"].dataType.simpleString()
+    losses = in_batches(narrow, run, f"doc_id {kind_of_id}, n_words long, " + ", ".join(f"{c} double" for c in _LOSSES))
+    # Only now, beside a few numbers instead of the text, each document learns on which side it is.
+    sided = losses.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    wanted = F.col("_id").isNotNull()
+    both = sided.select("doc_id", "n_words", F.when(wanted, F.col("target_in")).otherwise(F.col("target_out")).alias("loss_target"),
+                        F.when(wanted, F.col("other_out")).otherwise(F.col("other_in")).alias("loss_background"))
+    return both.withColumn("difference", F.col("loss_target") - F.col("loss_background"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from slopeweave.llm.shards import flagged, in_batches, mix, shards, words
+from slopeweave.llm.shards import in_batches, members, mix, shards, words
 from slopeweave.llm.topk import mark_top
 from slopeweave.session import cut
 
@@ -32,22 +32,19 @@ def log_ratio(docs: DataFrame, target: DataFrame, smoothing: float = 1.0) -> np.
     ``target (doc_id)``. Without a target document, or without text, all ratios are 0.
     """
     ids = target.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    narrow = flagged(docs.select("doc_id", "text"), ids, "doc_id", "target")
+    narrow = docs.select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, 1 << BITS), np.int64)
-        for batch, texts in shards(batches):
-            at, doc = _buckets(texts)
-            wanted = batch.column("target").to_numpy(zero_copy_only=False)[doc]
-            both[0] += np.bincount(at, minlength=1 << BITS)
-            both[1] += np.bincount(at[wanted], minlength=1 << BITS)
-        used = np.flatnonzero(both[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(both[0][used]), pa.array(both[1][used])], ["bucket", "raw", "target"])
-
-    counts = (in_batches(narrow, count, "bucket int, raw long, target long")
-              .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())
+        sums = np.zeros(1 << BITS, np.int64)
+        for _, texts in shards(batches):
+            sums += np.bincount(_buckets(texts)[0], minlength=1 << BITS)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], ["bucket", "n"])
+
+    counted = lambda texts: in_batches(texts, count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    every, some = counted(narrow.select("text")), counted(members(narrow, ids, "doc_id").select("text"))
     raw, wanted = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    raw[counts["bucket"]], wanted[counts["bucket"]] = counts["raw"], counts["target"]
+    raw[every["bucket"]], wanted[some["bucket"]] = every["n"], some["n"]
     if not wanted.sum():
         return np.zeros(1 << BITS)
     share = lambda c: np.log((c + smoothing) / (c.sum() + smoothing * len(c)))

@@ -14,10 +14,10 @@ SHARD_BYTES = 2 << 20
 # Rows of one Arrow batch. Whole texts of a batch are in memory several times (in the JVM, in Arrow, as bytes).
 BATCH_ROWS = 1_000
 # Odd multipliers for hashing (the first is the golden ratio of 2^64, the others are those of a common 64-bit finaliser).
+# Bits of the table that picks out rows by their id, at most (2^27 bits are 16 MB).
+ID_BITS = 27
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-# At most so many ids are broadcast (8 bytes each); beyond that the ids are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def crc_mod(key: str, n: int) -> Column:
@@ -25,17 +25,23 @@ def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % n
 
 
-def flagged(docs: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
-    """``docs`` with the boolean ``flag``: whether the key is among the distinct, non-null ``ids``.
+def members(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose key is among the distinct, non-null ``ids``.
 
-    Up to ``BROADCAST_IDS`` ids (checked by a count) are broadcast, so the texts stay where
-    they are; more are joined by a shuffle of both sides.
+    Texts of other rows stay where they are: a table of bits, one set for the hash of each id, has at most 2^(``ID_BITS`` - 6) rows and is
+    broadcast. Rows that meet a set bit, the members and a few more by chance, are joined with the ids themselves, by a shuffle at any size. The more ids, the
+    fuller the table, and the more rows are moved in vain.
     """
-    marks = ids.select(F.col(key).alias("_id"), F.lit(True).alias("_mark"))
-    if ids.count() <= BROADCAST_IDS:
-        marks = F.broadcast(marks)
-    return (docs.join(marks, docs[key] == marks["_id"], "left")
-            .select(*[docs[c] for c in docs.columns], F.col("_mark").isNotNull().alias(flag)))
+    wanted = ids.select(F.col(key).cast(docs.schema[key].dataType).alias("_id"))
+    bits = min(ID_BITS, max(12, (16 * wanted.count()).bit_length()))
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    table = (wanted.select(place("_id").alias("at")).groupBy(F.shiftright("at", 6).alias("_word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("_set")))
+    at = place(docs[key])
+    bit = (at.bitwiseAND(F.lit(63))).cast("int")
+    some = (docs.filter(docs[key].isNotNull()).join(F.broadcast(table), F.shiftright(at, 6) == table["_word"])
+            .filter(F.call_function("shiftright", F.col("_set"), bit).bitwiseAND(F.lit(1)) == 1).select(*[docs[c] for c in docs.columns]))
+    return some.join(wanted.hint("merge"), some[key] == wanted["_id"], "left_semi")
 
 
 def in_batches(docs: DataFrame, run, schema) -> DataFrame:
