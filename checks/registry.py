@@ -93,8 +93,8 @@ def _scored(spark, d):
 
 def _pairs(spark, d):
     gold, result = _scored(spark, d)
-    g, r = scoring.spans(gold, ["gold_id"], fx.CELL), scoring.spans(result, ["result_id"], fx.CELL)
-    return scoring.overlap_pairs(g, r, ["gold_id"], ["result_id"])
+    area = scoring.overlap_pairs(gold, result, ["gold_id"], ["result_id"], fx.CELL)
+    return area.withColumn("overlap", F.round(F.col("overlap") / fx.CELL ** 2).cast("bigint"))
 
 
 # --- sources ----------------------------------------------------------------------------
@@ -782,6 +782,30 @@ def q3_evaluate(spark, d):
     return scoring.evaluate(gold, result, fx.CELL).select(r6("score", "score"))
 
 
+def _small_faces(spark, d):
+    """A face for each order line, far smaller than a cell, and the same moved a little; every seventh has no counterpart."""
+    items = ranking.with_position(fx.table(spark, d, "lineitem").select(*_ITEM, "l_tax", "l_discount"), [], [F.col(c) for c in _ITEM], "at")
+    boxes = items.selectExpr("at AS gold_id", "at AS result_id", "l_tax / 4 AS move", "(at % 1000) * 0.3D AS x0", "(at DIV 1000) * 0.3D AS y0",
+                             "0.1D + l_tax AS w", "0.1D + l_discount AS h")
+    ring = lambda move: F.expr(f"array(array(array(x0 + {move}, y0), array(x0 + w + {move}, y0), array(x0 + w + {move}, y0 + h), array(x0 + {move}, y0 + h), array(x0 + {move}, y0)))")
+    return boxes.select("gold_id", ring("0D").alias("rings")), boxes.filter("result_id % 7 > 0").select("result_id", ring("move").alias("rings"))
+
+
+_SMALL = "(SELECT l_tax, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS no FROM lineitem)"
+
+
+@query(f"SELECT round((sum(CASE WHEN no % 7 > 0 THEN l_tax / 4 / (0.1 + l_tax) ELSE 1 END)) / CAST(count(*) + count_if(no % 7 > 0) AS DOUBLE), 6) AS score FROM {_SMALL}")
+def q3_small_faces(spark, d):
+    return scoring.evaluate(*_small_faces(spark, d), fx.CELL).select(r6("score", "score"))
+
+
+@query(f"SELECT no AS gold_id FROM {_SMALL} WHERE no % 7 = 0")
+def j9_unmatched_small(spark, d):
+    gold, result = _small_faces(spark, d)
+    pairs = scoring.overlap_pairs(gold, result, ["gold_id"], ["result_id"], fx.CELL)
+    return scoring.unmatched_gold(gold, scoring.best_match(pairs, ["gold_id"]), ["gold_id"]).select("gold_id")
+
+
 @query(None)
 def q4_sweep(spark, d):
     gold, _ = _scored(spark, d)

@@ -6,10 +6,14 @@ from pyspark.sql import Column, functions as F
 
 
 def ring_area(ring: Column) -> Column:
-    """Signed area of a closed ring: positive when x turns toward y."""
+    """Signed area of a closed ring: positive when x turns toward y. Corners are counted from the first one, so that large coordinates
+    cost no digits."""
+    start = F.get(ring, F.lit(0))
+
     def cross(i: Column) -> Column:
         p, q = F.get(ring, i), F.get(ring, i + 1)
-        return F.get(p, F.lit(0)) * F.get(q, F.lit(1)) - F.get(q, F.lit(0)) * F.get(p, F.lit(1))
+        x, y = (lambda c: F.get(c, F.lit(0)) - F.get(start, F.lit(0))), (lambda c: F.get(c, F.lit(1)) - F.get(start, F.lit(1)))
+        return x(p) * y(q) - x(q) * y(p)
 
     corners = F.when(F.size(ring) > 1, F.sequence(F.lit(0), F.size(ring) - 2)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(corners, F.lit(0.0), lambda total, i: total + cross(i)) / 2

@@ -1,17 +1,16 @@
-"""Faces against ground truth, by overlap on a grid of square cells.
+"""Faces against ground truth, by the exact area of their overlap.
 
-A face is held as row spans: per grid row, runs of cells whose centres lie inside. Spans are
-cut at fixed columns, so two faces meet in a join on (row, column band) and no pair of faces
-is compared that shares no band.
+The overlap of two faces is a sum over pairs of their edges. Edges are sent to the rows of a grid that they cross, and two faces whose boxes meet are
+joined row by row, so what is compared are the few edges of either face in one row. The grid only
+deals out the work; it has no part in the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slopeweave.session import cut
+from slopeweave.functions.rings import polygon_area, ring_area
 
-BAND = 64
 
 
 def _explode_range(df: DataFrame, low: Column, high: Column, name: str, run: int = 4096) -> DataFrame:
@@ -56,40 +55,110 @@ def rasterize(features: DataFrame, ids: list[str], cell: float) -> DataFrame:
         *ids, "cx", F.col("row").alias("cy"))
 
 
-def _banded(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """Spans cut at band borders, with their band."""
-    cut_up = _explode_range(rows, F.floor(F.col("x0") / BAND), F.floor((F.col("x1") - 1) / BAND), "band")
-    return cut_up.select(*ids, "row", "band", F.greatest("x0", F.col("band") * BAND).alias("x0"),
-                         F.least("x1", (F.col("band") + 1) * BAND).alias("x1"))
+def _boxes(features: DataFrame, ids: list[str], prefix: str) -> DataFrame:
+    """Bounds of each face."""
+    corners = F.flatten("rings")
+    axis = lambda i: F.transform(corners, lambda p: p[i])
+    return features.select(*ids, *[f(axis(i)).alias(f"{prefix}{n}") for n, f, i in (
+        ("x0", F.array_min, 0), ("x1", F.array_max, 0), ("y0", F.array_min, 1), ("y1", F.array_max, 1))])
 
 
-def overlap_pairs(gold_spans: DataFrame, result_spans: DataFrame, gold_ids: list[str], result_ids: list[str],
+def edges(features: DataFrame, ids: list[str], cell: float) -> DataFrame:
+    """``(ids, row, xa, ya, xb, yb, way)``: the ring edges of each face in every row of height ``cell`` that they touch.
+
+    ``way`` is 1 where a walk toward greater x enters the face at the edge, -1 where it leaves, 0 on level edges. The first ring is the outline and the others are
+    holes, however they are turned.
+    """
+    turn = lambda ring, i: F.signum(ring_area(ring)) * F.when(i == 0, 1).otherwise(-1)
+    sides = (
+        features.select(*ids, F.explode(F.transform("rings", lambda r, i: F.struct(r.alias("ring"), turn(r, i).alias("turn")))).alias("r"))
+        .select(*ids, "r.turn", F.explode(F.zip_with(
+            F.slice("r.ring", 1, F.size("r.ring") - 1), F.slice("r.ring", 2, F.size("r.ring") - 1),
+            lambda p, q: F.struct(p[0].alias("xa"), p[1].alias("ya"), q[0].alias("xb"), q[1].alias("yb")))).alias("e"))
+        .select(*ids, "e.*", (-F.signum(F.col("e.yb") - F.col("e.ya")) * F.col("turn")).alias("way")))
+    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
+    return _explode_range(sides, F.floor(low / cell), F.floor(high / cell), "row").select(*ids, "row", "xa", "ya", "xb", "yb", "way")
+
+
+def box_pairs(gold: DataFrame, result: DataFrame, gold_ids: list[str], result_ids: list[str], cell: float) -> DataFrame:
+    """Faces whose bounds meet, with the heights ``y0, y1`` that they share.
+
+    Squares of a cell's side, of twice that, and so on, are levels. A face is at home on the first level whose squares are as large as it, where
+    it touches four at most. A pair is sought where the larger of the two is at home: there the smaller one is dealt to the squares it touches, too, and a
+    square holds few faces that large. The pair is taken in the square with the lower left corner of what both share, which is only one.
+    """
+    scope = [c for c in gold_ids if c in result_ids]
+
+    def boxes(features: DataFrame, ids: list[str], prefix: str) -> DataFrame:
+        size = F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"), F.col(f"{prefix}y1") - F.col(f"{prefix}y0"), F.lit(cell))
+        return _boxes(features, ids, prefix).filter(F.col(f"{prefix}x0").isNotNull()).withColumn("home", F.ceil(F.log2(size / cell)).cast("int"))
+
+    at = lambda v: F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))))
+
+    def dealt(placed: DataFrame, prefix: str) -> DataFrame:
+        wide = _explode_range(placed, at(F.col(f"{prefix}x0")), at(F.col(f"{prefix}x1")), "sx")
+        return _explode_range(wide, at(F.col(f"{prefix}y0")), at(F.col(f"{prefix}y1")), "sy").drop("home")
+
+    g, r = boxes(gold, gold_ids, "g"), boxes(result, result_ids, "r")
+    # A few dozen at most: each level is twice the one before.
+    levels = sorted(x[0] for x in g.select("home").union(r.select("home")).distinct().collect())
+    every = F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))
+    home = lambda df: df.withColumn("level", F.col("home"))
+    above = lambda df, itself: df.withColumn("level", every).filter(F.col("level") >= F.col("home") if itself else F.col("level") > F.col("home"))
+    keys = [*scope, "level", "sx", "sy"]
+    met = (dealt(home(g), "g").join(dealt(above(r, True), "r"), keys)
+           .unionByName(dealt(above(g, False), "g").join(dealt(home(r), "r"), keys)))
+    x0, y0 = F.greatest("gx0", "rx0"), F.greatest("gy0", "ry0")
+    return (met.filter((x0 <= F.least("gx1", "rx1")) & (y0 <= F.least("gy1", "ry1")) & (at(x0) == F.col("sx")) & (at(y0) == F.col("sy")))
+            .select(*gold_ids, *[c for c in result_ids if c not in scope], y0.alias("y0"), F.least("gy1", "ry1").alias("y1")))
+
+
+def _both_positive(first: Column, last: Column, height: Column) -> Column:
+    """Integral of the positive part of what goes evenly from ``first`` to ``last`` over a height."""
+    zero = F.lit(0.0)
+    up, down = F.greatest(first, zero), F.greatest(last, zero)
+    crossing = (first < 0) != (last < 0)
+    return F.when(crossing, F.try_divide((up + down) * (up + down), F.abs(first) + F.abs(last)) * height / 2).otherwise((up + down) * height / 2)
+
+
+def _touch() -> Column:
+    """Whether an edge of the gold face and one of the result share a point."""
+    cross = lambda o, p, q: ((F.col(f"{p}x") - F.col(f"{o}x")) * (F.col(f"{q}y") - F.col(f"{o}y"))
+                             - (F.col(f"{p}y") - F.col(f"{o}y")) * (F.col(f"{q}x") - F.col(f"{o}x")))
+    apart = lambda a, b, c, d: (F.greatest(a, b) < F.least(c, d)) | (F.greatest(c, d) < F.least(a, b))
+    boxes = ~apart("gax", "gbx", "rax", "rbx") & ~apart("gay", "gby", "ray", "rby")
+    side = lambda v: F.signum(v)
+    return boxes & (side(cross("ga", "gb", "ra")) * side(cross("ga", "gb", "rb")) <= 0) & (side(cross("ra", "rb", "ga")) * side(cross("ra", "rb", "gb")) <= 0)
+
+
+def overlap_pairs(gold: DataFrame, result: DataFrame, gold_ids: list[str], result_ids: list[str], cell: float,
                   touching: bool = True) -> DataFrame:
-    """Shared cells of every pair of faces that meet, as ``(gold_ids, result_ids, overlap)``.
+    """Shared area of every pair of faces that meet, as ``(gold_ids, result_ids, overlap)``.
 
     With ``touching``, faces that only share an edge or corner meet with overlap 0. Both sides
     agree on the names in both id lists, which become join keys.
+
+    Along a level line a face is a sum of steps, up where the line enters it and down where it leaves. The length that two faces share is
+    then minus the sum, over all pairs of their steps, of the product of the steps and the positive part of their distance. Over a row, that distance goes
+    evenly from one value to another for a pair of edges, so its integral is exact.
     """
     scope = [c for c in gold_ids if c in result_ids]
     ids = [*gold_ids, *[c for c in result_ids if c not in scope]]
-    gold = _banded(gold_spans, gold_ids).withColumnsRenamed({"x0": "g0", "x1": "g1"})
-    keys = [*scope, "row", "band"]
-    result = _banded(result_spans, result_ids)
-    if not touching:
-        shared = F.least("g1", "x1") - F.greatest("g0", "x0")
-        return (gold.join(result, keys).withColumn("shared", shared).filter("shared > 0")
-                .groupBy(*ids).agg(F.sum("shared").alias("overlap")))
-    # spans of the result grow by one cell; the true overlap is taken before growing
-    grown = result_spans.select(
-        *result_ids, F.explode(F.array(F.col("row") - 1, F.col("row"), F.col("row") + 1)).alias("row"),
-        (F.col("x0") - 1).alias("x0"), (F.col("x1") + 1).alias("x1"),
-        F.col("row").alias("_row"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
-    inner = [*result_ids, "_row", "_x0", "_x1"]
-    met = (gold.join(_banded(grown, inner), keys)
-           .filter(F.least("g1", "x1") > F.greatest("g0", "x0")))
-    shared = F.least("g1", "x1", "_x1") - F.greatest("g0", "x0", "_x0")
-    own_row = F.when(F.col("row") == F.col("_row"), F.greatest(shared, F.lit(0))).otherwise(F.lit(0))
-    return met.groupBy(*ids).agg(F.sum(own_row).alias("overlap"))
+    named = lambda df, ids_, p: edges(df, ids_, cell).select(*ids_, "row", *[F.col(a + b).alias(p + b + a) for a in "xy" for b in "ab"], F.col("way").alias(p + "way"))
+    pairs = box_pairs(gold, result, gold_ids, result_ids, cell)
+    rows = _explode_range(pairs, F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell), "row").select(*ids, "row")
+    met = rows.join(named(gold, gold_ids, "g"), [*gold_ids, "row"]).join(named(result, result_ids, "r"), [*result_ids, "row"])
+    low = F.greatest(F.least("gay", "gby"), F.least("ray", "rby"), F.col("row") * cell)
+    high = F.least(F.greatest("gay", "gby"), F.greatest("ray", "rby"), (F.col("row") + 1) * cell)
+    x_at = lambda p, y: F.col(f"{p}ax") + F.try_divide(y - F.col(f"{p}ay"), F.col(f"{p}by") - F.col(f"{p}ay")) * (F.col(f"{p}bx") - F.col(f"{p}ax"))
+    apart = lambda y: x_at("g", y) - x_at("r", y)
+    shared = F.when((F.col("gway") != 0) & (F.col("rway") != 0) & (high > low),
+                    -F.col("gway") * F.col("rway") * _both_positive(apart(low), apart(high), high - low)).otherwise(0.0)
+    summed = met.groupBy(*ids).agg(F.sum(shared).alias("overlap"), F.max(_touch()).alias("touch"))
+    # Rounding errors of the sum are far below this share of a cell.
+    some = F.col("overlap") > 1e-9 * cell * cell
+    kept = summed.filter(some | F.col("touch")) if touching else summed.filter(some)
+    return kept.select(*ids, F.when(some, F.col("overlap")).otherwise(0.0).alias("overlap"))
 
 
 def best_match(pairs: DataFrame, gold_ids: list[str], result_id: str = "result_id") -> DataFrame:
@@ -114,19 +183,20 @@ def evaluate(gold: DataFrame, result: DataFrame, cell: float, scope: list[str] |
     ``(sum over matched gold of the mean relative leftover + unmatched gold + unmatched result)
     / (faces of both)``, NaN without any face. ``gold`` is ``(gold_id, rings)`` and ``result``
     ``(result_id, rings)``. ``scope`` columns of the result give one score each against the
-    whole gold, for every row of ``scopes``; scope columns that gold has too are matched.
+    whole gold, for every row of ``scopes``; scope columns that gold has too are matched. Areas are exact for any polygons; ``cell`` is the
+    height of the rows by which the work is dealt out.
     """
     scope = scope or []
     shared = [c for c in scope if c in gold.columns]
     gold_ids, result_ids = [*shared, "gold_id"], [*scope, "result_id"]
-    gold_spans, result_spans = cut(spans(gold, gold_ids, cell), "spans"), cut(spans(result, result_ids, cell), "spans")
-    size = F.sum(F.col("x1") - F.col("x0"))
-    gold_area = gold_spans.groupBy(*gold_ids).agg(size.alias("gold_area"))
-    result_area = result_spans.groupBy(*result_ids).agg(size.alias("result_area"))
-    pairs = overlap_pairs(gold_spans, result_spans, gold_ids, result_ids, touching)
+    gold_area = gold.select(*gold_ids, polygon_area(F.col("rings")).alias("gold_area"))
+    result_area = result.select(*result_ids, polygon_area(F.col("rings")).alias("result_area"))
+    pairs = overlap_pairs(gold, result, gold_ids, result_ids, cell, touching)
     match_ids = [*scope, "gold_id"]
     best = best_match(pairs, match_ids).join(gold_area, gold_ids).join(result_area, result_ids)
-    leftover = ((1 - F.col("overlap") / F.col("gold_area")) + (1 - F.col("overlap") / F.col("result_area"))) / 2
+    # To 9 places, so that what is left of a face without itself is 0. Of a face without area nothing can be left.
+    left = lambda area: F.coalesce(F.greatest(F.round(1 - F.try_divide(F.col("overlap"), F.col(area)), 9), F.lit(0.0)), F.lit(0.0))
+    leftover = (left("gold_area") + left("result_area")) / 2
     # every matched result face counts once, however many gold faces it is best for
     per_face = best.groupBy(*result_ids).agg(F.count("*").alias("golds"), F.sum(leftover).alias("leftover"))
     nothing = {"n": F.lit(0).cast("bigint"), "matched_gold": F.lit(0).cast("bigint"),

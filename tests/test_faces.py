@@ -99,6 +99,64 @@ def test_scores(spark, gold, result, expected, kw):
     assert score(spark, gold, result, **kw) == pytest.approx(expected)
 
 
+def clipped(subject, clip):
+    """Convex polygon cut by the sides of another (both turned the same way), corner by corner."""
+    out = list(subject)
+    for (ax, ay), (bx, by) in zip(clip, clip[1:] + clip[:1]):
+        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)
+        ring, out = out, []
+        for p, q in zip(ring, ring[1:] + ring[:1]):
+            if side(p) >= 0:
+                out.append(p)
+            if (side(p) < 0) != (side(q) < 0):
+                t = side(p) / (side(p) - side(q))
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        if not out:
+            return []
+    return out
+
+
+def plain_area(ring):
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])) / 2 if ring else 0.0
+
+
+@pytest.mark.parametrize("cell, origin", [(0.5, (0, 0)), (7.0, (0, 0)), (1.0, (520_000.0, 4_980_000.0))])
+def test_overlap_of_any_polygons_is_exact(spark, cell, origin):
+    """Convex faces of all sizes, turned either way, against clipping one by the other; a hole takes away what lies in it."""
+    rng = random.Random(4)
+
+    def convex(x, y, size):
+        return [(x + size * math.cos(a), y + 0.7 * size * math.sin(a)) for a in sorted(rng.uniform(0, 6.28) for _ in range(rng.randint(3, 8)))]
+
+    shapes = [[convex(rng.uniform(-20, 20), rng.uniform(-20, 20), rng.choice([0.05, 0.4, 3, 12])) for _ in range(60)] for _ in range(2)]
+    placed = lambda ring: [(origin[0] + x, origin[1] + y) for x, y in ring + ring[:1]]
+    closed = lambda ring, i: [placed(ring[::-1] if i % 2 else ring)]
+    gold, result = ([closed(r, i) for i, r in enumerate(side)] for side in shapes)
+    hole, outer = [(-1, -1), (2, -1), (2, 3), (-1, 3)], [(-30, -30), (30, -30), (30, 30), (-30, 30)]
+    gold.append([placed(outer), placed(hole)])
+    got = {(r["gold_id"], r["result_id"]): r["overlap"] for r in scoring.overlap_pairs(
+        feature_frame(spark, gold, "gold_id"), feature_frame(spark, result, "result_id"), ["gold_id"], ["result_id"], cell, touching=False).collect()}
+    expected = {(i, j): plain_area(clipped(a, b)) for i, a in enumerate(shapes[0]) for j, b in enumerate(shapes[1])}
+    expected |= {(60, j): plain_area(clipped(b, outer)) - plain_area(clipped(b, hole)) for j, b in enumerate(shapes[1])}
+    tolerance = 1e-6 if origin[0] else 1e-9
+    assert sum(v > 1e-3 for v in expected.values()) > 100
+    assert all(got.get(k, 0.0) == pytest.approx(v, abs=tolerance) for k, v in expected.items())
+
+
+def test_a_set_beside_itself_scores_zero(spark):
+    rng = random.Random(8)
+    small = [box(x, y, x + rng.uniform(0.01, 0.3), y + rng.uniform(0.01, 0.3)) for x, y in ((rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(40))]
+    star = [(500_000 + (3 + i % 2) * math.cos(i), 9 + (3 + i % 2) * math.sin(i)) for i in range(6)]
+    assert score(spark, small + [[star + star[:1]]], small + [[star + star[:1]]]) == 0.0
+
+
+@pytest.mark.parametrize("other, meets", [(box(1, 0.5, 2, 2), True), (box(1, 1, 2, 2), True), (box(1.001, 0, 2, 1), False), (box(0.2, 1, 0.4, 3), True), (box(0.2, 1.2, 0.4, 3), False)])
+def test_faces_meet_where_they_touch(spark, other, meets):
+    args = [feature_frame(spark, [box(0, 0, 1, 1)], "gold_id"), feature_frame(spark, [other], "result_id"), ["gold_id"], ["result_id"], 1.0]
+    assert [r["overlap"] for r in scoring.overlap_pairs(*args).collect()] == [0.0] * meets
+    assert scoring.overlap_pairs(*args, touching=False).count() == 0
+
+
 def test_score_of_nothing(spark):
     assert math.isnan(score(spark, [], []))
 
