@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values of the data model.
@@ -123,3 +125,14 @@ def cell_px(cell: Column) -> Column:
 
 def cell_py(cell: Column) -> Column:
     return F.shiftright(cell, 32).cast("int")
+
+
+def seed_key(ncurv: Column, cell: Column) -> Column:
+    """Curvature (to 9 places, 0 or more), then cell, as one decimal: the least is the better seed. Unlike a pair, a decimal can be aggregated by hashing."""
+    return F.round(ncurv * 1e9).cast("decimal(18,0)") * F.lit(Decimal(1 << 64)) + cell.cast("decimal(20,0)")
+
+
+def seed_parts(key: Column) -> tuple[Column, Column]:
+    """Curvature and cell of a seed's key; null for null."""
+    whole = F.floor(key / F.lit(Decimal(1 << 64))).cast("decimal(18,0)")
+    return whole.cast("double") / 1e9, (key - whole * F.lit(Decimal(1 << 64))).cast("bigint")

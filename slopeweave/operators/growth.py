@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slopeweave.functions.cells import cell_px, cell_py
+from slopeweave.functions.cells import cell_px, cell_py, seed_key, seed_parts
 from slopeweave.functions.planes import cosine
 from slopeweave.operators.blocks import (
     SIDE, Window, local_components, near_edge, nearest, offsets, reach, reach_column, with_blocks)
@@ -240,5 +240,6 @@ def _named(own: DataFrame) -> DataFrame:
 
 def region_seeds(own: DataFrame, region: str) -> DataFrame:
     """The seed of each region: its cell of least curvature, then of least row and column."""
-    return (own.groupBy(*SCOPE, region).agg(F.min(F.struct("ncurv", "cell_id")).alias("_seed"))
-            .select(*SCOPE, region, F.col("_seed.ncurv").alias("seed_ncurv"), F.col("_seed.cell_id").alias("seed_id")))
+    ncurv, cell = seed_parts(F.col("_seed"))
+    return (own.groupBy(*SCOPE, region).agg(F.min(seed_key(F.col("ncurv"), F.col("cell_id"))).alias("_seed"))
+            .select(*SCOPE, region, ncurv.alias("seed_ncurv"), cell.alias("seed_id")))

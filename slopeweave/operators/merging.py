@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slopeweave.operators.growth import SCOPE, exclude_self
 from slopeweave.operators.joins import attach
@@ -11,51 +11,50 @@ from slopeweave.operators.regions import REGION, combine, region_attrs, region_m
 from slopeweave.session import cut, cut_counting
 
 NEIGHBOURS = 5
-FIRST_BUCKET = 32
+# A square of one level of the pyramid holds so many times as many squares of the next finer one along either side.
+FAN = 8
 
 
-def knn_regions(regions: DataFrame, tiles: DataFrame, k: int = NEIGHBOURS, bucket: int = FIRST_BUCKET) -> DataFrame:
+def knn_regions(regions: DataFrame, tiles: DataFrame, k: int = NEIGHBOURS, fan: int = FAN) -> DataFrame:
     """The ``k`` regions with the nearest centres, itself included, as ``(region_id, other_id,
     px, py, qx, qy, d2)``. ``regions`` has centres and the seed columns, ``tiles`` the grid size;
     both are written tables.
 
-    Centres meet in buckets and their eight neighbours. A centre is done when its k-th
-    neighbour is no farther than one bucket, or the buckets cover its tile; the others go on
-    with buckets twice as wide. A centre stands in once however many regions share it, and
-    never more than k of those are candidates, so no bucket grows with the data.
+    A pyramid of squares counts the centres, from one square over a tile down to single cells. Each centre goes down with the squares that may
+    still hold one of its k nearest: those no further than the distance within which squares are sure to hold k. A centre stands in once however many regions share
+    it, and never more than k of those are candidates; no key holds more than a square's parts.
     """
     centre = [*SCOPE, "px", "py"]
     at = regions.select(*SCOPE, "region_id", F.col("cx").alias("px"), F.col("cy").alias("py"), "seed_ncurv", "seed_id")
-    candidates = first_k(at, centre, [F.col("seed_ncurv"), F.col("seed_id")], k).select(
-        *SCOPE, F.struct(F.col("px").alias("qx"), F.col("py").alias("qy"), "seed_ncurv", "seed_id",
-                         F.col("region_id").alias("other_id")).alias("q"))
-    span = tiles.select("tile_id", F.greatest("w", "h").alias("span"))
-    todo = attach(at.select(*centre).distinct(), span, ["tile_id"])
-    found = None
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                                 for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    while True:
-        asked = (todo.select("*", around.alias("step"))
-                 .withColumns({"bx": F.floor(F.col("px") / bucket) + F.col("step.i"),
-                               "by": F.floor(F.col("py") / bucket) + F.col("step.j")}).drop("step"))
-        offered = candidates.withColumns({"bx": F.floor(F.col("q.qx") / bucket), "by": F.floor(F.col("q.qy") / bucket)})
-        dx, dy = F.col("q.qx") - F.col("px"), F.col("q.qy") - F.col("py")
-        d2 = (dx.cast("bigint") * dx + dy.cast("bigint") * dy)
-        near = first_k(asked.join(offered, [*SCOPE, "bx", "by"]).withColumn("d2", d2), centre,
-                       [F.col("d2"), F.col("q.qx"), F.col("q.qy"), F.col("q.seed_ncurv"), F.col("q.seed_id")], k)
-        met = near.groupBy(*centre, "span").agg(
-            F.max("d2").alias("far"), F.count("*").alias("met"), F.collect_list(F.struct("d2", "q")).alias("near"))
-        done = ((F.col("met") == k) & (F.col("far") <= bucket * bucket)) | (F.col("span") <= bucket)
-        met, seen = cut_counting(met.withColumn("done", done), "near", open=F.count_if(~F.col("done")))
-        ready = met.filter("done").select(*centre, "near")
-        found = ready if found is None else found.unionByName(ready)
-        if not seen["open"]:
-            break
-        todo = met.filter("NOT done").select(*centre, "span")
-        bucket *= 2
-    pairs = found.select(*centre, F.explode("near").alias("n")).select(
-        *centre, "n.d2", "n.q.qx", "n.q.qy", "n.q.other_id")
-    return at.select(*centre, "region_id").join(pairs, centre)
+    candidates = cut(first_k(at, centre, [F.col("seed_ncurv"), F.col("seed_id")], k).select(*centre, "seed_ncurv", "seed_id", F.col("region_id").alias("other_id")), "candidates")
+    span = tiles.agg(F.max(F.greatest("w", "h"))).first()[0] or 1
+    sides = [1]
+    while sides[-1] < span:
+        sides.append(sides[-1] * fan)
+    cells = candidates.groupBy(*centre).agg(F.count("*").alias("held"))
+    # From the coarsest squares, which are whole tiles, to cells.
+    left = cells.select(*centre, F.lit(0).cast("bigint").alias("bx"), F.lit(0).cast("bigint").alias("by"))
+    square = lambda axis, side: F.floor(F.col(axis) / side)
+    for wide, side in list(zip(sides[1:], sides))[::-1]:
+        parts = (cells.groupBy(*SCOPE, square("px", side).alias("qx"), square("py", side).alias("qy")).agg(F.sum("held").alias("held"))
+                 .withColumns({"bx": F.floor(F.col("qx") * side / wide), "by": F.floor(F.col("qy") * side / wide)}))
+        met = left.join(parts, [*SCOPE, "bx", "by"])
+        low = {a: F.col(q) * side for a, q in (("px", "qx"), ("py", "qy"))}
+        near = lambda a: F.greatest(low[a] - F.col(a), F.col(a) - (low[a] + (side - 1)), F.lit(0))
+        far = lambda a: F.greatest(F.abs(F.col(a) - low[a]), F.abs(F.col(a) - (low[a] + (side - 1))))
+        square_sum = lambda f: f("px") * f("px") + f("py") * f("py")
+        asker = Window.partitionBy(*centre)
+        sure = F.sum("held").over(asker.orderBy("far", "qx", "qy"))
+        left = (met.withColumns({"near": square_sum(near), "far": square_sum(far)}).withColumn("sure", sure)
+                .withColumn("reach", F.min(F.when(F.col("sure") >= k, F.col("far"))).over(asker))
+                .filter("reach IS NULL OR near <= reach")
+                .select(*centre, F.col("qx").alias("bx"), F.col("qy").alias("by")))
+    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    offered = candidates.select(*SCOPE, F.col("px").cast("bigint").alias("bx"), F.col("py").cast("bigint").alias("by"), F.col("px").alias("qx"), F.col("py").alias("qy"),
+                                "seed_ncurv", "seed_id", "other_id")
+    pairs = first_k(left.join(offered, [*SCOPE, "bx", "by"]).withColumn("d2", dx.cast("bigint") * dx + dy.cast("bigint") * dy), centre,
+                    [F.col(c) for c in ("d2", "qx", "qy", "seed_ncurv", "seed_id")], k)
+    return at.select(*centre, "region_id").join(pairs.select(*centre, "d2", "qx", "qy", "other_id"), centre)
 
 
 def merge_eligible(pairs: DataFrame, slope: float | str, azimuth: float | str, slope_cmp: str = "gt") -> DataFrame:

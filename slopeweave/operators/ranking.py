@@ -19,7 +19,7 @@ def with_position(df: DataFrame, keys: list[str], order: list[Column], name: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = [F.col(k) for k in keys]
     placed = cut(
-        df.repartitionByRange(parts, *group, *order)
+        cut(df, "unplaced").repartitionByRange(parts, *group, *order)
         .sortWithinPartitions(*group, *order)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33)),

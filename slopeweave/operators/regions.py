@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slopeweave.functions.cells import cell_px, cell_py
+from slopeweave.functions.cells import cell_px, cell_py, seed_key, seed_parts
 from slopeweave.functions.planes import azimuth, moved_to, slope, with_plane
 from slopeweave.operators.growth import SCOPE
 
@@ -24,12 +24,11 @@ def region_stats(region_cells: DataFrame) -> DataFrame:
     sums = {"sum_curv": F.col("ncurv"), "sum_x": x.cast("bigint"), "sum_y": y.cast("bigint"),
             "sum_color": F.col("intensity"), "sx": dx, "sy": dy, "sh": height, "sxx": dx * dx, "sxy": dx * dy,
             "syy": dy * dy, "sxh": dx * height, "syh": dy * height, "shh": height * height}
-    # the seed is the least-curved anchor: two primitive aggregates would need two passes
-    seed = F.min(F.when(F.col("anchor"), F.struct("ncurv", "cell_id")))
+    seed = F.min(F.when(F.col("anchor"), seed_key(F.col("ncurv"), F.col("cell_id"))))
+    seed_ncurv, seed_id = seed_parts(F.col("_seed"))
     return (region_cells.groupBy(*REGION)
             .agg(F.count("*").alias("size"), *[F.sum(sums[s]).alias(s) for s in SUMS], seed.alias("_seed"))
-            .select(*REGION, "size", *SUMS, F.col("_seed.ncurv").alias("seed_ncurv"),
-                    F.col("_seed.cell_id").alias("seed_id")))
+            .select(*REGION, "size", *SUMS, seed_ncurv.alias("seed_ncurv"), seed_id.alias("seed_id")))
 
 
 def region_means(regions: DataFrame) -> DataFrame:

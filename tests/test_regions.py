@@ -152,14 +152,14 @@ def test_merging_equals_the_sequential_loop(spark, seed, sizes):
     assert set(named.values()) <= set(expected)
 
 
-@pytest.mark.parametrize("bucket", [4, 32])
-def test_nearest_regions_with_shared_centres(spark, bucket):
+@pytest.mark.parametrize("fan", [2, 8])
+def test_nearest_regions_with_shared_centres(spark, fan):
     rng = random.Random(3)
     centres = [(rng.randrange(40), rng.randrange(40)) for _ in range(30)] + [(5, 5)] * 8 + [(400, 300)]
     rows = [(0, "t", i, x, y, 0.0, i) for i, (x, y) in enumerate(centres)]
     df = cut(spark.createDataFrame(rows, "param_id INT, tile_id STRING, region_id BIGINT, cx INT, cy INT, seed_ncurv DOUBLE, seed_id BIGINT"))
     got = {}
-    for r in merging.knn_regions(df, one_tile(spark), 5, bucket).collect():
+    for r in merging.knn_regions(df, one_tile(spark), 5, fan).collect():
         got.setdefault(r["region_id"], set()).add(r["other_id"])
     for i, (x, y) in enumerate(centres):
         near = sorted(range(len(centres)), key=lambda j: ((centres[j][0] - x) ** 2 + (centres[j][1] - y) ** 2, *centres[j], j))[:5]
