@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from slopeweave.llm.shards import GOLDEN, in_batches, mix, shards
 from slopeweave.llm.tokenizing import decoded
+from slopeweave.operators.ranking import with_position
 from slopeweave.session import cut
 
 SUPPORT, MOST_WORDS, COVER, REPORTED = 10, 3, 50, 2_000
@@ -23,8 +24,6 @@ SHARD_TEXT = 4 << 20
 SIZED = 1_000
 # The filter of candidates has some 16 bits for each, and at most so many; the fuller it is, the more phrases are counted in vain.
 MOST_BITS = 27
-# Candidates of one language are ranked in so many parts first.
-RANKED = 256
 UNKNOWN = "und"
 
 # Words and the marks that end a piece, as bytes after lower-casing A-Z.
@@ -230,8 +229,6 @@ def collocations(docs: DataFrame, support: int = SUPPORT, most_words: int = MOST
     found = not_covered(cut(scored(counted), "scored"), cover)
     totals = counted.filter("words = 0").select("lang", F.col("n").alias("of_lang"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(RANKED))
-    first = (found.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
-             .filter(F.col("rank") <= reported))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= reported)
-    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("of_lang").alias("n"), "score")
+    # Rows are range-partitioned by language and order; no language is ranked in one task.
+    ranked = with_position(found, ["lang"], order, "rank").filter(F.col("rank") < reported)
+    return ranked.join(totals, "lang").select("lang", (F.col("rank") + 1).cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("of_lang").alias("n"), "score")
