@@ -81,7 +81,15 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD_BYTES) -> Itera
 def byte_grams(text: bytes, sizes: range, bits: int) -> np.ndarray:
     """Buckets (of 2^bits) of all byte n-grams of the text, A-Z in lower case; the text is
     padded with a space at either end."""
-    data = np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint32)
+    return _gram_buckets(np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint32), sizes, bits)
+
+
+def char_grams(text: bytes, sizes: range, bits: int) -> np.ndarray:
+    """The same of all character n-grams of the text in lower case. Bytes that are not UTF-8 are replacement characters."""
+    return _gram_buckets(np.frombuffer(f" {text.decode('utf-8', 'replace').lower()} ".encode("utf-32-le"), "<u4"), sizes, bits)
+
+
+def _gram_buckets(data: np.ndarray, sizes: range, bits: int) -> np.ndarray:
     found, h = [], np.zeros(len(data), np.uint32)
     for n in range(1, sizes.stop):
         if n > len(data):

@@ -8,36 +8,36 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from slopeweave.llm.shards import Distinct, byte_grams, in_batches, shards
+from slopeweave.llm.shards import Distinct, char_grams, in_batches, shards
 from slopeweave.session import cut
 
 SIZES = range(3, 6)
 BITS = 20
 # The classifier is fitted on at most so many labelled documents, those whose ids hash lowest.
 MOST_LABELLED = 12_000
-LEAST_DOCUMENTS = 8
-# Of the n-grams, so many whose shares among toxic and other documents differ most surely are features.
-MOST_FEATURES = 4_096
 # L1 penalty: few n-grams mark toxic texts, and a small weight on each of the many others would drown them in long texts.
 PENALTY = 5e-4
+# Parts of the fit. Few, because each sends a whole gradient in every step.
+FIT_PARTS = 4
 THRESHOLD = 0.3
 
 
 @dataclass
 class ToxicityModel:
-    """One weight per n-gram bucket (coefficient times log-count ratio) and the intercept."""
+    """One weight per n-gram bucket (coefficient times log-count ratio), the intercept, and the log-count ratios."""
 
     weights: np.ndarray
     intercept: float
+    ratios: np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, smoothing: float = 1.0) -> ToxicityModel:
     """Fit on the documents that ``labels (doc_id, toxic)`` marks.
 
-    A document is the set of its hashed n-grams of 3 to 5 bytes. An n-gram's value is its log-count ratio
+    A document is the set of its n-grams of 3 to 5 characters, each hashed to one of 2^20 buckets; all of them are features. A bucket's value is its log-count ratio
     between toxic and other documents; a logistic regression on these values (Spark ML, L1 penalty) gives
     the weights. Rows without id, label or text teach nothing; of several labels for a document,
     the largest holds. With one class only, or no rows, every score is the share of toxic rows (0 if none).
@@ -46,50 +46,46 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, smoothi
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     mine = docs.filter("text IS NOT NULL").select("doc_id", "text")
+    # At most ``most`` ids are sent.
     marked = mine.join(F.broadcast(marks), "doc_id").select("text", "toxic")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = Distinct(BITS)
         for batch, texts in shards(batches):
-            grams = [distinct(byte_grams(t, SIZES, BITS)).astype(np.int32) for t in texts]
+            grams = [np.sort(distinct(char_grams(t, SIZES, BITS))).astype(np.int32) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())],
                                              ["grams", "toxic"])
 
     seen = cut(in_batches(marked, features, "grams array<int>, toxic int"), "toxicity")
     sizes = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
+    none = np.zeros(1 << BITS, np.float32)
     if not n1 or not n0:
-        share = float(bool(n1))
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), np.inf if share else -np.inf)
-    ones, every = F.col("ones"), F.col("n")
-    share = every / (n1 + n0)
-    # Two-proportion z statistic of the n-gram's shares.
-    z = F.abs(ones / n1 - (every - ones) / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + F.lit(1e-12))
+        return ToxicityModel(none, np.inf if n1 else -np.inf, none)
+    # At most a row for each bucket.
     counts = (seen.select(F.explode("grams").alias("gram"), (F.col("toxic") == 1).cast("int").alias("one"))
-              .groupBy("gram").agg(F.count("*").alias("n"), F.sum("one").alias("ones"))
-              .filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc(z), "gram").limit(MOST_FEATURES).toPandas().sort_values("gram"))
-    if not len(counts):
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(n1 / n0)))
-    kept = counts["gram"].to_numpy()
-    ones, zeros = counts["ones"].to_numpy(), (counts["n"] - counts["ones"]).to_numpy()
-    ratio = np.log((ones + smoothing) / (n1 + 2 * smoothing)) - np.log((zeros + smoothing) / (n0 + 2 * smoothing))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+              .groupBy("gram").agg(F.count("*").cast("int").alias("n"), F.sum("one").cast("int").alias("ones")).toArrow())
+    ones, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    ones[counts["gram"].to_numpy()], every[counts["gram"].to_numpy()] = counts["ones"].to_numpy(), counts["n"].to_numpy()
+    ratios = np.log((ones + smoothing) / (n1 + 2 * smoothing)) - np.log((every - ones + smoothing) / (n0 + 2 * smoothing))
+    shared = seen.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))
+    # Sparse vectors as Spark ML stores them.
+    vectors = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())])
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [np.flatnonzero(np.isin(kept, g)).astype(np.int32) for g in batch.column("grams").to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), batch.column("toxic")], ["at", "toxic"])
+            grams = batch.column("grams")
+            values = pa.array(shared.value[grams.flatten().to_numpy()].astype(np.float64))
+            offsets = pa.array(np.append(0, np.cumsum(grams.value_lengths().to_numpy())).astype(np.int32))
+            n = len(grams)
+            kinds = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, 1 << BITS, np.int32)), pa.ListArray.from_arrays(offsets, grams.flatten()), pa.ListArray.from_arrays(offsets, values)]
+            label = pa.array((batch.column("toxic").to_numpy() == 1).astype(float))
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(kinds, ["type", "size", "indices", "values"]), label], vectors.names)
 
-    @F.udf(VectorUDT())
-    def scaled(at):
-        return SparseVector(len(ratio), at, ratio[at])
-
-    # Written in between: two Python steps in one task would take two workers at once.
-    placed = cut(seen.mapInArrow(places, "at array<int>, toxic int"), "toxicity")
-    rows = placed.select(scaled("at").alias("features"), (F.col("toxic") == 1).cast("double").alias("label"))
-    fitted = LogisticRegression(maxIter=60, regParam=PENALTY, elasticNetParam=1.0, standardization=False).fit(cut(rows, "toxicity"))
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[kept] = fitted.coefficients.toArray() * ratio
-    return ToxicityModel(weights, float(fitted.intercept))
+    rows = cut(seen.coalesce(FIT_PARTS).mapInArrow(scaled, vectors), "toxicity")
+    fitted = LogisticRegression(maxIter=60, regParam=PENALTY, elasticNetParam=1.0, standardization=False, aggregationDepth=2).fit(rows.coalesce(FIT_PARTS))
+    weights = fitted.coefficients.toArray() * ratios
+    return ToxicityModel(weights.astype(np.float32), float(fitted.intercept), ratios.astype(np.float32))
 
 
 def _scorer(model: ToxicityModel, spark):
@@ -98,7 +94,7 @@ def _scorer(model: ToxicityModel, spark):
 
     def scores(texts: list[bytes], distinct: Distinct) -> np.ndarray:
         m = shared.value
-        sums = np.fromiter((m.weights[distinct(byte_grams(t, SIZES, BITS))].sum(dtype=np.float64) for t in texts), float, len(texts))
+        sums = np.fromiter((m.weights[distinct(char_grams(t, SIZES, BITS))].sum(dtype=np.float64) for t in texts), float, len(texts))
         return 1 / (1 + np.exp(-np.clip(sums + m.intercept, -700, 700)))
 
     return scores
@@ -118,7 +114,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_harmless(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is below the threshold."""
+    """The rows of ``docs``, with all their columns, whose score is below the threshold. A null text is scored as empty; of repeated rows
+    all stay or none."""
     scores = _scorer(model, docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Toxicity, language identification and resampling: held-out accuracy and plain recounts."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopeweave.llm import language, queries, resampling, toxicity
+from slopeweave.llm.shards import char_grams
 
 DATA = "/root/testdata/sf0.1"
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,6 +34,42 @@ def test_toxicity_on_held_out_labels(spark, model):
     assert right.mean() > 0.93 and auc > 0.78 and ones[said].mean() > 0.85
 
 
+def test_toxicity_ratios_and_scores_recounted(spark, documents):
+    """Ratios and scores from the n-grams themselves, as strings, and the fit against a plain descent."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(["ab", "Ba", "ü", "日本", "cd" if i % 3 else "bad"]) for _ in range(rnd.randint(0, 9)))) for i in range(90)] + [(90, ""), (91, "x")]
+    toxic = {i: int(i % 3 == 0) for i, _ in rows}
+    model_ = toxicity.train(documents(rows), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    grams = lambda t: {f" {t.lower()} "[i:i + n] for n in (3, 4, 5) for i in range(len(t) + 3 - n)}
+    bucket = lambda g: int(char_grams(g[1:-1].encode(), range(len(g), len(g) + 1), toxicity.BITS)[0]) if g[0] == g[-1] == " " else None
+    at = {}
+    for _, t in rows:
+        for n in (3, 4, 5):
+            padded = f" {t.lower()} "
+            for i, b in enumerate(char_grams(t.encode(), range(n, n + 1), toxicity.BITS).tolist()):
+                assert at.setdefault(padded[i:i + n], b) == b
+    assert len(set(at.values())) == len(at) and all(bucket(g) in (None, b) for g, b in at.items())
+    n1, n0 = sum(toxic.values()), len(toxic) - sum(toxic.values())
+    seen = {g: Counter(toxic[i] for i, t in rows if g in grams(t)) for g in at}
+    ratio = {g: math.log((c[1] + 1) / (n1 + 2)) - math.log((c[0] + 1) / (n0 + 2)) for g, c in seen.items()}
+    assert all(model_.ratios[b] == pytest.approx(ratio[g], abs=1e-5) for g, b in at.items())
+    got = {r.doc_id: r.score for r in toxicity.score(documents(rows), model_).collect()}
+    for i, t in rows:
+        margin = sum(float(model_.weights[at[g]]) for g in grams(t)) + model_.intercept
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-5)
+    names = sorted(at)
+    x = np.array([[ratio[g] * (g in grams(t)) for g in names] for _, t in rows])
+    y = np.array([toxic[i] for i, _ in rows], float)
+    loss = lambda w, b: np.logaddexp(0, (1 - 2 * y) * (x @ w + b)).mean() + toxicity.PENALTY * np.abs(w).sum()
+    w, b, step = np.zeros(len(names)), 0.0, 4 * len(y) / (np.linalg.norm(x, 2) ** 2 + len(y))
+    for _ in range(30_000):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        w, b = w - step * (x.T @ e), b - step * e.sum()
+        w = np.sign(w) * np.maximum(np.abs(w) - step * toxicity.PENALTY, 0)
+    fitted = np.array([float(model_.weights[at[g]]) / ratio[g] for g in names])
+    assert loss(fitted, model_.intercept) < loss(w, b) + 2e-3
+
+
 def test_toxic_words_are_caught_and_clean_texts_kept(spark, model, documents):
     labelled = queries.table(spark, DATA, "documents").join(queries.table(spark, DATA, "labels").filter("toxic = 0"), "doc_id")
     clean = [(r.doc_id, r.text) for r in labelled.orderBy("doc_id").limit(400).collect()]
@@ -48,8 +86,10 @@ def test_toxic_words_are_caught_and_clean_texts_kept(spark, model, documents):
 def test_toxicity_of_one_class_and_of_nothing(spark, documents):
     docs = documents([(1, "a b c"), (2, "d")])
     labels = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
-    for rows, share in (([], 0), ([(1, 0), (None, 1), (2, None)], 0), ([(1, 1)], 1), ([(1, 0), (2, 1)], 0.5)):
+    for rows, share in (([], 0), ([(1, 0), (None, 1), (2, None)], 0), ([(1, 1)], 1)):
         assert {round(r.score, 6) for r in toxicity.score(docs, toxicity.train(docs, labels(rows))).collect()} == {share}
+    two = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels([(1, 0), (2, 1)]))).collect()}
+    assert two[1] < 0.1 and two[2] > 0.9
 
 
 def test_language_on_held_out_documents(spark):
