@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from slopeweave.llm.shards import byte_grams, in_batches, shards
+from slopeweave.llm.tokenizing import decoded
 from slopeweave.session import cut
 
 SIZES = range(1, 4)
@@ -19,6 +20,8 @@ CLUSTERS = 4
 # Centroids are fitted on at most so many documents of each language, those whose ids hash lowest;
 # document frequencies are counted over all learning documents.
 MOST_PER_LANGUAGE = 1_500
+# Documents of one language are ranked in so many parts first.
+PARTS = 64
 # A text is rejected when it is further from its centroid than this share of the centroid's own documents.
 WITHIN = 0.995
 UNKNOWN = "und"
@@ -40,7 +43,7 @@ _shown[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = [*range(0x61, 0x7B), *range(
 
 def _counts(text: bytes) -> np.ndarray:
     """Byte n-grams of the lower-cased words: every run of ASCII other than letters counts as one space."""
-    shown = _shown[np.frombuffer(text.decode().lower().encode(), np.uint8)]
+    shown = _shown[np.frombuffer(decoded(text).lower().encode(), np.uint8)]
     space = shown == 0x20
     tidy = shown[~(space & np.append(False, space[:-1])[:len(space)])]
     return np.bincount(byte_grams(tidy.tobytes(), SIZES, BITS), minlength=1 << BITS)
@@ -96,9 +99,11 @@ def train(docs: DataFrame, clusters: int = CLUSTERS, most: int = MOST_PER_LANGUA
     total = of.pop(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([of.get(b, 0) for b in range(1 << BITS)]))).astype(np.float32) + np.float32(1)
 
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (known.filter("doc_id IS NOT NULL").select("lang", "doc_id").withColumn("at", F.row_number().over(by_hash))
-           .filter(F.col("at") <= most).select("doc_id", "lang"))
+    # First in parts of a language, so that no task ranks all rows of one; then among what is left, at most ``most`` of each part.
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = lambda df, *keys: df.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(*by_hash))).filter(F.col("at") <= most)
+    parts = known.filter("doc_id IS NOT NULL").select("lang", "doc_id").withColumn("part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))
+    ids = first(first(parts, "lang", "part"), "lang").select("doc_id", "lang")
     sample = known.join(F.broadcast(ids), ["doc_id", "lang"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
