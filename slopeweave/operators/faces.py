@@ -52,7 +52,8 @@ def _trace_block(side: int):
         px, py, face, cell = px[order], py[order], face[order], cell[order]
         own = (px // side == bx) & (py // side == by)
         mine = np.flatnonzero(own)
-        rows: list[tuple] = []
+        # Of each kind: face, a, b, c, and the corners as lists or none.
+        found: list[tuple] = []
         if len(mine):
             window = Window(px, py, 1)
 
@@ -66,27 +67,50 @@ def _trace_block(side: int):
             u, v = u[v >= 0], v[v >= 0]
             inner = own[v]
             root = cell[local_components(u[inner], v[inner], len(px))]
-            for r, f, count in zip(*_counted(root[mine], face[mine])):
-                rows.append((PART, f, r, count, 0, None, None))
-            for r, far in np.unique(np.stack([root[u[~inner]], cell[v[~inner]]]), axis=1).T.tolist():
-                rows.append((LINK, 0, r, far, 0, None, None))
+            roots, first, counts = np.unique(root[mine], return_index=True, return_counts=True)
+            found.append((PART, face[mine][first], roots, counts, None, None))
+            found.append((LINK, None, *np.unique(np.stack([root[u[~inner]], cell[v[~inner]]]), axis=1), None, None))
             edge = mine[(px[mine] % side == 0) | (py[mine] % side == 0)]
-            rows += [(EDGE_CELL, 0, a, b, 0, None, None) for a, b in zip(cell[edge].tolist(), root[edge].tolist())]
-            rows += _walks(mine, own, px, py, face, cell, root, joined)
-        columns = list(zip(*rows)) if rows else [[] for _ in range(7)]
-        types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        names = ["kind", "face_id", "a", "b", "c", "xs", "ys"]
+            found.append((EDGE_CELL, None, cell[edge], root[edge], None, None))
+            found += _walks(mine, own, px, py, face, cell, root, joined)
+        sizes = [len(f[2]) for f in found]
+        total = sum(sizes)
+        longs = lambda i: np.concatenate([np.zeros(n, np.int64) if f[i] is None else f[i].astype(np.int64) for f, n in zip(found, sizes)]) if found else np.zeros(0, np.int64)
+        lists = pa.list_(pa.int32())
+        corners = lambda i: pa.concat_arrays([pa.nulls(n, lists) if f[5] is None else f[5][i] for f, n in zip(found, sizes)]) if found else pa.nulls(0, lists)
         return pa.table({
-            "param_id": pa.array([param_id] * len(rows), pa.int32()),
-            "tile_id": pa.array([tile_id] * len(rows), pa.string()),
-            **{n: pa.array(c, t) for n, c, t in zip(names, columns, types)}})
+            "param_id": pa.array([param_id] * total, pa.int32()), "tile_id": pa.array([tile_id] * total, pa.string()),
+            "kind": np.repeat(np.array([f[0] for f in found], np.int8), sizes),
+            **{n: longs(i) for i, n in enumerate(("face_id", "a", "b", "c"), 1)}, "xs": corners(0), "ys": corners(1)})
 
     return report
 
 
-def _counted(root: np.ndarray, face: np.ndarray):
-    roots, first, counts = np.unique(root, return_index=True, return_counts=True)
-    return roots.tolist(), face[first].tolist(), counts.tolist()
+def chains(follow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First member, place, and whether it closes, of the chain that each item is in. ``follow`` gives the item after each, -1 for none; no two items have the same
+    after them. A closed chain begins with its least item.
+
+    All items look back at once, twice as far in each round.
+    """
+    item = np.arange(len(follow))
+    before = np.full(len(follow), -1)
+    before[follow[follow >= 0]] = item[follow >= 0]
+    back, least = before.copy(), item.copy()
+    for _ in range(len(follow).bit_length()):
+        some = back >= 0
+        least = np.where(some, np.minimum(least, least[back]), least)
+        back = np.where(some, back[back], -1)
+    # Who still has someone before it that far back goes round.
+    closed = back >= 0
+    before[closed & (least == item)] = -1
+    first, place = np.where(before >= 0, before, item), (before >= 0).astype(np.int64)
+    while (before[first] >= 0).any():
+        first, place = first[first], place + place[first]
+    return first, place, closed
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def _walks(mine, own, px, py, face, cell, root, joined) -> list[tuple]:
@@ -99,6 +123,8 @@ def _walks(mine, own, px, py, face, cell, root, joined) -> list[tuple]:
         cells.append(open_)
         ways.append(np.full(len(open_), way))
     at, way = np.concatenate(cells), np.concatenate(ways)
+    if not len(at):
+        return []
     front = joined(at, _STEP[way])
     diagonal = joined(at, _STEP[way] + _STEP[way - 1])
     right, left = front < 0, (front >= 0) & (diagonal >= 0)
@@ -107,31 +133,45 @@ def _walks(mine, own, px, py, face, cell, root, joined) -> list[tuple]:
     slot = np.full(len(px) * 4, -1)
     slot[at * 4 + way] = np.arange(len(at))
     follow = np.where(own[next_cell], slot[next_cell * 4 + next_way], -1)
-    preceded = np.zeros(len(at), dtype=bool)
-    preceded[follow[follow >= 0]] = True
     # the end of an edge: its cell's corner that lies ahead
     end_x = px[at] + np.isin(way, (0, 1))
     end_y = py[at] + np.isin(way, (1, 2))
-    turns = (right | left).tolist()
-    xs, ys, follow_list = end_x.tolist(), end_y.tolist(), follow.tolist()
-    start_key, next_key = (cell[at] << 2 | way).tolist(), (cell[next_cell] << 2 | next_way).tolist()
-    done = [False] * len(at)
-    rows = []
-    for first in np.concatenate([np.flatnonzero(~preceded), np.flatnonzero(preceded)]).tolist():
-        if done[first]:
-            continue
-        corners, edge, last = [], first, first
-        while edge >= 0 and not done[edge]:
-            done[edge] = True
-            if turns[edge]:
-                corners.append((xs[edge], ys[edge]))
-            last, edge = edge, follow_list[edge]
-        f, r = int(face[at[first]]), int(root[at[first]])
-        if edge < 0:
-            rows.append((PATH, f, r, start_key[first], next_key[last], [c[0] for c in corners], [c[1] for c in corners]))
-        else:
-            rows += [(RING, f, r, 0, 0, [c[0] for c in loop], [c[1] for c in loop]) for loop in simple_loops(corners)]
-    return rows
+    start_key, next_key = cell[at] << 2 | way, cell[next_cell] << 2 | next_way
+
+    first, place, closed = chains(follow)
+    order = np.lexsort((place, first))
+    chain = first[order]
+    begins = np.flatnonzero(np.append(True, chain[1:] != chain[:-1]))
+    heads, tails = order[begins], order[np.append(begins[1:], len(order)) - 1]
+    turns = order[(right | left)[order]]
+    number = np.searchsorted(chain[begins], first[turns])
+    counts = np.bincount(number, minlength=len(heads))
+    ring = closed[heads]
+
+    def walks(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some = turns[which[number]]
+        return end_x[some], end_y[some], counts[which]
+
+    paths, own_face = heads[~ring], lambda h: (face[at[h]], root[at[h]])
+    xs, ys, sizes = walks(~ring)
+    found = [(PATH, *own_face(paths), start_key[paths], next_key[tails[~ring]], (_lists(xs, sizes), _lists(ys, sizes)))]
+    # Rings that meet a corner twice are the exception; they are cut there into several.
+    x, y = end_x[turns].astype(np.int64), end_y[turns].astype(np.int64)
+    met = np.lexsort((y, x, number))
+    same = (number[met][1:] == number[met][:-1]) & (x[met][1:] == x[met][:-1]) & (y[met][1:] == y[met][:-1])
+    knotted = np.zeros(len(heads), bool)
+    knotted[number[met[1:][same]]] = True
+    plain = ring & ~knotted
+    xs, ys, sizes = walks(plain)
+    found.append((RING, *own_face(heads[plain]), None, None, (_lists(xs, sizes), _lists(ys, sizes))))
+    knots = np.flatnonzero(ring & knotted)
+    loops = [(k, loop) for k in knots for loop in simple_loops(list(zip(*(v[turns[number == k]].tolist() for v in (end_x, end_y)))))]
+    if loops:
+        of = heads[[k for k, _ in loops]]
+        sizes = np.array([len(loop) for _, loop in loops])
+        flat = np.array([c for _, loop in loops for c in loop])
+        found.append((RING, *own_face(of), None, None, (_lists(flat[:, 0], sizes), _lists(flat[:, 1], sizes))))
+    return found
 
 
 def vectorize(face_pixels: DataFrame, limit: DataFrame | int = 0, side: int = SIDE) -> DataFrame:

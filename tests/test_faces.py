@@ -4,7 +4,9 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from slopeweave.functions.rings import polygon_area, ring_area
@@ -28,6 +30,20 @@ def block(x0, x1, y0, y1, face=0):
     return {(x, y): face for x in range(x0, x1) for y in range(y0, y1)}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.permutations(list(range(14))), st.sets(st.integers(0, 13)))
+def test_chains(order, ends):
+    """Chains of a permutation, some of whose links are cut: walking from the first member ends at the item after as many steps as its place says."""
+    follow = np.array([-1 if i in ends else j for i, j in enumerate(order)])
+    first, place, closed = faces.chains(follow)
+    for item in range(14):
+        walk = [first[item]]
+        while follow[walk[-1]] >= 0 and follow[walk[-1]] != walk[0]:
+            walk.append(follow[walk[-1]])
+        assert walk[place[item]] == item and closed[item] == (follow[walk[-1]] == walk[0])
+        assert first[item] == min(walk) if closed[item] else not (follow == first[item]).any()
+
+
 def test_square(spark):
     (row,) = traced(spark, block(3, 5, 2, 4))
     assert row["rings"] == [[[3, 2], [5, 2], [5, 4], [3, 4], [3, 2]]]
