@@ -223,7 +223,14 @@ def k3_overwrite(spark, d):
 
 @query("SELECT count(DISTINCT l_suppkey) AS tiles FROM lineitem")
 def k4_processed_count(spark, d):
-    return fx.points(spark, d).agg(F.countDistinct("tile_id").alias("tiles"))
+    return spark.createDataFrame([(tables.processed_count(fx.points(spark, d)),)], "tiles long")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS param_id, round(avg(c_acctbal), 4) AS score FROM customer GROUP BY c_nationkey")
+def k5_collect_scores(spark, d):
+    """A score for each nation, through the driver."""
+    scores = fx.table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("param_id")).agg(F.avg("c_acctbal").alias("score"))
+    return spark.createDataFrame(scoring.collect_scores(scores), "param_id long, score double").withColumn("score", F.round("score", 4))
 
 
 # --- projections ------------------------------------------------------------------------
@@ -709,6 +716,12 @@ def u3_minus(spark, d):
                          fx.table(spark, d, "orders").select(F.col("o_custkey").alias("key")), ["key"])
 
 
+@query("SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+def u3_minus_some(spark, d):
+    return ranking.minus(fx.table(spark, d, "customer").select(F.col("c_custkey").alias("key")),
+                         fx.table(spark, d, "orders").filter("o_totalprice > 250000").select(F.col("o_custkey").alias("key")), ["key"])
+
+
 # --- iterative operators ----------------------------------------------------------------
 
 @query("SELECT tile_id, cell_id, region_id, anchor FROM region_cells8")

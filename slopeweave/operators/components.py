@@ -13,34 +13,39 @@ def components(edges: DataFrame, scope: list[str]) -> DataFrame:
     node of the component.
 
     Every round hooks each node to its least neighbour and contracts the edges, so their
-    number falls in every round and so does that of the nodes. Edges are in the scope's own
+    number falls in every round and so does that of the nodes. The hooks of each round are kept; at the end each round's are led on to where the later rounds'
+    lead, from the last round, which has the fewest, to the first, and only then all nodes look up their root, once. Edges are in the scope's own
     numbering; components do not cross scopes.
     """
     ends = [*scope, "a", "b"]
     edges = cut(edges.select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                 .filter("a <> b").distinct(), "edges")
-    nodes = cut(edges.select(*scope, F.explode(F.array("a", "b")).alias("node")).distinct()
-                .withColumn("root", F.col("node")), "nodes")
+    nodes = edges.select(*scope, F.explode(F.array("a", "b")).alias("root")).distinct()
+    rounds = []
     while True:
         both = edges.unionByName(edges.select(*scope, F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = cut(both.groupBy(*scope, F.col("a").alias("root"))
                     .agg(F.min("b").alias("parent")).filter("parent < root"), "hooks")
         hooks = _to_tops(hooks, scope)
-        nodes = cut(_relabel(nodes, hooks, scope, "root"), "nodes")
+        rounds.append(hooks)
         moved = _relabel(_relabel(edges, hooks, scope, "a"), hooks, scope, "b")
         edges, seen = cut_counting(
             moved.filter("a <> b")
             .select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct().select(*ends), "edges", left=F.count(F.lit(1)))
         if not seen["left"]:
-            return nodes
+            break
+    tops = rounds.pop()
+    while rounds:
+        tops = cut(_relabel(rounds.pop(), tops.withColumnRenamed("parent", "_next"), scope, "parent", "_next").unionByName(tops), "tops")
+    return _relabel(nodes.withColumn("node", F.col("root")), tops, scope, "root").select(*scope, "node", "root")
 
 
-def _relabel(df: DataFrame, hooks: DataFrame, scope: list[str], name: str) -> DataFrame:
-    """Replace ``name`` by its parent where it has one."""
+def _relabel(df: DataFrame, hooks: DataFrame, scope: list[str], name: str, to: str = "parent") -> DataFrame:
+    """Replace ``name`` by what it is hooked to, ``to``, where it is."""
     parents = hooks.withColumnRenamed("root", name)
     return (attach(df, parents, [*scope, name], "left")
-            .withColumn(name, F.coalesce("parent", name)).select(*df.columns))
+            .withColumn(name, F.coalesce(to, name)).select(*df.columns))
 
 
 def _to_tops(hooks: DataFrame, scope: list[str]) -> DataFrame:
