@@ -123,7 +123,7 @@ def test_a_hot_key_is_split_where_the_small_side_is_not_broadcast(spark, how):
     broadcast = attach(big, small, ["k"], how)
     expected = order(broadcast)
     assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().toString()
-    before = {k: spark.conf.get(k) for k in SPLIT}
+    before = {k: spark.conf.get(k, None) for k in SPLIT}
     try:
         for k, v in SPLIT.items():
             spark.conf.set(k, v)
@@ -132,7 +132,7 @@ def test_a_hot_key_is_split_where_the_small_side_is_not_broadcast(spark, how):
         assert "skew=true" in shuffled._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_positions_in_a_hot_group(spark):
