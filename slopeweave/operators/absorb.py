@@ -135,6 +135,9 @@ def absorb_small(small: DataFrame, large: DataFrame, band: int = BAND) -> DataFr
 
 def paint(cells: DataFrame, faces: DataFrame) -> DataFrame:
     """Face colour of every cell, 0 where there is no face. ``cells`` is ``(param_id, tile_id,
-    cell_id)``; ``faces`` adds ``color``."""
-    return (cells.join(faces.select(*SCOPE, "cell_id", "color"), [*SCOPE, "cell_id"], "left")
+    cell_id)``; ``faces`` adds ``color``.
+
+    Both have a row for each cell, so they are merged: Spark may take generated or well compressed rows for few and would send
+    them all to the driver."""
+    return (cells.join(faces.select(*SCOPE, "cell_id", "color").hint("merge"), [*SCOPE, "cell_id"], "left")
             .withColumn("color", F.coalesce("color", F.lit(0))))

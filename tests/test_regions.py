@@ -261,3 +261,11 @@ def test_paint(spark):
     cells = spark.createDataFrame([(0, "t", 1), (0, "t", 2)], "param_id INT, tile_id STRING, cell_id BIGINT")
     faces = spark.createDataFrame([(0, "t", 2, 99)], "param_id INT, tile_id STRING, cell_id BIGINT, color INT")
     assert {r["cell_id"]: r["color"] for r in absorb.paint(cells, faces).collect()} == {1: 0, 2: 99}
+
+
+def test_generated_cells_are_painted_by_a_merge(spark):
+    cells = spark.range(3).selectExpr("0 AS param_id", "CAST(id AS STRING) AS tile_id", "explode(sequence(0L, 9L)) AS cell_id")
+    colored = cells.filter("tile_id = '1' AND cell_id < 4").selectExpr("*", "CAST(cell_id + 1 AS INT) AS color")
+    painted = absorb.paint(cells, colored)
+    assert sorted(r["color"] for r in painted.collect()) == [0] * 26 + [1, 2, 3, 4]
+    assert "Broadcast" not in painted._jdf.queryExecution().executedPlan().toString()
