@@ -100,7 +100,8 @@ def resample(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     """Nearest-cell resampling from ``src_w`` x ``src_h`` to ``w`` x ``h``.
 
     Every source pixel is sent to the targets that take it, so nothing is joined but the
-    sizes, a written table ``(tile_id, src_w, src_h, w, h)``.
+    sizes, a written table ``(tile_id, src_w, src_h, w, h)``. How the sizes are joined goes by their
+    number: Spark may take generated or well compressed pixels for the smaller side and would send those to the driver.
     """
     others = [c for c in pixels.columns if c not in CELL]
 
@@ -110,7 +111,9 @@ def resample(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
 
     x0, x1 = targets("px", "w", "src_w")
     y0, y1 = targets("py", "h", "src_h")
-    return (attach(pixels, sizes.select("tile_id", "src_w", "src_h", "w", "h"), ["tile_id"])
+    few = sizes.limit(TILES_TO_SEND + 1).count() <= TILES_TO_SEND
+    named = sizes.select("tile_id", "src_w", "src_h", "w", "h").hint("broadcast" if few else "merge")
+    return (attach(pixels, named, ["tile_id"])
             .select("tile_id", *others, x0.cast("int").alias("_x0"), x1.cast("int").alias("_x1"),
                     y0.cast("int").alias("_y0"), y1.cast("int").alias("_y1"))
             .filter("_x0 <= _x1 AND _y0 <= _y1")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import fixtures as fx
 from slopeweave.functions import cells as fc
 from slopeweave.operators import grid, ranking
 from slopeweave.operators.joins import attach
@@ -63,6 +64,32 @@ def test_resample_takes_the_nearest_source(spark):
         assert got == {x: int((x + 0.5) * w / big) for x in range(big)}
 
 
+@pytest.mark.parametrize("sent, join", [(100_000, "BuildRight"), (2, "SortMergeJoin")])
+def test_generated_pixels_are_never_sent(spark, monkeypatch, sent, join):
+    monkeypatch.setattr(grid, "TILES_TO_SEND", sent)
+    sizes = cut(spark.range(500).selectExpr("CAST(id AS STRING) AS tile_id", "30 AS src_w", "1 AS src_h", "15 AS w", "1 AS h"))
+    pixels = spark.range(2).selectExpr("CAST(id AS STRING) AS tile_id", "explode(sequence(0, 29)) AS px", "0 AS py")
+    taken = grid.resample(pixels, sizes)
+    assert sorted((r["tile_id"], r["px"]) for r in taken.collect()) == [(t, x) for t in "01" for x in range(15)]
+    plan = taken._jdf.queryExecution().executedPlan().toString()
+    assert join in plan and "BuildLeft" not in plan
+
+
+def test_a_task_aggregates_a_bounded_number_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(grid, "CELLS_AT_ONCE", 10)
+    rows = square(spark)
+    tiles = cut(grid.grid_size(grid.extents(rows)))
+    for made in (grid.height_grid(rows, tiles), grid.dem_pixels(rows, tiles)):
+        assert made.count() == 100 and made.rdd.getNumPartitions() == 10
+
+
+def test_pixels_of_the_fixtures_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1, 21).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(fx, "PIXELS_AT_ONCE", 2000)
+    pixels = fx.raster(spark, str(tmp_path))
+    assert pixels.count() == 20 * 900 and pixels.rdd.getNumPartitions() == 9
+
+
 def test_band_and_intensity(spark):
     df = spark.createDataFrame([("t", 0, 0, 0x00102030 - 16777216)], tables.PIXELS)
     row = df.select(fc.band(F.col("argb"), 0x102030).alias("hit"), fc.band(F.col("argb"), 1).alias("miss"),
