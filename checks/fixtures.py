@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slopeweave.session import scratch_path
@@ -11,6 +15,7 @@ from slopeweave.sources.tables import params_df
 # Fixed values of the fixtures.
 IMAGE = 30          # raster and outline are IMAGE x IMAGE pixels
 PIXELS_AT_ONCE = 1 << 20    # pixels that one task makes, about
+NO_TILE = "__HIVE_DEFAULT_PARTITION__"    # file name of rows without a tile, as Spark names their folder
 BORDER = 3          # pixels around the roof
 CELL = 0.5          # map units per pixel
 PARAM_ROWS = [
@@ -94,23 +99,54 @@ def roof_params_df(spark: SparkSession) -> DataFrame:
     return params_df(spark, ROOF_ROWS)
 
 
+def _writer(root: str, suffix: str):
+    """Write runs of rows ``(tile_id, value)`` as the lines of ``<tile><suffix>``, one file open at a time."""
+    def write(batches):
+        files, base = fs.FileSystem.from_uri(root)
+        open_name, out = None, None
+        for batch in batches:
+            for tile, value in zip(batch["tile_id"].to_pylist(), batch["value"].to_pylist()):
+                name = NO_TILE if tile is None else tile
+                if name != open_name:
+                    if out is not None:
+                        out.close()
+                    open_name, out = name, files.open_output_stream(f"{base}/{name}{suffix}")
+                out.write(f"{'' if value is None else value}\n".encode())
+        if out is not None:
+            out.close()
+        yield pa.record_batch({"tile_id": pa.array([], pa.string())})
+
+    return write
+
+
 def _write_named(spark: SparkSession, lines: DataFrame, root: str, suffix: str) -> str:
     """Write ``(tile_id, place, value)`` as one text file per tile, named by the tile.
 
-    Spark writes a folder per tile; the files are then given their names.
+    The tasks write and name the files, so that nothing is done file by file on the driver. Where they cannot reach ``root`` by
+    themselves, Spark writes a folder per tile; the files are then given their names.
     """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_lines = lines.repartition(parts, "tile_id").sortWithinPartitions("tile_id", "place").select("tile_id", "value")
+    if files.getUri().getScheme() == "file":
+        local = files.makeQualified(path).toUri().getPath()
+        sorted_lines.mapInArrow(_writer(f"file://{quote(local)}", suffix), "tile_id STRING").foreach(lambda row: None)
+        return root
+    return _write_renamed(spark, sorted_lines, files, root, suffix)
+
+
+def _write_renamed(spark: SparkSession, sorted_lines: DataFrame, files, root: str, suffix: str) -> str:
+    """The same by way of a folder per tile, on any file system that Spark writes to."""
     staged = scratch_path(spark, "staged")
-    (lines.repartition("tile_id").sortWithinPartitions("tile_id", "place").select("tile_id", "value")
-     .write.partitionBy("tile_id").text(staged))
-    jvm = spark.sparkContext._jvm
-    source = jvm.org.apache.hadoop.fs.Path(staged)
-    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(jvm.org.apache.hadoop.fs.Path(root))
-    for folder in files.listStatus(source):
+    sorted_lines.write.partitionBy("tile_id").text(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in files.listStatus(path(staged)):
         name = folder.getPath().getName()
         if name.startswith("tile_id="):
             part = files.listStatus(folder.getPath())[0].getPath()
-            files.rename(part, jvm.org.apache.hadoop.fs.Path(f"{root}/{name.split('=', 1)[1]}{suffix}"))
+            files.rename(part, path(f"{root}/{name.split('=', 1)[1]}{suffix}"))
     return root
 
 

@@ -192,3 +192,21 @@ def test_dem_tiles_are_replaced(spark, tmp_path):
     tables.write_dem(spark.createDataFrame([("b", 0, 0, 3)], tables.PIXELS), path)
     assert sorted(tuple(r) for r in tables.read_dem(spark, path).collect()) == [("a", 0, 0, 1), ("b", 0, 0, 3)]
     assert tables.processed_count(first) == 2
+
+
+def test_files_are_named_by_their_tiles(spark, tmp_path, monkeypatch):
+    rows = [("a", 2, "y"), ("b", 1, "z"), ("a", 1, "x"), (None, 1, "n"), ("c d", 1, None), ("é", 1, "ä")]
+    lines = spark.createDataFrame(rows, "tile_id STRING, place BIGINT, value STRING")
+    monkeypatch.setattr(fx, "_write_renamed", None)       # nothing is renamed file by file
+    folder = tmp_path / "with space"
+    assert fx._write_named(spark, lines, f"file://{folder}", ".txt") == f"file://{folder}"
+    assert {f.name: f.read_text() for f in folder.iterdir()} == {
+        "a.txt": "x\ny\n", "b.txt": "z\n", "__HIVE_DEFAULT_PARTITION__.txt": "n\n", "c d.txt": "\n", "é.txt": "ä\n"}
+
+
+def test_files_elsewhere_are_renamed(spark, tmp_path):
+    lines = spark.createDataFrame([("a", 2, "y"), ("b", 1, "z"), ("a", 1, "x")], "tile_id STRING, place BIGINT, value STRING")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(tmp_path))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fx._write_renamed(spark, lines.repartition(2, "tile_id").sortWithinPartitions("tile_id", "place").select("tile_id", "value"), files, str(tmp_path), ".txt")
+    assert {f.name: f.read_text() for f in tmp_path.glob("*.txt")} == {"a.txt": "x\ny\n", "b.txt": "z\n"}
