@@ -80,7 +80,8 @@ def runs(docs: DataFrame, keep: str = "max", whole: bool = True) -> DataFrame:
                             "top": F.row_number().over(both.orderBy(
                                 F.desc_nulls_last("best") if keep == "max" else F.asc_nulls_last("best"), "salt")) == 1})
               .select("rest", "salt", "digest", "keep_id", "group_size", "top"))
-    rest = (pieces.join(joined, ["rest", "salt", "digest"])
+    # Many copies of a text make a small file, so Spark would take the written pieces for few and send their texts to every executor.
+    rest = (pieces.hint("merge").join(joined, ["rest", "salt", "digest"])
             .select("row", "norm", "keep_id", "group_size", (F.col("lead") & F.col("top")).alias("first")))
     return grouped.unionByName(rest)
 

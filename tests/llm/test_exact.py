@@ -52,3 +52,13 @@ def test_very_long_texts(documents):
 @given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 9)), st.one_of(st.none(), st.text("aAbBéÉ", max_size=2))), max_size=30))
 def test_random_rows(documents, rows):
     check(documents(rows), rows)
+
+
+def test_copies_that_make_a_small_file_are_not_broadcast(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "CASE WHEN id % 4 > 0 THEN repeat('Copy ', 500) ELSE concat('one ', id) END AS text")
+    found = exact.groups(docs)
+    rows = found.collect()
+    assert len(rows) == 2000 and sum(r["kept"] for r in rows) == 501 and max(r["group_size"] for r in rows) == 1500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "salt#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
