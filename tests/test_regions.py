@@ -40,6 +40,24 @@ def test_a_long_chain_is_one_component(spark):
     assert got.select("root").distinct().collect()[0][0] == 0 and got.count() == 301
 
 
+def test_components_of_whole_scopes_take_one_pass(spark, monkeypatch):
+    """Ranges, chunks and rounds give the same roots, and only scopes at the ends of tasks and large ones take rounds."""
+    rng = random.Random(8)
+    edges = [(s, f"t{s % 7}", rng.randrange(40), rng.randrange(40)) for s in range(60) for _ in range(30)]
+    edges += [(99, "big", i, i + 1) for i in range(900)]
+    df = spark.createDataFrame(edges, "s INT, t STRING, a BIGINT, b BIGINT")
+    want = {(r["s"], r["t"], r["node"]): r["root"] for r in components._in_rounds(df, ["s", "t"]).collect()}
+    seen = []
+    rounds = components._in_rounds
+    monkeypatch.setattr(components, "_in_rounds", lambda rest, scope: seen.append({r["s"] for r in rest.select("s").collect()}) or rounds(rest, scope))
+    for most in (1 << 20, 100, 7):
+        monkeypatch.setattr(components, "EDGES_AT_ONCE", most)
+        rows = components.components(df, ["s", "t"]).collect()
+        assert len(rows) == len(want) and {(r["s"], r["t"], r["node"]): r["root"] for r in rows} == want
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 99 in seen[1] and all(len(s) <= 2 * parts + 1 for s in seen)
+
+
 def plane_region(ident, cx, cy, size, gx, gy):
     """Sums of a region of ``size`` cells around (cx, cy) on the plane gx * x + gy * y."""
     side = math.isqrt(size)
