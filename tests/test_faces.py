@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -308,3 +309,20 @@ def test_to_crs(spark):
     row = faces.to_crs(df, ref).first()
     assert row["srid"] == 0
     assert row["rings"][0][:3] == [[100.0, 50.0], [101.0, 50.0], [101.25, 49.5]]
+
+
+def test_a_document_is_sorted_by_many_tasks_and_has_one_file(spark, tmp_path):
+    df = features(spark, [("a/%b 1", i // 2, 1, float(i), 1.0) for i in range(4000)] + [("é", i, 0, 1.0, 1.0) for i in range(3)])
+    df = df.unionByName(df.filter("feature_id = 1999").withColumns({"feature_id": F.lit(None).cast("bigint"), "slope": F.lit(-1.0)}))
+    plan = geojson.lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\((.*?) ASC", plan)
+    assert windows and all(w.count("feature_id") == 2 for w in windows), "numbered within a whole document"
+    for _ in range(2):
+        geojson.write_geojson(df.repartition(5), str(tmp_path))
+        docs = written(tmp_path)
+        assert sorted(len(d["features"]) for d in docs.values()) == [3, 4002]
+        ids = [f["id"] for d in docs.values() for f in d["features"] if len(d["features"]) > 3]
+        assert ids == [None, None, *[str(i // 2) for i in range(4000)]]
+        back = geojson.read_features(spark, str(tmp_path), by_folder=True, attributes=True)
+        assert back.count() == 4005 and back.filter("apn = 'a/%b 1'").agg(F.sum("slope")).first()[0] == sum(range(4000)) - 2
+    assert not [f for f in tmp_path.rglob("_whole*")]
