@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slopeweave.functions.rings import polygon_area, ring_area
-
+from slopeweave.session import cut
 
 
 def _explode_range(df: DataFrame, low: Column, high: Column, name: str, run: int = 4096) -> DataFrame:
@@ -99,7 +99,8 @@ def box_pairs(gold: DataFrame, result: DataFrame, gold_ids: list[str], result_id
         wide = _explode_range(placed, at(F.col(f"{prefix}x0")), at(F.col(f"{prefix}x1")), "sx")
         return _explode_range(wide, at(F.col(f"{prefix}y0")), at(F.col(f"{prefix}y1")), "sy").drop("home")
 
-    g, r = boxes(gold, gold_ids, "g"), boxes(result, result_ids, "r")
+    # Each side is read several times below, and its bounds are few bytes.
+    g, r = cut(boxes(gold, gold_ids, "g"), "boxes"), cut(boxes(result, result_ids, "r"), "boxes")
     # A few dozen at most: each level is twice the one before.
     levels = sorted(x[0] for x in g.select("home").union(r.select("home")).distinct().collect())
     every = F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))
@@ -152,8 +153,11 @@ def overlap_pairs(gold: DataFrame, result: DataFrame, gold_ids: list[str], resul
     high = F.least(F.greatest("gay", "gby"), F.greatest("ray", "rby"), (F.col("row") + 1) * cell)
     x_at = lambda p, y: F.col(f"{p}ax") + F.try_divide(y - F.col(f"{p}ay"), F.col(f"{p}by") - F.col(f"{p}ay")) * (F.col(f"{p}bx") - F.col(f"{p}ax"))
     apart = lambda y: x_at("g", y) - x_at("r", y)
-    shared = F.when((F.col("gway") != 0) & (F.col("rway") != 0) & (high > low),
-                    -F.col("gway") * F.col("rway") * _both_positive(apart(low), apart(high), high - low)).otherwise(0.0)
+    crossing = (F.col("gway") != 0) & (F.col("rway") != 0) & (F.col("_high") > F.col("_low"))
+    shared = F.when(crossing, -F.col("gway") * F.col("rway") * _both_positive(F.col("_first"), F.col("_last"), F.col("_high") - F.col("_low"))).otherwise(0.0)
+    # Step by step, so that a height and a distance are worked out once each.
+    met = met.withColumns({"_low": low, "_high": high})
+    met = met.withColumns({"_first": F.when(crossing, apart(F.col("_low"))), "_last": F.when(crossing, apart(F.col("_high")))})
     summed = met.groupBy(*ids).agg(F.sum(shared).alias("overlap"), F.max(_touch()).alias("touch"))
     # Rounding errors of the sum are far below this share of a cell.
     some = F.col("overlap") > 1e-9 * cell * cell
@@ -189,6 +193,8 @@ def evaluate(gold: DataFrame, result: DataFrame, cell: float, scope: list[str] |
     scope = scope or []
     shared = [c for c in scope if c in gold.columns]
     gold_ids, result_ids = [*shared, "gold_id"], [*scope, "result_id"]
+    # Each side is read by some ten steps, so what makes the faces runs once.
+    gold, result = cut(gold.select(*gold_ids, "rings"), "gold"), cut(result.select(*result_ids, "rings"), "result")
     gold_area = gold.select(*gold_ids, polygon_area(F.col("rings")).alias("gold_area"))
     result_area = result.select(*result_ids, polygon_area(F.col("rings")).alias("result_area"))
     pairs = overlap_pairs(gold, result, gold_ids, result_ids, cell, touching)
