@@ -24,7 +24,7 @@ STEPS, REMEMBERED = 50, 6
 # A step that lowers the sum by less than this share of it is the last.
 ENOUGH = 2e-3
 # Documents of the fit that a task holds at once.
-ROWS_AT_ONCE = 500
+ROWS_AT_ONCE = 100
 THRESHOLD = 0.3
 
 
