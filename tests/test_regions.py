@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from slopeweave.operators import absorb, components, merging, regions
+from slopeweave.operators import absorb, components, growth, merging, regions, scoring
 from slopeweave.session import cut
 from slopeweave.sources.tables import clean_params, params_df
 
@@ -58,6 +58,27 @@ def test_components_of_whole_scopes_take_one_pass(spark, monkeypatch):
     assert 99 in seen[1] and all(len(s) <= 2 * parts + 1 for s in seen)
 
 
+def test_pairs_that_carry_their_first_cell_take_one_join_less(spark):
+    cells = spark.range(30).selectExpr("'t' AS tile_id", "CAST(id % 6 AS INT) AS px", "CAST(id DIV 6 AS INT) AS py", "id % 4 > 0 AS in_mask",
+                                       "id * 0.1D AS nx", "id * 0.2D AS ny", "1.0D AS nz", "id / 30 AS ncurv", "id * 2.0D AS intensity").filter("in_mask")
+    cells, tiles = cut(cells), cut(spark.sql("SELECT 't' AS tile_id, 6 AS w, 5 AS h"))
+    plain = growth.edge_attrs(growth.knn_cells(cells, tiles, 8), cells)
+    carried = growth.edge_attrs(growth.knn_cells(cells, tiles, 8, growth.EDGE_VALUES), cells)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(carried) == joins(plain) - 1
+    rows = lambda df: sorted(map(tuple, df.select(sorted(plain.columns)).collect()))
+    assert rows(carried) == rows(plain) and len(rows(plain)) > 50
+
+
+def test_faces_are_made_once_for_a_score(spark):
+    ring = lambda i: [[[i, 0.0], [i + 0.5, 0.0], [i + 0.5, 1.0], [i, 1.0], [i, 0.0]]]
+    made = lambda name: spark.createDataFrame([(i, ring(float(i))) for i in range(20)], f"{name} INT, rings ARRAY<ARRAY<ARRAY<DOUBLE>>>")
+    score = scoring.evaluate(made("gold_id"), made("result_id").filter("result_id < 15"), 0.5)
+    plan = score._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert score.first()[0] == pytest.approx(5 / 35)
+
+
 def plane_region(ident, cx, cy, size, gx, gy):
     """Sums of a region of ``size`` cells around (cx, cy) on the plane gx * x + gy * y."""
     side = math.isqrt(size)
