@@ -78,7 +78,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, smoothi
 
 
 def _loss(seen: DataFrame, weights: np.ndarray, intercept: float) -> tuple[float, np.ndarray, float]:
-    """Mean logistic loss of the rows ``grams, toxic``, and its derivatives by each bucket's weight and by the intercept. One job; a part sends one row."""
+    """Mean logistic loss of the rows ``grams, toxic``, and its derivatives by each bucket's weight and by the intercept. One job; at most ``FIT_PARTS`` tasks
+    send a row each, into however many pieces Spark cuts the files of ``seen``."""
     shared = seen.sparkSession.sparkContext.broadcast((weights, intercept))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,13 +93,17 @@ def _loss(seen: DataFrame, weights: np.ndarray, intercept: float) -> tuple[float
             error = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
             gradient += np.bincount(grams, weights=error[row], minlength=len(w))
             sums += np.logaddexp(0, (1 - 2 * y) * margin).sum(), error.sum(), len(y)
+        if not sums[2]:
+            return
         yield pa.RecordBatch.from_arrays([pa.array([gradient.astype("<f4").tobytes()], pa.binary()), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["gradient", "sums"])
 
     with rows_per_batch(seen.sparkSession, ROWS_AT_ONCE):
-        rows = seen.mapInArrow(part, "gradient binary, sums array<double>").toArrow()
-    shared.unpersist()
+        rows = seen.coalesce(FIT_PARTS).mapInArrow(part, "gradient binary, sums array<double>").toArrow()
+    shared.destroy()
     loss, by_intercept, n = np.sum(rows["sums"].to_pylist(), axis=0)
-    gradient = np.sum([np.frombuffer(g.as_buffer(), "<f4") for g in rows["gradient"]], axis=0)
+    gradient = np.zeros(len(weights), np.float32)
+    for g in rows["gradient"]:
+        gradient += np.frombuffer(g.as_buffer(), "<f4")
     return loss / n, gradient / np.float32(n), by_intercept / n
 
 

@@ -148,3 +148,17 @@ def test_gumbel_keys_follow_the_weights(spark, documents):
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     top = ids.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))).orderBy(F.desc("key")).limit(400).toPandas()
     assert 0.74 < (top["doc_id"] % 2 == 0).mean() < 0.84
+
+
+def test_toxicity_sends_few_gradients(spark, monkeypatch):
+    """However small the pieces that Spark reads the rows of the fit in, a step sends a row for each of FIT_PARTS tasks at most."""
+    rows = [([i % 7, 7 + i % 5], int(i % 3 == 0)) for i in range(60)]
+    seen = spark.createDataFrame(rows, "grams array<int>, toxic int").repartition(40)
+    sent, whole = [], type(seen).toArrow
+    monkeypatch.setattr(type(seen), "toArrow", lambda df: sent.append(whole(df)) or sent[-1])
+    loss, gradient, by_intercept = toxicity._loss(seen, np.zeros(12, np.float32), 0.0)
+    assert seen.rdd.getNumPartitions() == 40 and sent[0].num_rows <= toxicity.FIT_PARTS
+    want = np.zeros(12)
+    for grams, toxic in rows:
+        want[grams] += (0.5 - toxic) / len(rows)
+    assert loss == pytest.approx(math.log(2)) and gradient == pytest.approx(want, abs=1e-6) and by_intercept == pytest.approx(0.5 - 20 / 60)
