@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from slopeweave.functions.cells import cell_px, cell_py
+from slopeweave.operators.blocks import by_group
 from slopeweave.operators.growth import SCOPE
 from slopeweave.operators.joins import attach
 from slopeweave.session import cut
@@ -130,7 +131,7 @@ def absorb_small(small: DataFrame, large: DataFrame, band: int = BAND) -> DataFr
     met = (rows(todo, SMALL, F.col("py"), none)
            .unionByName(rows(attach(big, asked, [*SCOPE, "band"], "left_semi"), LARGE, F.col("py"), F.col("face_id")))
            .unionByName(rows(carried, CARRIED, F.col("above.py"), F.col("above.face_id"), F.col("below.py"), F.col("below.face_id"))))
-    return cut(met.groupBy(*SCOPE, "band").applyInArrow(_absorb_band, _SCHEMA), "absorbed")
+    return cut(by_group(met, [*SCOPE, "band"], _absorb_band, _SCHEMA), "absorbed")
 
 
 def paint(cells: DataFrame, faces: DataFrame) -> DataFrame:

@@ -9,13 +9,17 @@ large its tile is.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 SIDE = 128
 ROWS_AT_ONCE = 2048
+# Rows of results that a task gathers from small groups before it sends them on.
+RESULTS_AT_ONCE = 1 << 14
 
 
 def reach(k: int, w: int, h: int) -> int:
@@ -64,6 +68,59 @@ def near_edge(halo: Column, side: int = SIDE) -> Column:
     return band("px") | band("py")
 
 
+def by_group(df: DataFrame, keys: list[str], report: Callable[[tuple, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``report(key, rows)`` gives for each group, with the columns of ``schema`` in their order. Rows without a key are a group, too.
+
+    The same as ``applyInArrow`` on the groups, which sends each group to Python and back as a stream of its own. Here a task's rows come in order of their groups
+    and are cut there, so many small groups go through in one batch; a task holds one group and one batch.
+    """
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cut_by_group(keys, report), schema)
+
+
+def _cut_by_group(keys: list[str], report: Callable[[tuple, pa.Table], pa.Table]):
+    def run(batches):
+        held, key, results, size = [], None, [], 0
+
+        def reported() -> None:
+            nonlocal held, size
+            results.append(report(key, pa.Table.from_batches(held)))
+            size += len(results[-1])
+            held = []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in keys]
+            first = tuple(c[0] for c in columns)
+            if held and [v.as_py() for v in first] != [v.as_py() for v in key]:
+                reported()
+            starts = _group_starts(columns)
+            for start, end in zip([0, *starts], [*starts, batch.num_rows]):
+                if start:
+                    reported()
+                if not held:
+                    key = tuple(c[start] for c in columns)
+                held.append(batch.slice(start, end - start))
+            if size >= RESULTS_AT_ONCE:
+                yield from pa.concat_tables(results).combine_chunks().to_batches()
+                results, size = [], 0
+        if held:
+            reported()
+        if size:
+            yield from pa.concat_tables(results).combine_chunks().to_batches()
+
+    return run
+
+
+def _group_starts(columns: list[pa.Array]) -> list[int]:
+    """Rows, but the first, that differ from the one before in any column."""
+    new = np.zeros(len(columns[0]) - 1, bool)
+    for column in columns:
+        code = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new |= code[1:] != code[:-1]
+    return (np.flatnonzero(new) + 1).tolist()
+
+
 class Window:
     """The cells of one block and of its surroundings, addressable by grid position."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from slopeweave.functions.cells import face_color
 from slopeweave.functions.rings import closed_ring, moved_rings, ring_area
-from slopeweave.operators.blocks import SIDE, Window, local_components
+from slopeweave.operators.blocks import SIDE, Window, by_group, local_components
 from slopeweave.operators.components import components
 from slopeweave.operators.growth import SCOPE
 from slopeweave.operators.joins import attach
@@ -187,7 +187,7 @@ def vectorize(face_pixels: DataFrame, limit: DataFrame | int = 0, side: int = SI
 
     placed = face_pixels.select(*SCOPE, "px", "py", "face_id", blocks("px").alias("bx")).select("*", blocks("py").alias("by"))
     report, seen = cut_counting(
-        placed.groupBy(*SCOPE, "bx", "by").applyInArrow(_trace_block(side), _REPORT), "traced",
+        by_group(placed, [*SCOPE, "bx", "by"], _trace_block(side), _REPORT), "traced",
         links=F.count_if(F.col("kind") == LINK), paths=F.count_if(F.col("kind") == PATH))
 
     def kind(which: int, *columns: str | Column) -> DataFrame:

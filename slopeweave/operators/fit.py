@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slopeweave.functions.planes import MOMENTS, with_plane
-from slopeweave.operators.blocks import SIDE, Window, nearest, reach, reach_column, with_blocks
+from slopeweave.operators.blocks import SIDE, Window, by_group, nearest, reach, reach_column, with_blocks
 from slopeweave.operators.joins import attach
 from slopeweave.session import cut
 
@@ -61,8 +61,7 @@ def local_moments(cells: DataFrame, tiles: DataFrame, knn: list[int], side: int
     widest = F.greatest(*[reach_column(F.lit(k), F.col("w"), F.col("h")) for k in [ks[0], *ks]])
     sizes = tiles.select("tile_id", "w", "h", widest.alias("halo"))
     placed = attach(cells.select("tile_id", "px", "py", "height", "in_mask", "intensity"), sizes, ["tile_id"])
-    return (with_blocks(placed, F.col("halo"), side).drop("halo")
-            .groupBy("tile_id", "bx", "by").applyInArrow(_block_moments(ks, side), _SCHEMA))
+    return by_group(with_blocks(placed, F.col("halo"), side).drop("halo"), ["tile_id", "bx", "by"], _block_moments(ks, side), _SCHEMA)
 
 
 def fit_planes(cells: DataFrame, tiles: DataFrame, knn: list[int], side: int = SIDE) -> DataFrame:

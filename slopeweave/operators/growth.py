@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slopeweave.functions.cells import cell_px, cell_py, seed_key, seed_parts
 from slopeweave.functions.planes import cosine
 from slopeweave.operators.blocks import (
-    SIDE, Window, local_components, near_edge, nearest, offsets, reach, reach_column, with_blocks)
+    SIDE, Window, by_group, local_components, near_edge, nearest, offsets, reach, reach_column, with_blocks)
 from slopeweave.operators.components import components
 from slopeweave.operators.joins import attach
 from slopeweave.session import cut, cut_counting
@@ -138,21 +138,29 @@ def _tested_pairs(px, py, own, k, w, h, normal, ncurv, light, loosest) -> tuple[
     empty = np.empty(0, dtype=np.int64)
     found = [(empty, empty, *[np.empty(0)] * 3)]
     window = Window(px, py, reach(k, w, h)) if own.any() else None
+    length = np.sqrt(sum(n * n for n in normal))
     for some, steps, used in nearest(px, py, np.arange(len(px)) if own.any() else empty, k, w, h):
         target = window.shifted(some, steps)
-        row, col = np.nonzero(used & (target >= 0))
-        u, v = some[row], target[row, col]
+        at = np.flatnonzero(used & (target >= 0))
+        u, v = some[at // len(steps)], target.ravel()[at].astype(np.int64)
         keep = (u != v) & (own[u] | own[v])
         u, v = u[keep], v[keep]
-        dot = sum(n[u] * n[v] for n in normal)
-        size = np.sqrt(sum(n[u] * n[u] for n in normal)) * np.sqrt(sum(n[v] * n[v] for n in normal))
-        cosine_ = dot / size
+        cosine_ = sum(n[u] * n[v] for n in normal) / (length[u] * length[v])
         some_set = cosine_ > loosest
         u, v = u[some_set], v[some_set]
         found.append((u, v, cosine_[some_set], np.abs(ncurv[v] - ncurv[u]), np.abs(light[v] - light[u])))
     return tuple(np.concatenate(columns) for columns in zip(*found))
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of a and b, in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def _grow_set(cell_id, own, u, v, cosine_, bend, shade, smoothness, curvature, color) -> tuple[np.ndarray, list]:
     """Which cells have a strong pair, and by kind of report its two columns, for one parameter set."""
     smooth = cosine_ > smoothness
@@ -166,12 +174,12 @@ def _grow_set(cell_id, own, u, v, cosine_, bend, shade, smoothness, curvature, c
     root = cell_id[local_components(su[both], sv[both], len(cell_id))]
     near, far = np.where(own[su], su, sv)[~both], np.where(own[su], sv, su)[~both]
     first = cell_id[near] < cell_id[far]
-    links = np.unique(np.stack([root[near[first]], cell_id[far[first]]]), axis=1)
+    links = _distinct(root[near[first]], cell_id[far[first]])
     weak = ~has_strong[wv]
     wu, wv = wu[weak], wv[weak]
     inner = own[wu] & has_strong[wu]
-    reached = np.unique(np.stack([cell_id[wv[inner]], root[wu[inner]]]), axis=1)
-    outside = np.unique(np.stack([cell_id[wv[~own[wu]]], cell_id[wu[~own[wu]]]]), axis=1)
+    reached = _distinct(cell_id[wv[inner]], root[wu[inner]])
+    outside = _distinct(cell_id[wv[~own[wu]]], cell_id[wu[~own[wu]]])
     mine = np.flatnonzero(own)
     return has_strong, [(cell_id[mine], root[mine]), links, reached, outside]
 
@@ -195,8 +203,7 @@ def grow_regions(cells: DataFrame, tiles: DataFrame, params: list, side: int = S
     halos = tiles.select("tile_id", "w", "h", every.alias("knn")).withColumn("halo", reach_column(F.col("knn"), F.col("w"), F.col("h")))
     placed = attach(cells.select("tile_id", "knn", "px", "py", "nx", "ny", "nz", *_CARRIED), halos, ["tile_id", "knn"])
     report, seen = cut_counting(
-        with_blocks(placed, F.col("halo"), side).drop("halo")
-        .groupBy("tile_id", "knn", "bx", "by").applyInArrow(_grow_block(sets, side), _REPORT),
+        by_group(with_blocks(placed, F.col("halo"), side).drop("halo"), ["tile_id", "knn", "bx", "by"], _grow_block(sets, side), _REPORT),
         "growth",
         links=F.count_if(F.col("kind") == LINK),
         reached=F.count_if(F.col("kind") == REACHED),

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,42 @@ def test_growth_against_brute_force(spark, seed, k):
     for side in (128, 5):
         got = growth.grow_regions(df.repartition(3), tiles, sets, side).collect()
         assert {(r["param_id"], r["cell_id"]): r["region_id"] for r in got} == expected and len(got) == len(expected)
+
+
+@pytest.mark.parametrize("batch,gathered", [(1, 4), (7, 1), (7, 1 << 14), (1000, 50)])
+def test_groups_are_cut_from_batches(spark, monkeypatch, batch, gathered):
+    monkeypatch.setattr(blocks, "RESULTS_AT_ONCE", gathered)
+    sizes = {(None, 1): 3, ("a", 1): 1, ("a", 2): 20, ("b", 1): 7, ("b", None): 2, (None, None): 9, ("c", 1): 64}
+    rows = [(*key, i) for key, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "tile_id STRING, bx INT, v BIGINT").repartition(3)
+
+    def report(key, part):
+        tile, bx = (v.as_py() for v in key)
+        assert set(part["tile_id"].to_pylist()) == {tile} and set(part["bx"].to_pylist()) == {bx}
+        # a group may have no result or several
+        times = 0 if len(part) == 7 else 2
+        return pa.table({"tile_id": pa.array([tile] * times, pa.string()), "bx": pa.array([bx] * times, pa.int32()),
+                         "n": pa.array([len(part)] * times, pa.int64()), "total": pa.array([sum(part["v"].to_pylist())] * times, pa.int64())})
+
+    # here, as the workers do not see what is patched
+    groups = blocks._cut_by_group(["tile_id", "bx"], report)
+    ordered = sorted(rows, key=lambda r: (r[0] or "", r[1] or 0))
+    table = pa.table({n: pa.array(c, t) for n, c, t in zip(("tile_id", "bx", "v"), zip(*ordered), (pa.string(), pa.int32(), pa.int64()))})
+    expected = sorted(((*key, n, n * (n - 1) // 2) for key, n in sizes.items() if n != 7 for _ in range(2)), key=str)
+    assert sorted((tuple(r.values()) for b in groups(table.to_batches(batch)) for r in b.to_pylist()), key=str) == expected
+    assert not list(groups(iter([]))) and not list(groups(table.slice(0, 0).to_batches()))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = blocks.by_group(df, ["tile_id", "bx"], report, "tile_id STRING, bx INT, n BIGINT, total BIGINT").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got), key=str) == expected
+
+
+def test_blocks_share_batches(spark):
+    """No stream of its own for each block, of which a table of small tiles has as many as tiles."""
+    cells = spark.createDataFrame([("t", 0, 0, 1.0, True, 0.0)], "tile_id STRING, px INT, py INT, height DOUBLE, in_mask BOOLEAN, intensity DOUBLE")
+    tiles = cut(spark.createDataFrame([("t", 2, 2)], "tile_id STRING, w INT, h INT"))
+    plan = fit.local_moments(cells, tiles, [3])._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
