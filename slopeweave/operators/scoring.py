@@ -1,7 +1,7 @@
 """Faces against ground truth, by the exact area of their overlap.
 
-The overlap of two faces is a sum over pairs of their edges. Edges are sent to the rows of a grid that they cross, and two faces whose boxes meet are
-joined row by row, so what is compared are the few edges of either face in one row. The grid only
+The overlap of two faces is a sum over pairs of their edges. Faces whose boxes meet are found by squares. Two faces of few edges are then compared as a whole. The edges
+of larger ones are sent to the rows of a grid that they cross and joined row by row, so what is compared are the few edges of either face in one row. The grid only
 deals out the work; it has no part in the result.
 """
 
@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slopeweave.functions.rings import polygon_area, ring_area
-from slopeweave.session import cut
+from slopeweave.session import cut, held
+
+# Edges of a face that move together, at most; those of a larger one are dealt to rows.
+FEW_EDGES = 64
+# Numbers that describe an edge.
+EDGE = ["ax", "ay", "bx", "by", "way"]
 
 
 def _explode_range(df: DataFrame, low: Column, high: Column, name: str, run: int = 4096) -> DataFrame:
@@ -80,35 +85,49 @@ def edges(features: DataFrame, ids: list[str], cell: float) -> DataFrame:
     return _explode_range(sides, F.floor(low / cell), F.floor(high / cell), "row").select(*ids, "row", "xa", "ya", "xb", "yb", "way")
 
 
-def box_pairs(gold: DataFrame, result: DataFrame, gold_ids: list[str], result_ids: list[str], cell: float) -> DataFrame:
-    """Faces whose bounds meet, with the heights ``y0, y1`` that they share.
+def edge_count() -> Column:
+    """Number of edges of a face."""
+    return F.coalesce(F.aggregate("rings", F.lit(0), lambda n, ring: n + F.greatest(F.size(ring) - 1, F.lit(0))), F.lit(0))
+
+
+def _few_edges(features: DataFrame, ids: list[str], name: str) -> DataFrame:
+    """Faces of few edges, as ``(ids, name)``: the numbers ``EDGE`` of all edges, one edge after the other."""
+    turned = F.transform("rings", lambda r, i: F.struct(r.alias("ring"), (F.signum(ring_area(r)) * F.when(i == 0, 1).otherwise(-1)).alias("turn")))
+    side = lambda turn: lambda p, q: F.array(p[0], p[1], q[0], q[1], -F.signum(q[1] - p[1]) * turn)
+    sides = F.transform(turned, lambda t: F.zip_with(F.slice(t.ring, 1, F.size(t.ring) - 1), F.slice(t.ring, 2, F.size(t.ring) - 1), side(t.turn)))
+    return features.filter(edge_count() <= FEW_EDGES).select(*ids, F.flatten(F.flatten(sides)).alias(name))
+
+
+def placed_boxes(features: DataFrame, ids: list[str], prefix: str, cell: float) -> DataFrame:
+    """Bounds of each face, the level where it is at home (see ``box_pairs``) and its number of edges."""
+    size = F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"), F.col(f"{prefix}y1") - F.col(f"{prefix}y0"), F.lit(cell))
+    found = _boxes(features.withColumn("edges", edge_count()), [*ids, "edges"], prefix)
+    return found.filter(F.col(f"{prefix}x0").isNotNull()).withColumn("home", F.ceil(F.log2(size / cell)).cast("int"))
+
+
+def box_pairs(g: DataFrame, r: DataFrame, g_levels: list[int], r_levels: list[int], gold_ids: list[str], result_ids: list[str], cell: float) -> DataFrame:
+    """Faces whose bounds meet, with the heights ``y0, y1`` that they share, from their placed bounds and the levels where they are at home.
 
     Squares of a cell's side, of twice that, and so on, are levels. A face is at home on the first level whose squares are as large as it, where
     it touches four at most. A pair is sought where the larger of the two is at home: there the smaller one is dealt to the squares it touches, too, and a
     square holds few faces that large. The pair is taken in the square with the lower left corner of what both share, which is only one.
     """
     scope = [c for c in gold_ids if c in result_ids]
-
-    def boxes(features: DataFrame, ids: list[str], prefix: str) -> DataFrame:
-        size = F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"), F.col(f"{prefix}y1") - F.col(f"{prefix}y0"), F.lit(cell))
-        return _boxes(features, ids, prefix).filter(F.col(f"{prefix}x0").isNotNull()).withColumn("home", F.ceil(F.log2(size / cell)).cast("int"))
-
     at = lambda v: F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))))
 
     def dealt(placed: DataFrame, prefix: str) -> DataFrame:
-        wide = _explode_range(placed, at(F.col(f"{prefix}x0")), at(F.col(f"{prefix}x1")), "sx")
-        return _explode_range(wide, at(F.col(f"{prefix}y0")), at(F.col(f"{prefix}y1")), "sy").drop("home")
-
-    # Each side is read several times below, and its bounds are few bytes.
-    g, r = cut(boxes(gold, gold_ids, "g"), "boxes"), cut(boxes(result, result_ids, "r"), "boxes")
-    # A few dozen at most: each level is twice the one before.
-    levels = sorted(x[0] for x in g.select("home").union(r.select("home")).distinct().collect())
-    every = F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))
-    home = lambda df: df.withColumn("level", F.col("home"))
-    above = lambda df, itself: df.withColumn("level", every).filter(F.col("level") >= F.col("home") if itself else F.col("level") > F.col("home"))
+        wide = _explode_range(placed.drop("edges"), at(F.col(f"{prefix}x0")), at(F.col(f"{prefix}x1")), "sx")
+        # There are several times as many rows as the written bounds suggest, too many to send to all tasks.
+        return _explode_range(wide, at(F.col(f"{prefix}y0")), at(F.col(f"{prefix}y1")), "sy").drop("home").hint("merge")
+
+    on = lambda df, levels: df.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
     keys = [*scope, "level", "sx", "sy"]
-    met = (dealt(home(g), "g").join(dealt(above(r, True), "r"), keys)
-           .unionByName(dealt(above(g, False), "g").join(dealt(home(r), "r"), keys)))
+    smaller = on(r, g_levels).filter(F.col("level") >= F.col("home"))
+    met = dealt(g.withColumn("level", F.col("home")), "g").join(dealt(smaller, "r"), keys)
+    if larger := [k for k in r_levels if k > min(g_levels, default=k)]:
+        smaller = on(g, larger).filter(F.col("level") > F.col("home"))
+        home = r.filter(F.col("home").isin(larger)).withColumn("level", F.col("home"))
+        met = met.unionByName(dealt(smaller, "g").join(dealt(home, "r"), keys))
     x0, y0 = F.greatest("gx0", "rx0"), F.greatest("gy0", "ry0")
     return (met.filter((x0 <= F.least("gx1", "rx1")) & (y0 <= F.least("gy1", "ry1")) & (at(x0) == F.col("sx")) & (at(y0) == F.col("sy")))
             .select(*gold_ids, *[c for c in result_ids if c not in scope], y0.alias("y0"), F.least("gy1", "ry1").alias("y1")))
@@ -145,18 +164,19 @@ def overlap_pairs(gold: DataFrame, result: DataFrame, gold_ids: list[str], resul
     """
     scope = [c for c in gold_ids if c in result_ids]
     ids = [*gold_ids, *[c for c in result_ids if c not in scope]]
-    named = lambda df, ids_, p: edges(df, ids_, cell).select(*ids_, "row", *[F.col(a + b).alias(p + b + a) for a in "xy" for b in "ab"], F.col("way").alias(p + "way"))
-    pairs = box_pairs(gold, result, gold_ids, result_ids, cell)
-    rows = _explode_range(pairs, F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell), "row").select(*ids, "row")
-    met = rows.join(named(gold, gold_ids, "g"), [*gold_ids, "row"]).join(named(result, result_ids, "r"), [*result_ids, "row"])
-    low = F.greatest(F.least("gay", "gby"), F.least("ray", "rby"), F.col("row") * cell)
-    high = F.least(F.greatest("gay", "gby"), F.greatest("ray", "rby"), (F.col("row") + 1) * cell)
+    # Each side's bounds are read several times and are few bytes; they are not needed beyond the pairs.
+    with held(placed_boxes(gold, gold_ids, "g", cell), "boxes") as g, held(placed_boxes(result, result_ids, "r", cell), "boxes") as r:
+        # A few dozen levels at most: each is twice the one before.
+        homes = [{x["home"]: x["most"] for x in side.groupBy("home").agg(F.max("edges").alias("most")).collect()} for side in (g, r)]
+        pairs = cut(box_pairs(g, r, *[sorted(h) for h in homes], gold_ids, result_ids, cell), "pairs")
+    met = _met_whole(pairs, gold, result, gold_ids, result_ids, ids)
+    if max([*homes[0].values(), *homes[1].values()], default=0) > FEW_EDGES:
+        met = met.unionByName(_met_by_rows(pairs, gold, result, gold_ids, result_ids, ids, cell))
     x_at = lambda p, y: F.col(f"{p}ax") + F.try_divide(y - F.col(f"{p}ay"), F.col(f"{p}by") - F.col(f"{p}ay")) * (F.col(f"{p}bx") - F.col(f"{p}ax"))
     apart = lambda y: x_at("g", y) - x_at("r", y)
     crossing = (F.col("gway") != 0) & (F.col("rway") != 0) & (F.col("_high") > F.col("_low"))
     shared = F.when(crossing, -F.col("gway") * F.col("rway") * _both_positive(F.col("_first"), F.col("_last"), F.col("_high") - F.col("_low"))).otherwise(0.0)
-    # Step by step, so that a height and a distance are worked out once each.
-    met = met.withColumns({"_low": low, "_high": high})
+    # Step by step, so that a distance is worked out once.
     met = met.withColumns({"_first": F.when(crossing, apart(F.col("_low"))), "_last": F.when(crossing, apart(F.col("_high")))})
     summed = met.groupBy(*ids).agg(F.sum(shared).alias("overlap"), F.max(_touch()).alias("touch"))
     # Rounding errors of the sum are far below this share of a cell.
@@ -165,6 +185,39 @@ def overlap_pairs(gold: DataFrame, result: DataFrame, gold_ids: list[str], resul
     return kept.select(*ids, F.when(some, F.col("overlap")).otherwise(0.0).alias("overlap"))
 
 
+_SIDES = [f"{p}{c}" for p in "gr" for c in EDGE]
+
+
+def _shared_heights() -> dict[str, Column]:
+    """Where the heights begin and end that two edges share."""
+    return {"_low": F.greatest(F.least("gay", "gby"), F.least("ray", "rby")), "_high": F.least(F.greatest("gay", "gby"), F.greatest("ray", "rby"))}
+
+
+def _met_whole(pairs: DataFrame, gold: DataFrame, result: DataFrame, gold_ids: list[str], result_ids: list[str], ids: list[str]) -> DataFrame:
+    """Pairs of edges of faces of few edges, with the heights ``_low, _high`` that they share. Pairs that share none are left out."""
+    # The sizes that Spark guesses for compressed rings are too low to go by: neither side is sent to the driver.
+    both = (pairs.select(*ids).join(_few_edges(gold, gold_ids, "_g").hint("merge"), gold_ids)
+            .join(_few_edges(result, result_ids, "_r").hint("merge"), result_ids))
+    of = lambda side: [F.get(f"_{side}", F.col("_at") + k).alias(f"{side}{c}") for k, c in enumerate(EDGE)]
+    # An empty array has no first edge, as the last step of a sequence up to it would be before its first.
+    starts = lambda side: F.explode(F.when(F.size(f"_{side}") > 0, F.sequence(F.lit(0), F.size(f"_{side}") - 1, F.lit(len(EDGE))))).alias("_at")
+    sides = both.select(*ids, "_g", "_r", starts("g")).select(*ids, "_r", *of("g"))
+    return (sides.select("*", starts("r")).select(*ids, *[f"g{c}" for c in EDGE], *of("r"))
+            .withColumns(_shared_heights()).filter("_low <= _high"))
+
+
+def _met_by_rows(pairs: DataFrame, gold: DataFrame, result: DataFrame, gold_ids: list[str], result_ids: list[str], ids: list[str], cell: float) -> DataFrame:
+    """The same, row by row of height ``cell``, of faces one of which at least has more edges. Heights are those within the row."""
+    few = edge_count() <= FEW_EDGES
+    named = lambda df, ids_, p: (edges(df, ids_, cell)
+                                 .select(*ids_, "row", *[F.col(a + b).alias(p + b + a) for a in "xy" for b in "ab"], F.col("way").alias(p + "way")).hint("merge"))
+    rows = _explode_range(pairs, F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell), "row").select(*ids, "row")
+    meet = lambda g, r: rows.join(named(g, gold_ids, "g"), [*gold_ids, "row"]).join(named(r, result_ids, "r"), [*result_ids, "row"])
+    met = meet(gold.filter(~few), result).unionByName(meet(gold.filter(few), result.filter(~few)))
+    within = {"_low": F.greatest("_low", F.col("row") * cell), "_high": F.least("_high", (F.col("row") + 1) * cell)}
+    return met.withColumns(_shared_heights()).withColumns(within).select(*ids, *_SIDES, "_low", "_high")
+
+
 def best_match(pairs: DataFrame, gold_ids: list[str], result_id: str = "result_id") -> DataFrame:
     """The result face with the largest overlap for every gold face; ties go to the last."""
     return pairs.groupBy(*gold_ids).agg(
@@ -199,7 +252,7 @@ def evaluate(gold: DataFrame, result: DataFrame, cell: float, scope: list[str] |
     result_area = result.select(*result_ids, polygon_area(F.col("rings")).alias("result_area"))
     pairs = overlap_pairs(gold, result, gold_ids, result_ids, cell, touching)
     match_ids = [*scope, "gold_id"]
-    best = best_match(pairs, match_ids).join(gold_area, gold_ids).join(result_area, result_ids)
+    best = best_match(pairs, match_ids).join(gold_area.hint("merge"), gold_ids).join(result_area.hint("merge"), result_ids)
     # To 9 places, so that what is left of a face without itself is 0. Of a face without area nothing can be left.
     left = lambda area: F.coalesce(F.greatest(F.round(1 - F.try_divide(F.col("overlap"), F.col(area)), 9), F.lit(0.0)), F.lit(0.0))
     leftover = (left("gold_area") + left("result_area")) / 2

@@ -5,12 +5,16 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_scratch: tempfile.TemporaryDirectory | None = None
 _shipped: set[str] = set()
+# Whether Spark drops the shuffle files of an execution when it ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
@@ -79,8 +83,35 @@ def cut_counting(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFram
     return _write_and_read(observed, label), seen.get
 
 
-def _write_and_read(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def held(df: DataFrame, label: str = "table") -> Iterator[DataFrame]:
+    """``cut`` for as long as the block lasts; what is made of the table must be written by its end."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    try:
+        yield _write_and_read(df, label, path)
+    finally:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write_and_read(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    spark = df.sparkSession
+    path = path or scratch_path(spark, label)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile needs its shuffle files no more when it is done, so they go then and not whenever the driver collects garbage."""
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)

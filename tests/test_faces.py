@@ -160,6 +160,29 @@ def test_overlap_of_any_polygons_is_exact(spark, cell, origin):
     assert all(got.get(k, 0.0) == pytest.approx(v, abs=tolerance) for k, v in expected.items())
 
 
+def test_edges_are_not_sent_to_the_driver(spark):
+    """Written boxes compress to next to nothing, so that Spark would take their edges for a small table."""
+    frame = lambda name: cut(spark.range(500).select(F.col("id").alias(name), F.expr(f"cast('{json.dumps([[[0, 0], [1, 0], [1, 1], [0, 0]]])}' as string)").alias("t"))
+                             .select(name, F.from_json("t", geojson.RINGS).alias("rings")), name)
+    found = scoring.overlap_pairs(frame("gold_id"), frame("result_id"), ["gold_id"], ["result_id"], 1.0)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 3, 5, 64])
+def test_large_faces_by_rows_and_small_ones_as_a_whole(spark, monkeypatch, few):
+    """Faces of few edges are compared as a whole, others row by row; repeated ids count as before by either way."""
+    monkeypatch.setattr(scoring, "FEW_EDGES", few)
+    polygon = lambda n, x: [[(x + 2 * math.cos(6.28 * i / n), 2 * math.sin(6.28 * i / n)) for i in [*range(n), 0]]]
+    gold, result = [polygon(3, 0), polygon(5, 1), polygon(9, 2)], [polygon(4, 1.5), polygon(9, 0.5), polygon(3, 9)]
+    expected = {(i, j): plain_area(clipped(a[0][:-1], b[0][:-1])) for i, a in enumerate(gold) for j, b in enumerate(result)}
+    for times in (1, 2):
+        frames = [feature_frame(spark, side, name) for side, name in ((gold, "gold_id"), (result, "result_id"))]
+        frames[0] = frames[0].unionByName(frames[0].limit(0) if times == 1 else frames[0])
+        got = {(r["gold_id"], r["result_id"]): r["overlap"] for r in scoring.overlap_pairs(*frames, ["gold_id"], ["result_id"], 0.5).collect()}
+        assert all(got.get(k, 0.0) == pytest.approx(v * times ** 2, abs=1e-9) for k, v in expected.items())
+
+
 def test_a_set_beside_itself_scores_zero(spark):
     rng = random.Random(8)
     small = [box(x, y, x + rng.uniform(0.01, 0.3), y + rng.uniform(0.01, 0.3)) for x, y in ((rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(40))]
