@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slopeweave.operators.joins import attach
-from slopeweave.session import cut
+from slopeweave.session import cut, held
 
 
 def with_position(df: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
@@ -18,12 +18,13 @@ def with_position(df: DataFrame, keys: list[str], order: list[Column], name: str
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = [F.col(k) for k in keys]
-    placed = cut(
-        cut(df, "unplaced").repartitionByRange(parts, *group, *order)
-        .sortWithinPartitions(*group, *order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_at", 33)),
-        "placed")
+    with held(df, "unplaced") as rows:
+        placed = cut(
+            rows.repartitionByRange(parts, *group, *order)
+            .sortWithinPartitions(*group, *order)
+            .withColumn("_at", F.monotonically_increasing_id())
+            .withColumn("_part", F.shiftright("_at", 33)),
+            "placed")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(
         placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
