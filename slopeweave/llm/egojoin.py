@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from slopeweave.llm.linked import components
 from slopeweave.llm.shards import rows_per_batch
 from slopeweave.llm.topk import positions
-from slopeweave.operators.blocks import local_components
+from slopeweave.operators.blocks import by_group, local_components
 from slopeweave.session import cut
 
 SIMILARITY = 0.95
@@ -24,8 +24,11 @@ FITTED = 20_000
 GRID = 8
 # Rows of a block that are compared at once.
 AT_ONCE = 512
-# Pairs of blocks that a task holds at once.
-PAIRS_AT_ONCE = 4
+# Blocks that are sent to a task in one batch.
+BLOCKS_AT_ONCE = 4
+# Bytes of blocks (as doubles) of one stripe of the sequence, about; a stripe is compared with all blocks in one pass. There are so many passes at least,
+# and each deals the blocks beside the stripe to so many tasks.
+STRIPE_BYTES, STRIPES, CHUNKS = 1 << 25, 4, 24
 # Bounds are widened by this, so that rounding never skips a link.
 SLACK = 1e-7
 # A vector that more than this share of all rows has in common is looked up in a broadcast table (of at most its inverse rows).
@@ -195,25 +198,48 @@ def _compare(one: tuple, other: tuple, same: bool, similarity: float) -> tuple[l
 
 def links(packed: DataFrame, pairs: DataFrame, width: int, kind: str, similarity: float) -> DataFrame:
     """``a, b, n``: for each class ``a`` with links the number of rows that it is linked to (``b`` null), and pairs ``a, b`` that connect the same groups
-    as all links (``n`` null), from pairs of blocks."""
-    sides = [packed.select(F.col("no").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "many", "rows")]) for s in ("a", "b")]
-    met = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    as all links (``n`` null), from pairs of blocks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda c: batch.column(c)[row].as_py()
-                blocks = [(*unit(np.frombuffer(get(f"{s}_rows"), kind).reshape(-1, width)), np.frombuffer(get(f"{s}_many"), "<i8")) for s in ("a", "b")]
-                ids = [np.frombuffer(get(f"{s}_ids"), "<i8") for s in ("a", "b")]
-                same = get("a") == get("b")
-                sums, u, v = _compare(*blocks, same, similarity)
-                every = ids[0] if same else np.concatenate(ids)
-                of, n = (ids[0], sums[0]) if same else (every, np.concatenate(sums))
-                of, n = of[n > 0], n[n > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(of, every[u])), pa.concat_arrays([pa.nulls(len(of), pa.int64()), pa.array(every[v])]),
-                                                  pa.concat_arrays([pa.array(n), pa.nulls(len(u), pa.int64())])], ["a", "b", "n"])
-
-    return met.repartition(F.xxhash64("a", "b")).mapInArrow(run, "a long, b long, n long")
+    The sequence is gone through in stripes. The blocks beside a stripe are dealt to tasks in chunks, and each task gets its blocks and those of the stripe once for all
+    their pairs. So a pass moves the blocks about once, and the stripe once for each chunk, however many pairs there are; what it moved goes before the next pass.
+    """
+    blocks = packed.agg(F.coalesce(F.max("no") + 1, F.lit(0))).first()[0]
+    stripe = max(1, min(-(-blocks // STRIPES), STRIPE_BYTES // (BLOCK * width * 8)))
+    chunk = -(-blocks // CHUNKS)
+    found = None
+    for first in range(0, blocks, stripe):
+        met = pairs.filter((F.col("a") >= first) & (F.col("a") < first + stripe)).select(F.floor(F.col("b") / chunk).alias("chunk"), "a", "b")
+        # A few dozen rows for each block at most.
+        needed = F.broadcast(met.select("chunk", F.explode(F.array("a", "b")).alias("no")).distinct())
+        sent = (packed.select("no", "ids", "many", "rows").join(needed, "no").select("chunk", F.col("no").alias("a"), F.lit(None).cast("long").alias("b"), "ids", "many", "rows")
+                .unionByName(met, allowMissingColumns=True))
+        part = cut(by_group(sent, ["chunk"], _linked(width, kind, similarity), "a long, b long, n long"), "links")
+        found = part if found is None else found.unionByName(part)
+    return pairs.select("a", "b", F.col("a").alias("n")).limit(0) if found is None else found
+
+
+def _linked(width: int, kind: str, similarity: float):
+    """Links of the pairs of blocks of one group, whose rows are blocks (without ``b``) and pairs."""
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        held, pairs, parts = {}, [], []
+        for row in range(len(group)):
+            get = lambda c: group[c][row].as_py()
+            if get("b") is not None:
+                pairs.append((get("a"), get("b")))
+            else:
+                held[get("a")] = (np.frombuffer(get("ids"), "<i8"), (*unit(np.frombuffer(get("rows"), kind).reshape(-1, width)), np.frombuffer(get("many"), "<i8")))
+        for a, b in sorted(pairs):
+            same = a == b
+            ids = [held[a][0], held[b][0]]
+            sums, u, v = _compare(held[a][1], held[b][1], same, similarity)
+            every = ids[0] if same else np.concatenate(ids)
+            of, n = (ids[0], sums[0]) if same else (every, np.concatenate(sums))
+            of, n = of[n > 0], n[n > 0]
+            parts.append(pa.table({"a": pa.array(np.append(of, every[u])), "b": pa.concat_arrays([pa.nulls(len(of), pa.int64()), pa.array(every[v])]),
+                                   "n": pa.concat_arrays([pa.array(n), pa.nulls(len(u), pa.int64())])}))
+        return pa.concat_tables(parts)
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
@@ -240,8 +266,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     every = intervals(packed.drop("ids", "many", "rows"))
     pairs = cut(interval_pairs(every, epsilon), "interval-pairs") if not packed.isEmpty() else every.select(F.col("no").alias("a"), F.col("no").alias("b"), "level", F.lit(True).alias("within"))
 
-    with rows_per_batch(spark, PAIRS_AT_ONCE):
-        found = cut(links(packed, pairs.filter("level = 0 AND NOT within"), width, number, similarity), "links")
+    with rows_per_batch(spark, BLOCKS_AT_ONCE):
+        found = links(packed, pairs.filter("level = 0 AND NOT within"), width, number, similarity)
     members = cut(placed.select("no", "many", "block"), "members")
     counts, edges = _within(members, pairs.filter("within"))
     n_links = found.filter("b IS NULL").select("a", "n").unionByName(counts).groupBy("a").agg(F.sum("n").alias("n"))

@@ -88,3 +88,15 @@ def test_the_whole_table(spark, data):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
     got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in queries.op13_embeddings(spark, data).collect())
     assert got == plain(rows)
+
+
+def test_blocks_are_not_sent_pair_by_pair(spark, monkeypatch):
+    """Each pass sends every block once and those of its stripe once for each chunk, not both blocks of each pair."""
+    for name, value in (("BLOCK", 16), ("FAN", 2), ("STRIPES", 3), ("CHUNKS", 4)):
+        monkeypatch.setattr(egojoin, name, value)
+    sent, by_group = [], egojoin.by_group
+    monkeypatch.setattr(egojoin, "by_group", lambda df, *a: sent.append(df.agg(F.count_if(F.col("b").isNull()), F.count("b")).first()) or by_group(df, *a))
+    rows = groups(3, 900)
+    assert run(frame(spark, rows)) == plain(rows)
+    blocks = -(-len({tuple(v) for _, v in rows}) // 16)
+    assert len(sent) in (3, 4) and sum(moved for moved, _ in sent) <= blocks * (4 + len(sent)) < sum(pairs for _, pairs in sent)
