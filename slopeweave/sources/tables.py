@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import astuple, dataclass
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from slopeweave.sources.folders import local_path, put_in_place, stage, without_empty
+
 PIXELS = "tile_id STRING, px INT, py INT, argb INT"
 GEOREF = ("tile_id STRING, m00 DOUBLE, m01 DOUBLE, m02 DOUBLE, "
           "m10 DOUBLE, m11 DOUBLE, m12 DOUBLE, srid INT")
@@ -64,11 +68,33 @@ def clean_params(params: DataFrame) -> DataFrame:
 def write_dem(dem: DataFrame, path: str) -> None:
     """One folder of elevation pixels per tile; tiles already there are replaced.
 
-    A tile is spread over squares of pixels, so a large tile is written by many tasks.
+    A tile is spread over squares of pixels, so a large tile is written by many tasks, each of which writes the files of its tiles. Where tasks
+    cannot reach ``path`` by themselves, Spark writes and replaces the folders.
     """
-    (dem.repartition("tile_id", F.floor(F.col("px") / WRITE_SQUARE), F.floor(F.col("py") / WRITE_SQUARE))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("tile_id").parquet(path))
+    square = [F.floor(F.col(axis) / WRITE_SQUARE) for axis in ("px", "py")]
+    root = local_path(dem.sparkSession, path)
+    if root is None:
+        (dem.repartition("tile_id", *square).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("tile_id").parquet(path))
+        return
+    named = dem.select(without_empty("tile_id", dem), *[c for c in dem.columns if c != "tile_id"])
+    rows = named.repartition("tile_id", *square).sortWithinPartitions("tile_id")
+    put_in_place(stage(rows, ["tile_id"], root, _ParquetFile, ".snappy.parquet"), root)
+
+
+class _ParquetFile:
+    """A file that opens with its first rows."""
+
+    def __init__(self, path: str):
+        self.path, self.out = path, None
+
+    def write(self, batch: pa.RecordBatch) -> None:
+        if self.out is None:
+            self.out = pq.ParquetWriter(self.path, batch.schema)
+        self.out.write_batch(batch)
+
+    def close(self) -> None:
+        self.out.close()
 
 
 def read_dem(spark: SparkSession, path: str) -> DataFrame:
